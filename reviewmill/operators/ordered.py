@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from ..session import checkpointed
 
 BLOCK_WIDTH = 1 << 16
+BLOCK = "_block"
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -29,63 +30,51 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
-def before(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    values: dict[str, Column],
-    width: int = BLOCK_WIDTH,
-) -> DataFrame:
+def with_blocks(df: DataFrame, order: str, width: int = BLOCK_WIDTH) -> DataFrame:
+    """Mark the block of each row; later steps then share one shuffle."""
+    return df.withColumn(BLOCK, F.floor(F.col(order) / F.lit(width)).cast("bigint"))
+
+
+def before(blocked: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column]) -> DataFrame:
     """Add, per value, its maximum over the earlier rows of the group.
 
     The maximum of ``struct(order, x)`` is the previous row's ``x``, so this is
-    also a lag.  ``order`` must be a unique whole number inside the group and the
-    keys must not be null.
+    also a lag.  ``order`` must be a unique whole number inside the group, the
+    keys must not be null, and the rows must carry blocks (``with_blocks``).
     """
-    return _carried(df, keys, order, values, width, forward=True)
+    return _carried(blocked, keys, order, values, forward=True)
 
 
-def after(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    values: dict[str, Column],
-    width: int = BLOCK_WIDTH,
-) -> DataFrame:
+def after(blocked: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column]) -> DataFrame:
     """Add, per value, its minimum over the later rows of the group (a lead)."""
-    return _carried(df, keys, order, values, width, forward=False)
+    return _carried(blocked, keys, order, values, forward=False)
 
 
-def _carried(df, keys, order, values, width, forward):
-    pick, best = (F.max, F.greatest) if forward else (F.min, F.least)
-    block = F.floor(F.col(order) / F.lit(width)).cast("bigint")
-    staged = df.withColumn("_block", block).withColumns({f"_v_{name}": value for name, value in values.items()})
+def _carried(blocked, keys, order, values, forward):
+    pick = F.max if forward else F.min
+    staged = blocked.withColumns({f"_v_{name}": value for name, value in values.items()})
 
-    direction = F.col(order).asc() if forward else F.col(order).desc()
-    inside = Window.partitionBy(*keys, "_block").orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
-    local = staged.withColumns({f"_in_{name}": pick(f"_v_{name}").over(inside) for name in values})
+    def earlier(column):
+        return Window.orderBy(F.col(column).asc() if forward else F.col(column).desc()).rowsBetween(
+            Window.unboundedPreceding, -1
+        )
 
-    summary = staged.groupBy(*keys, "_block").agg(*[pick(f"_v_{name}").alias(f"_b_{name}") for name in values])
-    block_order = F.col("_block").asc() if forward else F.col("_block").desc()
-    across = Window.partitionBy(*keys).orderBy(block_order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = earlier(order).partitionBy(*keys, BLOCK)
+    local = staged.withColumns({f"_in_{name}": pick(f"_v_{name}").over(inside) for name in values})
+    summary = staged.groupBy(*keys, BLOCK).agg(*[pick(f"_v_{name}").alias(f"_b_{name}") for name in values])
+    across = earlier(BLOCK).partitionBy(*keys)
     carried = summary.select(
-        *keys, "_block", *[pick(f"_b_{name}").over(across).alias(f"_out_{name}") for name in values]
+        *keys, BLOCK, *[pick(f"_b_{name}").over(across).alias(f"_out_{name}") for name in values]
     )
-    joined = local.join(carried, [*keys, "_block"], "left")
+    joined = local.join(carried, [*keys, BLOCK], "left")
     result = {}
     for name in values:
         near, far = F.col(f"_in_{name}"), F.col(f"_out_{name}")
-        # Rows of this block lie nearer than rows of earlier blocks, but a
-        # maximum may still come from afar; null means "no such row".
-        result[name] = F.coalesce(_best(best, near, far), near, far)
-    drop = ["_block", *[f"_{kind}_{name}" for name in values for kind in ("v", "in", "out")]]
-    return joined.withColumns(result).drop(*drop)
-
-
-def _best(best, near, far):
-    """``greatest``/``least`` that also works on structs."""
-    larger = best is F.greatest
-    return F.when(near.isNotNull() & far.isNotNull(), F.when((near >= far) if larger else (near <= far), near).otherwise(far))
+        wins = (near >= far) if forward else (near <= far)
+        result[name] = F.when(near.isNotNull() & far.isNotNull(), F.when(wins, near).otherwise(far)).otherwise(
+            F.coalesce(near, far)
+        )
+    return joined.withColumns(result).drop(*[f"_{kind}_{name}" for name in values for kind in ("v", "in", "out")])
 
 
 def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "position", start: int = 0) -> DataFrame:

@@ -79,11 +79,11 @@ def strip_unicode(spark, sf):
 
 
 @query("ordered_digest", over(REVIEWS, """,
-cells AS (SELECT source_row AS at, sha256(concat_ws('|', CAST(source_row AS VARCHAR),
+cells AS (SELECT source_row AS pos, sha256(concat_ws('|', CAST(source_row AS VARCHAR),
   CAST(octet_length(encode(record_id)) AS VARCHAR) || ':' || record_id, '64:' || sha256(model_text))) AS digest FROM reviews),
-l1 AS (SELECT at >> 12 AS at, sha256(string_agg(digest, '' ORDER BY at)) AS digest FROM cells GROUP BY at >> 12),
-l2 AS (SELECT at >> 12 AS at, sha256(string_agg(digest, '' ORDER BY at)) AS digest FROM l1 GROUP BY at >> 12),
-l3 AS (SELECT at >> 12 AS at, sha256(string_agg(digest, '' ORDER BY at)) AS digest FROM l2 GROUP BY at >> 12)
-SELECT (SELECT count(*) FROM reviews) AS rows, sha256(string_agg(digest, '' ORDER BY at)) AS digest FROM l3"""))
+l1 AS (SELECT CAST(floor(pos / 4096) AS BIGINT) AS pos, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM cells GROUP BY floor(pos / 4096)),
+l2 AS (SELECT CAST(floor(pos / 4096) AS BIGINT) AS pos, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM l1 GROUP BY floor(pos / 4096)),
+l3 AS (SELECT CAST(floor(pos / 4096) AS BIGINT) AS pos, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM l2 GROUP BY floor(pos / 4096))
+SELECT (SELECT count(*) FROM reviews) AS rows, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM l3"""))
 def ordered_digest_query(spark, sf):
     return ordered_digest(reviews(spark, sf), "source_row", ["record_id", "text_hash"])

@@ -51,8 +51,8 @@ OBSERVATIONS = r"""
 observations AS (
   SELECT event_id AS batch_order, CASE WHEN user_id % 2 = 0 THEN 'play' ELSE 'apple_rss' END AS provider,
     'app' || CAST(user_id % 3 AS VARCHAR) AS app_id, CAST(user_id AS VARCHAR) AS source_id, 'mx' AS country,
-    event_type AS text, CAST(event_id % 5 + 1 AS INT) AS rating, '1.0' AS app_version,
-    CASE WHEN event_id % 7 = 3 THEN ts - INTERVAL 3 DAY ELSE ts END AS updated_at, ts AS fetched_at
+    event_type AS text, CAST(user_id % 5 + 1 AS INT) AS rating, '1.0' AS app_version,
+    CAST(CASE WHEN event_id % 7 = 3 THEN date_trunc('day', ts) - INTERVAL 3 DAY ELSE date_trunc('day', ts) END AS TIMESTAMP) AS updated_at, ts AS fetched_at
   FROM events
 )"""
 

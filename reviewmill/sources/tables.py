@@ -18,11 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core where a scan yields fewer splits than there are cores.
+
+    Large inputs have more splits than cores and pass through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def reviews(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
     """Review rows; ``parts`` may name ``dates``, ``relevance`` and ``groups``."""
     doc = F.col("doc_id")
     in_store = doc % 4 < 2
-    documents = table(spark, sf_dir, "documents").select(
+    documents = spread(table(spark, sf_dir, "documents"), "doc_id").select(
         doc.cast("string").alias("record_id"),
         doc.alias("source_row"),
         F.when(doc % 4 == 0, "google_play").when(doc % 4 == 1, "app_store")
@@ -105,7 +114,7 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events read as fetched reviews: one author is one review, in event order."""
-    event = F.col("event_id")
+    event = F.col("event_id").cast("bigint")
     return table(spark, sf_dir, "events").select(
         event.alias("batch_order"),
         F.when(F.col("user_id") % 2 == 0, "play").otherwise("apple_rss").alias("provider"),
@@ -114,10 +123,12 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("mx").alias("country"),
         F.col("event_type").alias("text"),
         F.lit(None).cast("string").alias("title"),
-        (event % 5 + 1).cast("int").alias("rating"),
+        (F.col("user_id") % 5 + 1).cast("int").alias("rating"),
         F.lit("1.0").alias("app_version"),
-        # Every seventh fetch repeats an old edit time, so stale rows occur.
-        F.when(event % 7 == 3, F.col("ts") - F.expr("INTERVAL 3 DAYS")).otherwise(F.col("ts")).alias("updated_at"),
+        # Edit dates are whole days and every seventh fetch brings an old one,
+        # so duplicate and stale rows occur.
+        F.when(event % 7 == 3, F.date_trunc("day", F.col("ts")).cast("timestamp_ntz") - F.expr("INTERVAL 3 DAYS"))
+        .otherwise(F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")).alias("updated_at"),
         F.col("ts").alias("fetched_at"),
     )
 
