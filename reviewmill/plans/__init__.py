@@ -2,5 +2,5 @@
 
 from .registry import ORACLES, QUERIES  # noqa: F401
 from . import (  # noqa: F401
-    exploration, intake, preparation, raw_store,
+    exploration, intake, preparation, raw_store, vectors,
 )
