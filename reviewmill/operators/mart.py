@@ -14,6 +14,11 @@ from .sentiment import confidence, label_index
 
 UNASSIGNED_TITLE = "Unassigned reviews"
 PAGE = 6
+# Stated, so month folders are read back as text.
+MART_SCHEMA = (
+    "record_id string, source_row bigint, text string, platform string, topic_id int, assessment string, "
+    "title string, sentiment string, confidence double, rating int, month string"
+)
 
 
 def topic_dimension(topics: DataFrame, labels: DataFrame) -> DataFrame:
@@ -29,7 +34,7 @@ def topic_dimension(topics: DataFrame, labels: DataFrame) -> DataFrame:
 
 def review_mart(rows: DataFrame, dimension: DataFrame) -> DataFrame:
     """One row per review with its topic, name, label and month."""
-    return rows.join(dimension.select("topic_id", "assessment", "title"), "topic_id", "left").select(
+    return rows.drop("title", "assessment").join(dimension.select("topic_id", "assessment", "title"), "topic_id", "left").select(
         "record_id", "source_row", "text", "platform", "topic_id", F.coalesce("assessment", F.lit("none")).alias("assessment"),
         "title", "sentiment", confidence().alias("confidence"), "rating", "month",
     )

@@ -2,5 +2,5 @@
 
 from .registry import ORACLES, QUERIES  # noqa: F401
 from . import (  # noqa: F401
-    exploration, intake, preparation, raw_store, topics, vectors,
+    dashboard, exploration, grouping, intake, learning, preparation, raw_store, sentiment, topics, vectors,
 )
