@@ -121,8 +121,8 @@ def balanced(rows: DataFrame, label: str = "target") -> DataFrame:
 
 def _classifier(kind: str):
     if kind == "logistic":
-        return LogisticRegression(featuresCol="scaled", labelCol="target", weightCol="weight", regParam=0.01, maxIter=100)
-    return LinearSVC(featuresCol="scaled", labelCol="target", weightCol="weight", regParam=0.01, maxIter=100)
+        return LogisticRegression(featuresCol="scaled", labelCol="target", weightCol="weight", regParam=0.01, maxIter=50)
+    return LinearSVC(featuresCol="scaled", labelCol="target", weightCol="weight", regParam=0.01, maxIter=40)
 
 
 def fit_relevance(rows: DataFrame, kind: str):
@@ -273,7 +273,11 @@ def language_audit(rows: DataFrame, threshold: float = 0.8, min_letters: int = 2
     with too few letters, or with no profile word, are *too_short* or *unknown*.
     """
     tokens = X.words(F.col("text"))
-    hits = {name: F.size(F.filter(tokens, lambda t, w=words: t.isin(w))) for name, words in PROFILES.items()}
+
+    def profile_hits(profile: list[str]) -> Column:
+        return F.size(F.filter(tokens, lambda token: token.isin(profile)))
+
+    hits = {name: profile_hits(profile) for name, profile in PROFILES.items()}
     counted = rows.withColumns({f"_h_{name}": value for name, value in hits.items()}).withColumn(
         "letters", F.length(F.regexp_replace("text", r"[^\p{L}]", "")))
     total = sum((F.col(f"_h_{name}") for name in list(PROFILES)[1:]), F.col(f"_h_{list(PROFILES)[0]}"))

@@ -2,5 +2,5 @@
 
 from .registry import ORACLES, QUERIES  # noqa: F401
 from . import (  # noqa: F401
-    dashboard, exploration, grouping, intake, learning, preparation, raw_store, sentiment, topics, vectors,
+    dashboard, exploration, grouping, incremental, intake, learning, preparation, raw_store, sentiment, topics, vectors,
 )

@@ -8,6 +8,7 @@ from ..functions.numbers import n, rounded
 from ..operators import models as M
 from ..session import checkpointed
 from ..sources.tables import reviews, scored, table, vectors
+from .exploration import TOKENS
 from .registry import query
 from .views import REVIEWS, over
 
@@ -169,6 +170,16 @@ def sentiment_training(spark, sf):
     return adapted.unionByName(plain)
 
 
-@query("language_audit")
+_hits = ", ".join(f"len(list_filter(words, lambda w: w IN ({', '.join(repr(w) for w in words)}))) AS {name}" for name, words in M.PROFILES.items())
+
+
+@query("language_audit", over(TOKENS, rf""",
+h AS (SELECT {_hits}, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS letters FROM tokens),
+m AS (SELECT *, spanish + english + french + german AS total, greatest(spanish, english, french, german) AS most FROM h),
+d AS (SELECT letters, CASE WHEN total = 0 THEN 'unknown' WHEN spanish = most THEN 'spanish' WHEN english = most THEN 'english' WHEN french = most THEN 'french' ELSE 'german' END AS detected_language,
+  total, most FROM m),
+s AS (SELECT detected_language, CASE WHEN letters < 20 THEN 'too_short' WHEN total = 0 THEN 'unknown' WHEN most / total::DOUBLE < 0.8 THEN 'uncertain'
+  WHEN detected_language = 'spanish' THEN 'spanish' ELSE 'other_language' END AS status FROM d)
+SELECT status, detected_language, count(*) AS reviews, count(*) AS retained FROM s GROUP BY 1, 2"""))
 def language_audit(spark, sf):
     return M.language_counts(M.language_audit(reviews(spark, sf)))
