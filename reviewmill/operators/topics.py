@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions import vectors as V
 from ..functions.numbers import n
+from ..session import checkpointed, lookup
 from .ordered import BLOCK_WIDTH, after, top_per_group, with_blocks
 
 UNASSIGNED = -1
@@ -33,7 +34,8 @@ def topic_numbers(rows: DataFrame) -> DataFrame:
 
 
 def with_topics(rows: DataFrame) -> DataFrame:
-    return rows.join(topic_numbers(rows).select("cluster_id", "topic_id"), "cluster_id")
+    """Attach topic numbers; the unassigned group may hold most rows, so no shuffle on it."""
+    return rows.join(lookup(topic_numbers(rows).select("cluster_id", "topic_id")), "cluster_id")
 
 
 def mapping_problems(rows: DataFrame) -> DataFrame:
@@ -72,12 +74,14 @@ def weighted_terms(counts: DataFrame) -> DataFrame:
     """Class-based weight of every term: ``sqrt(tf / words) * ln(1 + A / f)``.
 
     ``A`` is the whole part of the mean words per topic.  A term has at most one
-    row per topic, which bounds the window that sums ``f``.
+    row per topic, which bounds the window that sums ``f``.  The counts are
+    pinned, because three steps read them.
     """
+    counts = checkpointed(counts)
     words = counts.groupBy("topic_id").agg(F.sum("tf").alias("words"))
     average = words.agg(F.floor(F.avg("words")).cast("bigint").alias("a")).scalar()
     f = F.sum("tf").over(Window.partitionBy("term"))
-    rows = counts.withColumn("f", f).withColumn("average", average).join(words, "topic_id")
+    rows = counts.withColumn("f", f).withColumn("average", average).join(lookup(words), "topic_id")
     idf = F.log(1.0 + F.col("average").cast("double") / F.col("f"))
     return rows.withColumn("idf", idf).withColumn(
         "weight", F.sqrt(F.col("tf").cast("double") / F.col("words")) * F.col("idf")
@@ -113,6 +117,7 @@ def term_walk(weights: DataFrame, by_count: int = 12, by_weight: int = 10) -> Da
     first = top_per_group(weights.select(*columns), ["topic_id"], [F.desc("tf"), F.asc("term")], by_count).drop("rank")
     second = top_per_group(weights.select(*columns), ["topic_id"], [F.desc("weight"), F.asc("term")], by_weight).drop("rank")
     chosen = first.unionByName(second).dropDuplicates(["topic_id", "term"])
+    chosen = lookup(chosen)
     others = weights.select("topic_id", F.col("term").alias("o_term"), F.col("tf").alias("o_tf"), F.col("weight").alias("o_weight"))
 
     def ahead(other: Column, own: Column) -> Column:
@@ -133,7 +138,7 @@ def generic_terms(walk: DataFrame, lead: int = 3, lost: int = 20) -> DataFrame:
 def tfidf_contrast(rows: DataFrame, ranked: DataFrame) -> DataFrame:
     """Each keyword's weight without the root, and its classic review-level weight."""
     reviews = rows.agg(n().alias("n")).scalar()
-    wanted = ranked.select("term").distinct()
+    wanted = lookup(ranked.select("term").distinct())
     per_review = review_terms(rows).join(wanted, "term", "left_semi").groupBy("source_row", "term").agg(n().alias("times"))
     classic = per_review.groupBy("term").agg(n().alias("holding"), F.max("times").alias("most"))
     return ranked.join(classic, "term", "left").withColumn("reviews", reviews).select(
@@ -149,7 +154,7 @@ def tfidf_contrast(rows: DataFrame, ranked: DataFrame) -> DataFrame:
 def review_scores(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """Cosine of every review's own weighted terms with its topic's."""
     own = review_terms(rows).groupBy("topic_id", "source_row", "term").agg(n().alias("times"))
-    lengths = weights.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
+    lengths = lookup(weights.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length")))
     parts = own.join(weights.select("topic_id", "term", "idf", F.col("weight").alias("topic_weight")), ["topic_id", "term"])
     value = F.sqrt(F.col("times").cast("double")) * F.col("idf")
     # The review's word count scales its vector and cancels in the cosine.
@@ -183,7 +188,7 @@ def semantic_candidates(
     the reviews that hold it, a topic's the mean of its representatives.
     """
     leading = keywords(weights, candidates).select("topic_id", "term", "weight", F.col("rank").alias("count_rank"))
-    wanted = leading.select("term").distinct()
+    wanted = lookup(leading.select("term").distinct())
     holding = review_terms(rows).select("source_row", "term").join(wanted, "term", "left_semi").distinct()
     term_vectors = mean_vector(holding.join(vectors, "source_row"), ["term"], "vector", "term_vector")
     topic_vectors = mean_vector(representative.join(vectors, "source_row"), ["topic_id"], "vector", "topic_vector")

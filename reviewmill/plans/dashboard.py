@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import rounded
 from ..operators import mart as D
 from ..operators import topics as K
-from ..session import work_path
+from ..session import lookup, work_path
 from ..sources.tables import scored
 from .registry import query
 from .sentiment import labels
@@ -28,9 +28,10 @@ MIX = "count(*) FILTER (WHERE sentiment = 'negative') AS negative, count(*) FILT
 
 
 def mart(spark, sf):
-    info = K.keyword_lists(K.keywords(class_weights(spark, sf)))
-    topics = K.topic_numbers(topic_rows(spark, sf).select("cluster_id")).select("topic_id").join(info, "topic_id", "left")
-    return D.review_mart(scored(topic_rows(spark, sf, "dates")), D.topic_dimension(topics, labels(spark, sf)))
+    rows = topic_rows(spark, sf, "dates")
+    info = K.keyword_lists(K.keywords(class_weights(rows)))
+    topics = K.topic_numbers(rows.select("cluster_id")).select("topic_id").join(info, "topic_id", "left")
+    return D.review_mart(scored(rows), lookup(D.topic_dimension(topics, labels(spark, sf))))
 
 
 @query("review_mart", over(MART, "SELECT record_id, source_row, platform, topic_id, assessment, title, sentiment, round(confidence, 6) AS confidence, rating, month, sha256(text) AS text_hash FROM mart"))

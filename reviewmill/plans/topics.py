@@ -10,6 +10,7 @@ from ..operators import clusters as C
 from ..operators import evidence as Ev
 from ..operators import topics as K
 from ..operators.ordered import page
+from ..session import checkpointed
 from ..sources.tables import reviews, scored, table, vectors
 from .registry import query
 from .views import REVIEWS, over
@@ -45,8 +46,10 @@ def topic_rows(spark, sf, *parts):
     return K.with_topics(reviews(spark, sf, "groups", *parts))
 
 
-def class_weights(spark, sf):
-    return K.weighted_terms(K.class_terms(topic_rows(spark, sf)))
+def class_weights(rows, pin=False):
+    """Term weights; pinned where a query reads them more than once."""
+    weights = K.weighted_terms(K.class_terms(rows))
+    return checkpointed(weights) if pin else weights
 
 
 def review_vectors(spark, sf):
@@ -76,12 +79,12 @@ def class_bow(spark, sf):
 
 @query("ctfidf", over(WEIGHTS, "SELECT topic_id, term, tf, words, f, round(idf, 6) AS idf, round(weight, 6) AS weight FROM wt"))
 def ctfidf(spark, sf):
-    return class_weights(spark, sf).select("topic_id", "term", "tf", "words", "f", rounded(F.col("idf")).alias("idf"), rounded(F.col("weight")).alias("weight"))
+    return class_weights(topic_rows(spark, sf)).select("topic_id", "term", "tf", "words", "f", rounded(F.col("idf")).alias("idf"), rounded(F.col("weight")).alias("weight"))
 
 
 @query("topic_keywords", over(WEIGHTS, "SELECT topic_id, rank, term, round(weight, 6) AS weight FROM kw"))
 def topic_keywords(spark, sf):
-    return K.keywords(class_weights(spark, sf)).select("topic_id", "rank", "term", rounded(F.col("weight")).alias("weight"))
+    return K.keywords(class_weights(topic_rows(spark, sf))).select("topic_id", "rank", "term", rounded(F.col("weight")).alias("weight"))
 
 
 @query("topic_info", over(WEIGHTS, """
@@ -89,7 +92,7 @@ SELECT n.topic_id, n.reviews, n.topic_id || '_' || array_to_string(keywords[1:4]
 FROM numbers n LEFT JOIN lists l ON l.topic_id = n.topic_id"""))
 def topic_info(spark, sf):
     rows = topic_rows(spark, sf)
-    return K.topic_info(rows, K.keywords(class_weights(spark, sf))).withColumn("keywords", F.array_join("keywords", ","))
+    return K.topic_info(rows, K.keywords(class_weights(rows))).withColumn("keywords", F.array_join("keywords", ","))
 
 
 WALK = WEIGHTS + """,
@@ -99,12 +102,12 @@ walk AS (SELECT topic_id, term, tf, f, idf, weight, row_number() OVER (PARTITION
 
 @query("term_walk", over(WALK, "SELECT topic_id, term, tf, f, round(idf, 6) AS idf, round(weight, 6) AS weight, rank_count, rank_weight FROM walk"))
 def term_walk(spark, sf):
-    return K.term_walk(class_weights(spark, sf)).withColumn("idf", rounded(F.col("idf"))).withColumn("weight", rounded(F.col("weight")))
+    return K.term_walk(class_weights(topic_rows(spark, sf), pin=True)).withColumn("idf", rounded(F.col("idf"))).withColumn("weight", rounded(F.col("weight")))
 
 
 @query("generic_terms", over(WALK, "SELECT topic_id, term, rank_count, rank_weight FROM walk WHERE rank_count <= 3 AND rank_weight > 20"))
 def generic_terms(spark, sf):
-    return K.generic_terms(K.term_walk(class_weights(spark, sf))).select("topic_id", "term", "rank_count", "rank_weight")
+    return K.generic_terms(K.term_walk(class_weights(topic_rows(spark, sf), pin=True))).select("topic_id", "term", "rank_count", "rank_weight")
 
 
 @query("tfidf_contrast", over(REPS, """,
@@ -113,13 +116,13 @@ SELECT k.topic_id, k.term, round(weight, 6) AS weight, round(tf::DOUBLE / words
   round(coalesce(most * ln((SELECT count(*) FROM t) / holding::DOUBLE), 0), 6) AS classic_weight FROM kw k LEFT JOIN d ON d.term = k.term"""))
 def tfidf_contrast(spark, sf):
     rows = topic_rows(spark, sf)
-    table = K.tfidf_contrast(rows, K.keywords(class_weights(spark, sf)))
+    table = K.tfidf_contrast(rows, checkpointed(K.keywords(class_weights(rows))))
     return table.select("topic_id", "term", *[rounded(F.col(c)).alias(c) for c in ("weight", "plain_weight", "classic_weight")], "holding")
 
 
 def reps(spark, sf):
     rows = topic_rows(spark, sf)
-    return rows, K.representatives(rows, class_weights(spark, sf))
+    return rows, K.representatives(rows, class_weights(rows, pin=True))
 
 
 @query("representative_reviews", over(REPS, "SELECT topic_id, rank, source_row, round(score, 6) AS score FROM reps"))
@@ -128,34 +131,37 @@ def representative_reviews(spark, sf):
 
 
 def candidates(spark, sf):
-    rows, chosen = reps(spark, sf)
-    return K.semantic_candidates(rows, review_vectors(spark, sf), class_weights(spark, sf), chosen)
+    """Rows, their weights, and each topic's candidates (a fixed number, pinned)."""
+    rows = topic_rows(spark, sf)
+    weights = class_weights(rows, pin=True)
+    found = K.semantic_candidates(rows, review_vectors(spark, sf), weights, K.representatives(rows, weights))
+    return rows, weights, checkpointed(found)
 
 
 @query("keywords_semantic")
 def keywords_semantic(spark, sf):
-    return K.semantic_keywords(candidates(spark, sf)).select("topic_id", "rank", "term", rounded(F.col("similarity")).alias("similarity"))
+    return K.semantic_keywords(candidates(spark, sf)[2]).select("topic_id", "rank", "term", rounded(F.col("similarity")).alias("similarity"))
 
 
 @query("keywords_mmr")
 def keywords_mmr(spark, sf):
-    found = candidates(spark, sf)
+    _, _, found = candidates(spark, sf)
     parts = [K.diverse_keywords(found, d).withColumn("diversity", F.lit(d)) for d in (0.3, 0.7)]
     return parts[0].unionByName(parts[1]).withColumn("similarity", rounded(F.col("similarity")))
 
 
 @query("representation_table")
 def representation_table(spark, sf):
-    found = candidates(spark, sf)
-    return K.representation_table(topic_rows(spark, sf), {
-        "ctfidf": K.keywords(class_weights(spark, sf)), "semantic": K.semantic_keywords(found),
+    rows, weights, found = candidates(spark, sf)
+    return K.representation_table(rows, {
+        "ctfidf": K.keywords(weights), "semantic": K.semantic_keywords(found),
         "mmr_03": K.diverse_keywords(found, 0.3), "mmr_07": K.diverse_keywords(found, 0.7),
     })
 
 
 @query("topic_search", over(WEIGHTS, "SELECT topic_id, array_to_string(keywords, ',') AS keywords FROM lists WHERE len(list_filter(keywords, lambda k: contains(k, 'on'))) > 0"))
 def topic_search(spark, sf):
-    lists = K.keyword_lists(K.keywords(class_weights(spark, sf)))
+    lists = K.keyword_lists(K.keywords(class_weights(topic_rows(spark, sf))))
     return K.topic_search(lists, " ON ").withColumn("keywords", F.array_join("keywords", ","))
 
 
@@ -163,8 +169,9 @@ def topic_search(spark, sf):
 SELECT b.topic_id, cluster_id, reviews AS review_count, (SELECT string_agg(term || '=' || printf('%.4f', weight), ',' ORDER BY weight DESC, term) FROM kw WHERE kw.topic_id = b.topic_id) AS keywords,
   (SELECT string_agg(source_row, ',' ORDER BY rank) FROM reps WHERE reps.topic_id = b.topic_id) AS representatives FROM numbers b WHERE b.topic_id >= 0"""))
 def topic_objects(spark, sf):
-    rows, chosen = reps(spark, sf)
-    objects = K.topic_objects(rows, K.keywords(class_weights(spark, sf)), chosen)
+    rows = topic_rows(spark, sf)
+    weights = class_weights(rows, pin=True)
+    objects = K.topic_objects(rows, K.keywords(weights), K.representatives(rows, weights))
     shown = F.transform("keywords", lambda k: F.format_string("%s=%.4f", k["term"], k["c_tf_idf_weight"]))
     return objects.select("topic_id", "cluster_id", "review_count", F.array_join(shown, ",").alias("keywords"),
                           F.array_join(F.col("representative_rows").cast("array<string>"), ",").alias("representatives"))
@@ -185,7 +192,7 @@ def keyword_comparison(spark, sf):
 
 
 def _comparison(spark, sf):
-    weights = class_weights(spark, sf)
+    weights = class_weights(topic_rows(spark, sf), pin=True)
     by_count = K.top_per_group(weights, ["topic_id"], [F.desc("tf"), F.asc("term")], 10)
     return K.keyword_comparison(by_count, K.keywords(weights))
 
@@ -333,7 +340,7 @@ def assessment_counts(spark, sf):
 @query("labels_by_assessment", over(WEIGHTS + ", " + LABELS.strip(), """
 SELECT l.*, array_to_string(k.keywords[1:4], ' · ') AS keywords FROM labels_ l LEFT JOIN lists k ON k.topic_id = l.topic_id WHERE assessment = 'mixed'"""))
 def labels_by_assessment(spark, sf):
-    lists = K.keyword_lists(K.keywords(class_weights(spark, sf)))
+    lists = K.keyword_lists(K.keywords(class_weights(topic_rows(spark, sf))))
     return Ev.labels_by_assessment(Ev.label_summary(interpreted(spark, sf)), lists, "mixed")
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -48,3 +49,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def lookup(df: DataFrame, limit: int = 200_000) -> DataFrame:
+    """Pin a table that should be small and count it: broadcast up to ``limit`` rows.
+
+    A larger table comes back without the hint and joins by shuffle.
+    """
+    pinned = checkpointed(df)
+    return broadcast(pinned) if pinned.count() <= limit else pinned
