@@ -23,8 +23,8 @@ def rounded(value: Column, digits: int = 6) -> Column:
 
 def wilson_low(hits: Column, trials: Column, z: float = 1.96) -> Column:
     """Lower end of the Wilson score interval of a share."""
-    total = trials.cast("double")
-    p = hits.cast("double") / F.nullif(total, F.lit(0.0))
+    total = F.nullif(trials.cast("double"), F.lit(0.0))
+    p = hits.cast("double") / total
     z2 = z * z
     margin = F.lit(z) * F.sqrt((p * (F.lit(1.0) - p)) / total + F.lit(z2) / (F.lit(4.0) * total * total))
     bound = (p + F.lit(z2) / (F.lit(2.0) * total) - margin) / (F.lit(1.0) + F.lit(z2) / total)

@@ -9,6 +9,7 @@ from .. import schemas as S
 from ..functions import text as X
 from ..functions.hashing import text_hash
 from ..functions.numbers import n
+from ..session import lookup
 from .ordered import top_per_group
 
 # How much evidence a request holds, and the answer's shape.
@@ -18,7 +19,7 @@ RESPONSE = "struct<proposed_feature:string, topic_description:string, supporting
 
 
 def _prioritised(rows: DataFrame, representative: DataFrame) -> DataFrame:
-    first = representative.select("source_row", F.col("rank").alias("_first"))
+    first = lookup(representative.select("source_row", F.col("rank").alias("_first")))
     return rows.where(F.col("topic_id") >= 0).join(first, "source_row", "left").withColumn(
         "_first", F.coalesce("_first", F.lit(1 << 30)))
 
@@ -49,7 +50,7 @@ def distinct_evidence(
 
     Copies collapse to their first row before the shuffle.
     """
-    wanted = rows.join(largest_topics(rows, limit).select("topic_id"), "topic_id", "left_semi")
+    wanted = rows.join(lookup(largest_topics(rows, limit).select("topic_id")), "topic_id", "left_semi")
     best = _prioritised(wanted, representative).groupBy("topic_id", text_hash(F.col("text")).alias("_text")).agg(
         F.min(F.struct("_first", "source_row")).alias("at"), F.min_by(F.struct("record_id", "text"), F.struct("_first", "source_row")).alias("r"))
     # Copies share their best priority but are cited by the first row that holds the text.

@@ -9,7 +9,6 @@ from .. import schemas as S
 from ..functions import dates as D
 from ..functions import text as X
 from ..functions.numbers import n, ratio, rounded
-from .ordered import top_per_group
 
 # The text patterns counted, in Java regular-expression syntax.
 PATTERNS = {
@@ -206,11 +205,16 @@ def vocabulary_summary(df: DataFrame) -> DataFrame:
 def word_counts(df: DataFrame, top: int = 10) -> DataFrame:
     """Most frequent words, with the reviews that hold them and their share."""
     rows = df.agg(n().alias("n")).scalar()
-    words = df.select(X.kept_words(F.col("text")).alias("kept"))
-    counted = words.select(F.explode("kept").alias("word")).groupBy("word").agg(n().alias("occurrences"))
-    holding = words.select(F.explode(F.array_distinct("kept")).alias("word")).groupBy("word").agg(n().alias("reviews"))
+    kept = df.select(X.kept_words(F.col("text")).alias("kept"))
+    # Each word once per occurrence and once more per review: one pass, one shuffle.
+    marks = F.concat(
+        F.transform("kept", lambda w: F.struct(w.alias("word"), F.lit(1).alias("here"), F.lit(0).alias("review"))),
+        F.transform(F.array_distinct("kept"), lambda w: F.struct(w.alias("word"), F.lit(0).alias("here"), F.lit(1).alias("review"))),
+    )
+    counted = kept.select(F.explode(marks).alias("m")).groupBy(F.col("m.word").alias("word")).agg(
+        F.sum("m.here").alias("occurrences"), F.sum("m.review").alias("reviews"))
     best = counted.orderBy(F.desc("occurrences"), "word").limit(top)
-    return best.join(holding, "word").withColumn("review_pct", ratio(F.col("reviews"), rows, 100))
+    return best.withColumn("review_pct", ratio(F.col("reviews"), rows, 100))
 
 
 def bigram_counts(df: DataFrame, top: int = 10) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..functions.hashing import fingerprint, ordered_digest, text_hash
 from ..functions.numbers import n, rounded
+from ..session import checkpointed
 from .ordered import numbered
 
 # The encoder profile.
@@ -86,11 +87,13 @@ def feature_counts(featured: DataFrame) -> DataFrame:
 
 def unique_texts(featured: DataFrame) -> DataFrame:
     """Each different text once, with the rows it stands for; differing texts under one hash fail."""
+    # A second hash tells texts apart without shipping each text twice.
+    check = F.xxhash64("embedding_text")
     per_hash = featured.groupBy(F.col("feature_text_hash").alias("input_hash")).agg(
-        F.min("embedding_text").alias("text"), F.max("embedding_text").alias("_other"), n().alias("rows")
+        F.first("embedding_text").alias("text"), F.min(check).alias("_low"), F.max(check).alias("_high"), n().alias("rows")
     )
-    return per_hash.withColumn("text", F.when(F.col("text") == F.col("_other"), F.col("text")).otherwise(
-        F.raise_error(F.lit("different texts share a hash")))).drop("_other")
+    return per_hash.withColumn("text", F.when(F.col("_low") == F.col("_high"), F.col("text")).otherwise(
+        F.raise_error(F.lit("different texts share a hash")))).drop("_low", "_high")
 
 
 # -- encoding --------------------------------------------------------------
@@ -141,12 +144,13 @@ def encode_reviews(
 ) -> tuple[DataFrame, DataFrame]:
     """Vector per row and the cache rows to append; a text is encoded once at most.
 
+    New vectors are pinned, as both results read them.
     Rows meet their vector on the text hash.  A text that fills a large part of
     the table is one vector against many rows, which the skew join splits.
     """
     unique = unique_texts(featured)
     held, missing = cache_plan(unique, cache, encoder_id)
-    fresh = encode_texts(missing, encoder)
+    fresh = checkpointed(encode_texts(missing, encoder))
     known = held.select("input_hash", "vector", "tokens", F.lit(True).alias("reused")).unionByName(
         fresh.withColumn("reused", F.lit(False)))
     rows = featured.join(known.withColumnRenamed("input_hash", "feature_text_hash"), "feature_text_hash")

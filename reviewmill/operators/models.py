@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from .. import schemas as S
 from ..functions import text as X
 from ..functions.numbers import n, ratio, rounded
-from ..session import checkpointed
+from ..session import checkpointed, lookup
 
 CLEAR_LABELS = ["relevant", "irrelevant"]
 FOLDS = 5
@@ -56,12 +56,12 @@ def _numbered_in_stratum(rows: DataFrame, strata: list[str], key: str, seed: int
     its rows starting where the slices before it stopped.
     """
     draw = F.xxhash64(F.col(key), F.lit(seed))
-    sliced = rows.withColumn("_draw", draw).withColumn("_slice", F.shiftrightunsigned("_draw", 54).cast("int"))
+    sliced = rows.withColumn("_draw", draw).withColumn("_slice", F.shiftrightunsigned("_draw", 48).cast("int"))
     counts = sliced.groupBy(*strata, "_slice").agg(n().alias("_n"))
     ahead = Window.partitionBy(*strata).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*strata, "_slice", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*strata, "_slice").orderBy(F.shiftrightunsigned("_draw", 1), key)
-    return sliced.withColumn("_at", F.row_number().over(inside) - 1).join(offsets, [*strata, "_slice"]).withColumn(
+    return sliced.withColumn("_at", F.row_number().over(inside) - 1).join(lookup(offsets), [*strata, "_slice"]).withColumn(
         name, F.pmod(F.col("_at") + F.col("_offset"), F.lit(modulo)).cast("int")).drop("_draw", "_slice", "_at", "_offset")
 
 
@@ -116,7 +116,7 @@ def balanced(rows: DataFrame, label: str = "target") -> DataFrame:
     total = counts.agg(F.sum("_c").alias("t")).scalar()
     classes = counts.agg(n().alias("k")).scalar()
     weights = counts.withColumn("weight", total.cast("double") / (classes * F.col("_c"))).select(label, "weight")
-    return rows.join(weights, label)
+    return rows.join(lookup(weights), label)
 
 
 def _classifier(kind: str):

@@ -14,6 +14,7 @@ from .. import schemas as S
 from ..functions import text as X
 from ..functions.hashing import text_hash
 from ..functions.numbers import n, ratio, rounded
+from ..session import lookup
 from .ordered import top_per_group
 
 PROBABILITIES = [f"p_{label}" for label in S.SENTIMENTS]
@@ -239,7 +240,7 @@ def classify_by_domain(reviews: DataFrame, predictors: dict[str, Predictor], tex
 
 def top_topic_reviews(rows: DataFrame, largest: DataFrame) -> DataFrame:
     """Reviews of the largest topics, to be scored."""
-    return rows.join(largest.select("topic_id"), "topic_id", "left_semi").select("record_id", "topic_id", "platform", "text")
+    return rows.join(lookup(largest.select("topic_id")), "topic_id", "left_semi").select("record_id", "topic_id", "platform", "text")
 
 
 def top_topic_check(rows: DataFrame, largest: DataFrame) -> DataFrame:
@@ -268,8 +269,8 @@ def spread_examples(rows: DataFrame, largest: DataFrame, representative: DataFra
         F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1),
         lambda i: F.floor(i * (F.col("total") - 1) / F.greatest(F.col("count") - 1, F.lit(1))).cast("bigint"),
     )
-    chosen = ranked.where(F.array_contains(steps, F.col("at").cast("bigint"))).select("topic_id", "at")
-    first = representative.select("source_row", F.lit(0).alias("_first"))
+    chosen = lookup(ranked.where(F.array_contains(steps, F.col("at").cast("bigint"))).select("topic_id", "at"))
+    first = lookup(representative.select("source_row", F.lit(0).alias("_first")))
     members = rows.join(chosen, "topic_id").join(first, "source_row", "left").withColumn("_first", F.coalesce("_first", F.lit(1)))
     return top_per_group(members, ["topic_id"], [F.asc("_first"), F.asc("source_row")], 1).select(
         "topic_id", "record_id", "text", "sentiment", *PROBABILITIES)

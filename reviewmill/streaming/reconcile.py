@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
 from ..operators import store as R
-from ..session import checkpointed
+from ..session import checkpointed, lookup
 
 SEED_SEQ = 1
 REVISIONS = T.StructType([
@@ -77,7 +77,9 @@ def commit_batch(store: Store, batch: DataFrame, batch_id: int) -> None:
     if not store.revisions(spark).where(F.col("operation") == operation).isEmpty():
         return
     identities = store.identities(spark)
-    state = R.as_of(store.versions(spark))
+    # Only versions of the records this batch touches enter the state.
+    touched = lookup(R.resolve(batch, identities).select("record_id").distinct())
+    state = checkpointed(R.as_of(store.versions(spark).join(touched, "record_id", "left_semi")))
     classified = checkpointed(R.classify(batch.select(S.OBSERVATIONS.fieldNames()), identities, state))
     store.write(R.next_versions(classified, state, seq), "versions", seq)
     store.write(R.new_identities(classified, identities), "identities", seq)
