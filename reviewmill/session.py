@@ -51,6 +51,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write a table into the shared folder and read it back.
+
+    For loops: unlike a checkpoint, the result carries no constraints over from
+    the plan that made it, so planning stays as cheap in the last round as in
+    the first, and its size is known.
+    """
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def lookup(df: DataFrame, limit: int = 200_000) -> DataFrame:
     """Pin a table that should be small and count it: broadcast up to ``limit`` rows.
 
