@@ -50,6 +50,7 @@ TILE = 1024
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     vectors = vectors.astype(np.float64)
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -161,14 +162,14 @@ def tile_links(home: pd.DataFrame, guest: pd.DataFrame | None, cosine: float) ->
 def linked(vectors: DataFrame, cosine: float = COSINE, reach: float = REACH) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for ``vectors(vec_id, embedding, label)``; links need equal labels."""
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"),
-                          F.col("embedding").cast("array<double>").alias("vector"), "label")
+                          F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("string").alias("label"))
     good = rows.where(usable(F.col("vector")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()) \
-        .withColumn("key", F.sha2(F.concat_ws("/", F.col("label").cast("string"), F.col("vector").cast("string")), 256))
+        .withColumn("key", F.sha2(F.concat_ws("/", "label", F.col("vector").cast("string")), 256))
     classes = good.groupBy("key").agg(
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector"),
         F.first("label").alias("label"), F.first(F.size("vector")).alias("size"))
-    # Equal ids with different vectors: the class number keeps them apart, the id carries the component.
-    classes = stored(classes.withColumn("name", F.xxhash64("key")), "vector-classes")
+    # Equal ids can have different vectors: the class number keeps them apart, the id carries the component.
+    classes = stored(classes.withColumn("name", F.monotonically_increasing_id()), "vector-classes")
     index = fit_index(classes, cosine, reach)
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,7 +188,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE, reach: float = REACH) ->
                 yield out[["name", "weight", "vector", "label", "size", "cell", "home"]]
 
     placed = stored(classes.select("name", "weight", "vector", "label", "size").mapInPandas(
-        visits, "name bigint, weight bigint, vector array<double>, label int, size int, cell bigint, home boolean"), "cells")
+        visits, "name bigint, weight bigint, vector array<double>, label string, size int, cell bigint, home boolean"), "cells")
     where = ["label", "size", "cell"]
     loads = placed.groupBy(*where).agg(
         F.sum(F.col("home").cast("int")).alias("homes"), F.sum((~F.col("home")).cast("int")).alias("guests")) \
@@ -225,8 +226,8 @@ def linked(vectors: DataFrame, cosine: float = COSINE, reach: float = REACH) ->
     counts = found.groupBy(F.col("rep").alias("name")).agg(F.sum("links").alias("links"))
     named = found.select(F.col("rep").alias("name"), "least").distinct().join(ids.select("name", F.col("rep").alias("a")), "name") \
         .join(ids.select(F.col("name").alias("least"), F.col("rep").alias("b")), "least").select("a", "b")
-    members = good.join(ids.withColumnRenamed("name", "class").join(counts.withColumnRenamed("name", "class"), "class", "left"),
-                        F.col("class") == F.xxhash64("key")).select("vec_id", "rep", "weight", "links")
+    members = good.select("vec_id", "key").join(classes.select("key", "name", "rep", "weight"), "key") \
+        .join(counts, "name", "left").select("vec_id", "rep", "weight", "links")
     copies = members.where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b")).distinct()
     parts = components_of(stored(named.where("a <> b").unionByName(copies), "edges"))
     stated = members.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))

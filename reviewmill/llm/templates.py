@@ -61,6 +61,7 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+_DIGITS = re.compile(r"\d")
 _CLOSED_BY = {"p": INLINE, "li": frozenset(("ul", "ol", "menu")), "dd": frozenset(("dl",)), "dt": frozenset(("dl",)),
               "td": frozenset(("tr", "table")), "th": frozenset(("tr", "table")), "tr": frozenset(("table", "tbody", "thead")),
               "option": frozenset(("select",))}
@@ -80,8 +81,8 @@ class Node:
                 name, value = name.lower(), values[0] or values[1] or values[2]
                 if name in ("class", "id"):
                     names += " " + value
-                    if name == "class":
-                        marks = value
+                    # Ids with digits are mostly numbered, so they tell pages apart rather than places.
+                    marks += " " + value if name == "class" or not _DIGITS.search(value) else ""
                 elif name == "role":
                     outside |= value.lower() in _OUTSIDE_ROLES
                     content |= value.lower() == "main"
@@ -93,7 +94,8 @@ class Node:
                 outside |= bool(_OUTSIDE_NAME.search(names))
                 content |= bool(_CONTENT_NAME.search(names))
         self.tag = tag
-        self.path = xxhash.xxh64_intdigest(f"{tag}.{marks}", seed=parent.path if parent else 0) >> 1
+        # Tag tokens are even, text tokens odd.
+        self.path = xxhash.xxh64_intdigest(f"{tag}.{marks}", seed=parent.path if parent else 0) >> 2 << 1
         self.outside = outside or (parent.outside if parent else False)
         self.content = (content or (parent.content if parent else False)) and not self.outside
 
@@ -164,7 +166,7 @@ def parse(page: str) -> tuple[Counter, dict[int, int], list[Text]]:
 
 
 def text_token(text: str, path: int) -> int:
-    return xxhash.xxh64_intdigest(" ".join(text.split()), seed=path) >> 1
+    return xxhash.xxh64_intdigest(" ".join(text.split()), seed=path) >> 2 << 1 | 1
 
 
 def page_tokens(page: str) -> list[tuple[int, int, int]]:
@@ -225,8 +227,9 @@ def host_templates(pages: DataFrame) -> DataFrame:
 
     def nest(group: pd.DataFrame) -> pd.DataFrame:
         """Keep classes of several tokens, from the page's root down, whose tokens hang below tokens that are kept."""
-        classes = group.groupby("vector")["token"].transform("size")
-        large = group[classes >= LEAST_TOKENS]
+        # An element's token stands for its two tags.
+        weights = 2 - group["token"] % 2
+        large = group[weights.groupby(group["vector"]).transform("sum") >= LEAST_TOKENS]
         below = dict(zip(large["token"], large["parent"]))
         root = Node("#page", "", None).path
         valid = {root}

@@ -25,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .words import NOT_LETTERS, mix, word_hashes
 
@@ -148,18 +147,17 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     return fit(rows.column("text").combine_chunks(), rows.column("toxic").to_numpy())
 
 
-def with_predictions(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` as they are, with ``predicted`` behind their columns."""
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
     machine = fit_on(docs, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS_AT_ONCE):
                 rows = batch.slice(low, ROWS_AT_ONCE)
-                found = pa.array((machine.scores(rows.column("text")) >= threshold).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*rows.columns, found], [*rows.schema.names, "predicted"])
+                yield rows.filter(pa.array(machine.scores(rows.column("text")) < threshold))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("predicted", IntegerType())]))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
