@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .links import components_of
+from .links import components_of, local_roots
 
 COSINE = 0.98
 SAMPLE = 20_000
@@ -140,7 +140,7 @@ def _spread(vectors: np.ndarray) -> np.ndarray:
 
 
 def tile_links(home: pd.DataFrame, guest: pd.DataFrame | None, cosine: float) -> pd.DataFrame:
-    """Links of one tile: per vector the weight of what it links with and one link to the smallest of its group.
+    """Links of one tile: per vector the weight of what it links with, and the first of what it reaches in the tile.
 
     ``guest`` is None inside one tile; else every home vector meets every guest.
     """
@@ -150,12 +150,14 @@ def tile_links(home: pd.DataFrame, guest: pd.DataFrame | None, cosine: float) ->
     if guest is None:
         np.fill_diagonal(close, False)
     names, names_other = home["rep"].to_numpy(), other["rep"].to_numpy()
-    far = np.iinfo(np.int64).max
-    least = np.where(close, names_other[None, :], far).min(axis=1, initial=far)
-    rows = [pd.DataFrame({"rep": names, "links": close @ other["weight"].to_numpy(), "least": least})[close.any(axis=1)]]
+    roots, roots_other = local_roots(close, names, names_other)
+    if guest is None:
+        roots = np.minimum(roots, roots_other)
+    linked = close.any(axis=1)
+    rows = [pd.DataFrame({"rep": names, "links": close @ other["weight"].to_numpy(), "least": roots})[linked]]
     if guest is not None:
-        least = np.where(close, names[:, None], far).min(axis=0, initial=far)
-        rows.append(pd.DataFrame({"rep": names_other, "links": home["weight"].to_numpy() @ close, "least": least})[close.any(axis=0)])
+        linked = close.any(axis=0)
+        rows.append(pd.DataFrame({"rep": names_other, "links": home["weight"].to_numpy() @ close, "least": roots_other})[linked])
     return pd.concat(rows)
 
 

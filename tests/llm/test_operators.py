@@ -70,7 +70,10 @@ def test_jaccard_edges(docs, none):
     assert jaccard_join.jaccard_components(none).collect() == []
 
 
-def test_jaccard_equals_brute_force(spark):
+@pytest.mark.parametrize("crowd", [32, 3])
+def test_jaccard_equals_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    monkeypatch.setattr(jaccard_join, "TURNS", int(crowd == 32))
     random = np.random.default_rng(3)
     shared = [f"p{i}" for i in range(40)]
     rows, sets = [], {}
@@ -81,7 +84,7 @@ def test_jaccard_equals_brute_force(spark):
             for _ in range(int(random.integers(0, 4))):
                 words[int(random.integers(0, len(words)))] = f"x{random.integers(0, 9)}"
             if random.random() < 0.5:
-                words += shared
+                words += shared[:int(random.integers(20, 40))]
             sets[len(rows)] = {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
             rows.append((len(rows), " ".join(words)))
     component = {i: i for i in sets}
