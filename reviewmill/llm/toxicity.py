@@ -22,13 +22,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .words import NOT_LETTERS, mix, word_hashes
 
-SAMPLE = 24_000
+SAMPLE = 16_000
 TERMS, FACTORS = 1536, 6
 HASH_BITS = 22
 STEPS, RATE, DECAY = 160, 0.05, 2e-4
@@ -79,49 +81,56 @@ class Machine:
         return 1.0 / (1.0 + np.exp(-np.clip(self.logits(self.dense(rows, buckets, len(column))), -30, 30).astype(np.float64)))
 
 
-def telling_terms(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, count: int = TERMS) -> np.ndarray:
-    """The ``count`` buckets with the largest chi-square against the labels, in bucket order."""
-    both = np.bincount(buckets, weights=labels[rows], minlength=1 << HASH_BITS)
-    seen = np.bincount(buckets, minlength=1 << HASH_BITS)
-    total, positive = len(labels), labels.sum()
-    expected = seen * positive / total
-    spread = seen * (positive / total) * (1 - positive / total) * (1 - seen / total)
+def strength(seen: np.ndarray, positive: np.ndarray, rows: int, share: float) -> np.ndarray:
+    """Chi-square of every term against the labels, with a correction for small counts."""
+    spread = seen * share * (1 - share) * (1 - seen / max(rows, 1))
     with np.errstate(divide="ignore", invalid="ignore"):
-        strength = np.where((seen >= 2) & (spread > 0), (np.abs(both - expected) - 0.5).clip(0) ** 2 / spread, 0.0)
-    best = np.lexsort((np.arange(len(strength)), -strength))[:count]
-    return np.sort(best[strength[best] > 0])
+        return np.where((seen >= 2) & (spread > 0), (np.abs(positive - seen * share) - 0.5).clip(0) ** 2 / spread, 0.0)
 
 
-def fit(column: pa.Array, labels: np.ndarray) -> Machine:
-    """Full-batch Adam on the logistic loss; labels 0 and 1."""
+def telling_terms(buckets: np.ndarray, values: np.ndarray, count: int = TERMS) -> np.ndarray:
+    """The ``count`` strongest buckets, in bucket order; of equals the lower ones."""
+    best = np.lexsort((buckets, -values))[:count]
+    return np.sort(buckets[best][values[best] > 0])
+
+
+def descend(kept: np.ndarray, features: np.ndarray, labels: np.ndarray) -> Machine:
+    """Full-batch Adam on the logistic loss; one column of ``features`` for every kept bucket, labels 0 and 1."""
     labels = labels.astype(np.float32)
     share = float(labels.mean()) if len(labels) else 0.0
     if not 0.0 < share < 1.0:
         edge = 30.0 if share else -30.0
         return Machine(np.zeros(0, np.int64), edge, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
-    rows, buckets = term_rows(column)
-    machine = Machine(telling_terms(rows, buckets, labels), float(np.log(share / (1 - share))), None, None)
-    features = machine.dense(rows, buckets, len(labels))
     random = np.random.Generator(np.random.PCG64(7))
-    state = [np.array([machine.bias], np.float32), np.zeros(len(machine.kept), np.float32),
-             random.normal(0, 0.05, (len(machine.kept), FACTORS)).astype(np.float32)]
+    state = [np.array([np.log(share / (1 - share))], np.float32), np.zeros(len(kept), np.float32),
+             random.normal(0, 0.05, (len(kept), FACTORS)).astype(np.float32)]
+    machine = Machine(kept, float(state[0][0]), state[1], state[2])
     means, squares = [np.zeros_like(x) for x in state], [np.zeros_like(x) for x in state]
     for step in range(1, STEPS + 1):
-        machine.bias, machine.weights, machine.vectors = float(state[0][0]), state[1], state[2]
         error = 1.0 / (1.0 + np.exp(-np.clip(machine.logits(features), -30, 30))) - labels
-        error /= len(labels)
-        mixed = features @ machine.vectors
-        slope = [np.array([error.sum()], np.float32), features.T @ error + DECAY * machine.weights,
-                 features.T @ (error[:, None] * mixed) - (features.T @ error)[:, None] * machine.vectors
-                 + DECAY * machine.vectors]
+        error = (error / len(labels)).astype(np.float32)
+        mixed, linear = features @ machine.vectors, features.T @ error
+        slope = [np.array([error.sum()], np.float32), linear + DECAY * machine.weights,
+                 features.T @ (error[:, None] * mixed) - linear[:, None] * machine.vectors + DECAY * machine.vectors]
         for at, part in enumerate(slope):
             means[at] = 0.9 * means[at] + 0.1 * part
             squares[at] = 0.999 * squares[at] + 0.001 * part ** 2
             state[at] = state[at] - RATE * (means[at] / (1 - 0.9 ** step)) / (np.sqrt(squares[at] / (1 - 0.999 ** step)) + 1e-8)
-    machine.bias, machine.weights, machine.vectors = float(state[0][0]), state[1], state[2]
+        machine.bias, machine.weights, machine.vectors = float(state[0][0]), state[1], state[2]
     return machine
 
 
+def fit(column: pa.Array, labels: np.ndarray) -> Machine:
+    """Fit on rows in memory; ``fit_on`` is the same over tables."""
+    rows, buckets = term_rows(column)
+    share = float(labels.mean()) if len(labels) else 0.0
+    seen = np.bincount(buckets, minlength=1 << HASH_BITS)
+    values = strength(seen, np.bincount(buckets, weights=labels[rows], minlength=1 << HASH_BITS), len(labels), share)
+    kept = telling_terms(np.arange(1 << HASH_BITS), values)
+    blank = Machine(kept, 0.0, np.zeros(len(kept)), np.zeros((len(kept), FACTORS)))
+    return descend(kept, blank.dense(rows, buckets, len(labels)), labels)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """At most ``sample`` rows ``text, toxic`` outside the held-out fold, by a hash of the id."""
     agreed = labels.where("doc_id is not null and toxic is not null and toxic in (0, 1)").groupBy(
@@ -136,15 +145,48 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Fit on the sample; its rows' terms are found by Spark, the small fit runs on the driver."""
+    """Fit on the sample: Spark counts its terms and finds each row's kept ones, the driver gets those alone."""
+    rows = stored(training_rows(docs, labels, sample), "training-rows")
 
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, positive = np.zeros(1 << HASH_BITS, np.int64), np.zeros(1 << HASH_BITS, np.int64)
         for batch in batches:
-            yield batch
-
-    rows = training_rows(docs, labels, sample).mapInArrow(terms, "doc_id bigint, text string, toxic int").toArrow()
-    rows = rows.sort_by("doc_id")
-    return fit(rows.column("text").combine_chunks(), rows.column("toxic").to_numpy())
+            for low in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(low, ROWS_AT_ONCE)
+                owner, buckets = term_rows(part.column("text"))
+                seen += np.bincount(buckets, minlength=len(seen))
+                positive += np.bincount(buckets[part.column("toxic").to_numpy()[owner] == 1], minlength=len(seen))
+        found = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_pydict({"bucket": found, "seen": seen[found], "positive": positive[found]})
+
+    total = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.avg("toxic"), F.lit(0.0)).alias("share")).first()
+    share, least = total["share"], F.col("seen") * (1 - F.col("seen") / max(total["rows"], 1))
+    # The order of ``strength``, so that only the strongest buckets come to the driver.
+    force = F.pow(F.greatest(F.abs(F.col("positive") - F.col("seen") * share) - 0.5, F.lit(0.0)), 2) / (least * share * (1 - share))
+    counts = rows.select("text", "toxic").mapInArrow(count, "bucket bigint, seen bigint, positive bigint") \
+        .groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("positive").alias("positive"))
+    top = counts.where((F.col("seen") >= 2) & (least > 0)).orderBy(force.desc(), "bucket").limit(TERMS).toPandas() \
+        if 0 < share < 1 else pd.DataFrame({"bucket": [], "seen": [], "positive": []}, dtype=np.int64)
+    values = strength(top["seen"].to_numpy(), top["positive"].to_numpy(), total["rows"], share)
+    kept = telling_terms(top["bucket"].to_numpy(), values)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(low, ROWS_AT_ONCE)
+                owner, buckets = term_rows(part.column("text"))
+                at = np.minimum(np.searchsorted(kept, buckets), max(len(kept) - 1, 0))
+                same = kept[at] == buckets if len(kept) else np.zeros(len(buckets), bool)
+                ends = np.cumsum(np.bincount(owner[same], minlength=part.num_rows))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(at[same], pa.int32()))
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "toxic": part.column("toxic"), "terms": lists})
+
+    found = rows.mapInArrow(keep, "doc_id bigint, toxic int, terms array<int>").toArrow().sort_by("doc_id")
+    features = np.zeros((found.num_rows, len(kept)), np.float32)
+    lists = found.column("terms").combine_chunks()
+    owner = np.repeat(np.arange(found.num_rows), np.diff(lists.offsets.to_numpy()))
+    features[owner, lists.values.to_numpy()[lists.offsets[0].as_py():lists.offsets[-1].as_py()]] = 1.0
+    return descend(kept, features, found.column("toxic").to_numpy())
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
