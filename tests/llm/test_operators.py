@@ -73,7 +73,6 @@ def test_jaccard_edges(docs, none):
 @pytest.mark.parametrize("crowd", [32, 3])
 def test_jaccard_equals_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(jaccard_join, "CROWD", crowd)
-    monkeypatch.setattr(jaccard_join, "TURNS", int(crowd == 32))
     random = np.random.default_rng(3)
     shared = [f"p{i}" for i in range(40)]
     rows, sets = [], {}
