@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions.dates import parse_utc
 from ..functions.hashing import ordered_digest
 from ..functions.numbers import n
 from .ordered import BLOCK_WIDTH, before, with_blocks
@@ -43,6 +44,26 @@ def seed_identities(seed: DataFrame) -> DataFrame:
     return seed.select(F.explode(F.array_compact(F.array(*options))).alias("i")).select("i.*")
 
 
+def seed_versions(seed: DataFrame, seq: int) -> DataFrame:
+    """The seed's rows as the versions of revision ``seq``; provider columns go into ``native`` as text."""
+    native = [c for c in seed.columns if "__" in c]
+    entries = [F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value"))) for c in native]
+    pairs = F.array_compact(F.array(*entries)) if entries else F.array()
+    kinds = {field.name: field.dataType for field in S.VERSIONS}
+    sources = {
+        "native": F.map_from_entries(pairs) if entries else F.create_map().cast("map<string,string>"), "seq": F.lit(seq),
+    }
+    if "source_record_ids_json" in seed.columns:
+        sources["source_record_ids"] = F.from_json("source_record_ids_json", "array<string>")
+    for name in ("record_date", "updated_at", "collected_at"):
+        if name in seed.columns:
+            sources[name] = parse_utc(F.col(name).cast("string"))
+    return seed.select(*[
+        sources.get(name, F.col(name) if name in seed.columns else F.lit(None)).cast(kind).alias(name)
+        for name, kind in kinds.items()
+    ])
+
+
 # -- reading ---------------------------------------------------------------
 
 def as_of(versions: DataFrame, seq: int | Column | None = None) -> DataFrame:
@@ -105,7 +126,7 @@ def classify(
         F.col("native").isNotNull().alias("_known"),
         _content(F.col).alias("_content"),
         _content(lambda f: _native(provider, f)).alias("_stored"),
-        F.try_to_timestamp(_native(provider, "updated_at")).cast("timestamp_ntz").alias("_stored_at"),
+        parse_utc(_native(provider, "updated_at")).alias("_stored_at"),
     )
     undated = F.col("_known") & F.col("_stored_at").isNull()
     first_difference = rows.where(undated & (F.col("_content") != F.col("_stored"))).groupBy(*keys).agg(

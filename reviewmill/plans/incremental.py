@@ -12,44 +12,45 @@ from .registry import query
 from .views import OBSERVATIONS, over
 
 PARTS = 3
-OVERLAP_DAYS = 7
+LATE = [0, 2, 1]
+LATE_OUTCOMES = OUTCOMES.replace("SELECT event_id AS batch_order", f"""SELECT event_id + 1000000000 * CAST(list_position({LATE},
+    CAST(floor(event_id * {PARTS} / (1.0 + (SELECT max(event_id) FROM events))) AS INT)) AS BIGINT) AS batch_order""", 1)
+FINAL = f""",
+final AS (SELECT record_id, arg_max(provider, batch_order) AS provider, arg_max(text, batch_order) AS text, arg_max(rating, batch_order) AS rating, max(updated_at) AS updated_at,
+  arg_max(fetched_at, batch_order) AS collected_at, 0 AS seq FROM outcomes WHERE outcome IN ('inserted', 'edited') GROUP BY 1)
+SELECT * EXCLUDE (seq) FROM ({STATE_SQL} FROM final)"""
 
 
-def run(spark, sf, repeats: bool = False):
-    """Land the observations in time order and let the job work off each part."""
+def run(spark, sf, order=tuple(range(PARTS))):
+    """Land thirds of the observations in the given order and let the job work off each."""
     root = work_path(spark, "stream")
     store = St.Store(f"{root}/store")
     store.initialize(spark, _identities(spark, sf))
     last = table(spark, sf, "events").agg(F.max("event_id").alias("m")).scalar()
     rows = observations(spark, sf).withColumn("part", F.floor(F.col("batch_order") * PARTS / (last + 1)))
-    for part in range(PARTS):
+    for part in order:
         rows.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{root}/landing")
         stream = St.landed(spark, f"{root}/landing")
-        if repeats:
-            stream = St.without_repeats(stream, OVERLAP_DAYS)
         St.reconcile_stream(stream, store, f"{root}/progress").awaitTermination()
     return store
 
 
-@query("stream_reconcile", over(OUTCOMES, f""",
-final AS (SELECT record_id, arg_max(provider, batch_order) AS provider, arg_max(text, batch_order) AS text, arg_max(rating, batch_order) AS rating, max(updated_at) AS updated_at,
-  arg_max(fetched_at, batch_order) AS collected_at, 0 AS seq FROM outcomes WHERE outcome IN ('inserted', 'edited') GROUP BY 1)
-SELECT * EXCLUDE (seq) FROM ({STATE_SQL} FROM final)"""))
+@query("stream_reconcile", over(OUTCOMES, FINAL))
 def stream_reconcile(spark, sf):
     from ..operators.store import as_of
 
     return _state_columns(as_of(run(spark, sf).versions(spark))).drop("seq")
 
 
-@query("stream_late", over(OUTCOMES, """
-SELECT count(*) FILTER (WHERE outcome = 'inserted') AS inserted, count(*) FILTER (WHERE outcome = 'stale') > 0 AS has_stale FROM outcomes"""))
+@query("stream_late", over(LATE_OUTCOMES, FINAL))
 def stream_late(spark, sf):
-    """Repeats inside the overlap are dropped; what is older than stored is stale, never applied."""
-    return run(spark, sf, repeats=True).revisions(spark).agg(
-        F.sum("inserted").alias("inserted"), (F.sum("stale") > 0).alias("has_stale"))
+    """The whole state after the middle third came last: late reviews get in, late edits of newer ones are stale."""
+    from ..operators.store import as_of
+
+    return _state_columns(as_of(run(spark, sf, LATE).versions(spark))).drop("seq")
 
 
 @query("stream_checkpoint", over(OBSERVATIONS, """
-SELECT provider || ':' || app_id || ':' || country AS scope, strftime(max(updated_at), '%Y-%m-%d') AS value FROM observations GROUP BY 1"""))
+SELECT provider || ':' || app_id || ':' || country AS scope, strftime(max(fetched_at), '%Y-%m-%d %H:%M:%S') AS value FROM observations GROUP BY 1"""))
 def stream_checkpoint(spark, sf):
-    return run(spark, sf).checkpoints(spark).select("scope", F.date_format("value", "yyyy-MM-dd").alias("value"))
+    return run(spark, sf).checkpoints(spark).select("scope", F.date_format("value", "yyyy-MM-dd HH:mm:ss").alias("value"))

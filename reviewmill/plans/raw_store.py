@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -235,17 +238,16 @@ def observation_quarantine(spark, sf):
     return R.quarantine(rows, 1000)
 
 
-@query("operation_replay")
+@query("operation_replay", """
+SELECT * FROM (VALUES ('replay', 'r2', 'repeat'), ('conflict', NULL, 'other rows'), ('stale_parent', NULL, 'old parent'),
+  ('new', NULL, 'next')) AS v(verdict, id, attempt)""")
 def operation_replay(spark, sf):
-    """Three commits by month-half digests: a replay, a conflict and a stale parent."""
-    old, new = _halves(spark, sf)
-    digests = R.observations_digest(old).select(F.lit(1).alias("seq"), F.lit("r1").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit("first").alias("operation"), "digest").unionByName(
-        R.observations_digest(new).select(F.lit(2).alias("seq"), F.lit("r2").alias("id"), F.lit("r1").alias("parent"), F.lit("second").alias("operation"), "digest"))
-    same = R.observations_digest(new).select("digest").scalar()
-    other = R.observations_digest(old).select("digest").scalar()
-    return (
-        R.replay_verdict(digests, "second", "r1", same).withColumn("attempt", F.lit("repeat"))
-        .unionByName(R.replay_verdict(digests, "second", "r1", other).withColumn("attempt", F.lit("other rows")))
-        .unionByName(R.replay_verdict(digests, "third", "r1", same).withColumn("attempt", F.lit("old parent")))
-        .unionByName(R.replay_verdict(digests, "third", "r2", same).withColumn("attempt", F.lit("next")))
-    )
+    """Commits by month-half digests: a replay, a conflict, a stale parent and a next one."""
+    first, second = [R.observations_digest(half).first()["digest"] for half in _halves(spark, sf)]
+    revisions = spark.createDataFrame(
+        [(1, "r1", None, "first", first), (2, "r2", "r1", "second", second)],
+        "seq int, id string, parent string, operation string, digest string")
+    attempts = {"repeat": ("second", "r1", second), "other rows": ("second", "r1", first),
+                "old parent": ("third", "r1", second), "next": ("third", "r2", second)}
+    results = [R.replay_verdict(revisions, *asked).withColumn("attempt", F.lit(name)) for name, asked in attempts.items()]
+    return reduce(DataFrame.unionByName, results)

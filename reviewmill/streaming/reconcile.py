@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,11 +18,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
 from ..operators import store as R
-from ..session import checkpointed, lookup
+from ..operators.ordered import numbered
+from ..session import checkpointed, stored
 
 SEED_SEQ = 1
 REVISIONS = T.StructType([
-    T.StructField("seq", T.LongType()), T.StructField("operation", T.StringType()),
+    T.StructField("seq", T.LongType()), T.StructField("operation", T.StringType()), T.StructField("digest", T.StringType()),
     *[T.StructField(o, T.LongType()) for o in S.OUTCOMES],
 ])
 CHECKPOINTS = T.StructType([
@@ -61,33 +63,86 @@ class Store:
         newest = rows.agg(F.max("seq").alias("s")).scalar()
         return rows.where(F.col("seq") == newest).select("scope", "value", "revision")
 
-    def initialize(self, spark: SparkSession, identities: DataFrame | None = None) -> None:
-        """An empty store, optionally with identities known from a seed."""
-        self.write(spark.createDataFrame([], S.VERSIONS), "versions", SEED_SEQ)
-        self.write(identities if identities is not None else spark.createDataFrame([], S.IDENTITIES), "identities", SEED_SEQ)
+    def is_empty(self, spark: SparkSession) -> bool:
+        try:
+            return self.revisions(spark).isEmpty()
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return True
+            raise
+
+    def seq_of(self, spark: SparkSession, operation: str) -> int:
+        """Revision number of an operation; an unknown one is an error."""
+        row = self.revisions(spark).where(F.col("operation") == operation).select("seq").first()
+        if row is None:
+            raise KeyError(f"no revision of operation {operation}")
+        return row["seq"]
+
+    def at(self, spark: SparkSession, operation: str) -> DataFrame:
+        """The state as the named operation left it."""
+        return R.as_of(self.versions(spark), self.seq_of(spark, operation))
+
+    def initialize(self, spark: SparkSession, identities: DataFrame | None = None, seed: DataFrame | None = None) -> None:
+        """A new store with the seed's rows as its first revision; a store that has revisions is refused.
+
+        ``seed`` is a raw table; its records must be unique.  ``identities`` may name more provider ids than it holds.
+        """
+        if not self.is_empty(spark):
+            raise ValueError(f"the store {self.root} is not empty")
+        versions = spark.createDataFrame([], S.VERSIONS)
+        known = identities if identities is not None else spark.createDataFrame([], S.IDENTITIES)
+        if seed is not None:
+            problems = R.seed_problems(seed).limit(5).collect()
+            if problems:
+                raise ValueError(f"seed records without or with repeated ids: {[row['record_id'] for row in problems]}")
+            versions = R.seed_versions(seed, SEED_SEQ)
+            known = known.unionByName(R.seed_identities(seed)).dropDuplicates(S.OBSERVATION_KEY)
+        self.write(versions, "versions", SEED_SEQ)
+        self.write(known, "identities", SEED_SEQ)
         self.write(spark.createDataFrame([], CHECKPOINTS), "checkpoints", SEED_SEQ)
-        seed = spark.range(1).select(F.lit("seed").alias("operation"), *[F.lit(0).cast("bigint").alias(o) for o in S.OUTCOMES])
-        self.write(seed, "revisions", SEED_SEQ)
+        first = spark.range(1).select(
+            F.lit("seed").alias("operation"), F.lit("").alias("digest"), *[F.lit(0).cast("bigint").alias(o) for o in S.OUTCOMES])
+        self.write(first, "revisions", SEED_SEQ)
 
 
-def commit_batch(store: Store, batch: DataFrame, batch_id: int) -> None:
-    """Apply one micro-batch as one revision; the batch number is the operation id."""
+def in_order(batch: DataFrame) -> DataFrame:
+    """Number a batch's rows by fetch time, then by their order in the file; files may all count from 0."""
+    fields = S.OBSERVATIONS.fieldNames()
+    rest = [name for name in fields if name not in ("fetched_at", "batch_order")]
+    rows = batch.select(fields).withColumnRenamed("batch_order", "in_file")
+    return numbered(rows, ["fetched_at", "in_file", *rest], "batch_order").select(fields)
+
+
+def commit_batch(store: Store, batch: DataFrame, batch_id: int, stream: str = "stream") -> None:
+    """Apply one micro-batch as one revision; stream and batch number are the operation id.
+
+    A batch that is committed already is left alone if its rows are the same and refused if they are not.
+    """
     spark = batch.sparkSession
-    seq, operation = batch_id + SEED_SEQ + 1, f"batch-{batch_id}"
-    if not store.revisions(spark).where(F.col("operation") == operation).isEmpty():
+    operation = f"{stream}-batch-{batch_id}"
+    batch = checkpointed(in_order(batch))
+    found = R.observations_digest(batch).select("digest").first()
+    digest = found["digest"] if found else "empty"
+    revisions = store.revisions(spark)
+    prior = revisions.where(F.col("operation") == operation).select("digest").first()
+    if prior is not None:
+        if prior["digest"] != digest:
+            raise ValueError(f"operation {operation} was committed with other rows")
         return
+    seq = revisions.agg(F.max("seq").alias("s")).first()["s"] + 1
     identities = store.identities(spark)
     # Only versions of the records this batch touches enter the state.
-    touched = lookup(R.resolve(batch, identities).select("record_id").distinct())
+    touched = stored(R.resolve(batch, identities).select("record_id").distinct(), "touched")
     state = checkpointed(R.as_of(store.versions(spark).join(touched, "record_id", "left_semi")))
-    classified = checkpointed(R.classify(batch.select(S.OBSERVATIONS.fieldNames()), identities, state))
+    classified = checkpointed(R.classify(batch, identities, state))
     store.write(R.next_versions(classified, state, seq), "versions", seq)
     store.write(R.new_identities(classified, identities), "identities", seq)
+    # A source is covered up to its last fetch in the batch.
     scope = F.concat_ws(":", "provider", "app_id", F.lower("country"))
-    incoming = classified.groupBy(scope.alias("scope")).agg(F.max("updated_at").alias("value")).withColumn("revision", F.lit(operation))
+    incoming = classified.groupBy(scope.alias("scope")).agg(F.max("fetched_at").alias("value")).withColumn("revision", F.lit(operation))
     store.write(R.upsert_checkpoints(store.checkpoints(spark), incoming), "checkpoints", seq)
     counts = R.outcome_counts(classified).where(F.col("provider") == "(all)").drop("provider")
-    store.write(counts.withColumn("operation", F.lit(operation)), "revisions", seq)
+    store.write(counts.withColumns({"operation": F.lit(operation), "digest": F.lit(digest)}), "revisions", seq)
 
 
 def landed(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -98,18 +153,14 @@ def landed(spark: SparkSession, path: str, max_files: int | None = None) -> Data
     return reader.parquet(path)
 
 
-def without_repeats(stream: DataFrame, overlap_days: int) -> DataFrame:
-    """Drop rows fetched again inside the overlap; the state kept is bounded by it.
+def reconcile_stream(
+    stream: DataFrame, store: Store, checkpoint: str, once: bool = True, name: str = "stream"
+) -> StreamingQuery:
+    """Start the job; ``once`` works off what has landed and stops.
 
-    Rows older than the overlap pass the merge, where the stale rule meets them.
+    Every row reaches the merge, however late.  ``name`` tells streams on one store apart; a stream that starts
+    over with a new ``checkpoint`` needs a new name.
     """
-    return stream.withColumn("event_time", F.col("fetched_at").cast("timestamp")).withWatermark(
-        "event_time", f"{overlap_days} days"
-    ).dropDuplicatesWithinWatermark([*S.OBSERVATION_KEY, *S.CONTENT_FIELDS, "updated_at"]).drop("event_time")
-
-
-def reconcile_stream(stream: DataFrame, store: Store, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Start the job; ``once`` works off what has landed and stops."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, batch_id: commit_batch(store, batch, batch_id))
+        lambda batch, batch_id: commit_batch(store, batch, batch_id, name))
     return (writer.trigger(availableNow=True) if once else writer).start()

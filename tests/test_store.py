@@ -160,6 +160,63 @@ def test_retried_micro_batch_changes_nothing(spark, tmp_path):
     St.commit_batch(store, batch, 0)
     assert store.versions(spark).count() == 2 and store.revisions(spark).count() == 2
     St.commit_batch(store, batch, 1)
-    row = store.revisions(spark).where("operation = 'batch-1'").first()
+    row = store.revisions(spark).where("operation = 'stream-batch-1'").first()
     assert (row["inserted"], row["duplicates"], row["stale"]) == (0, 2, 1)
     assert store.checkpoints(spark).first()["value"] == T0 + timedelta(days=1)
+
+
+def test_used_batch_number_with_other_rows_is_refused(spark, tmp_path):
+    store = St.Store(str(tmp_path / "store"))
+    store.initialize(spark)
+    St.commit_batch(store, frame(spark, [observation(0, 1)]), 0)
+    with pytest.raises(ValueError, match="other rows"):
+        St.commit_batch(store, frame(spark, [observation(0, 2)]), 0)
+    St.commit_batch(store, frame(spark, [observation(0, 2)]), 0, "second")
+    assert store.versions(spark).count() == 2 and store.revisions(spark).agg(F.max("seq")).first()[0] == 3
+    with pytest.raises(KeyError):
+        store.at(spark, "unknown")
+    assert store.at(spark, "stream-batch-0").count() == 1
+
+
+def test_stream_loses_no_late_and_no_reverted_review(spark, tmp_path):
+    store = St.Store(str(tmp_path / "store"))
+    store.initialize(spark)
+    landing, late = str(tmp_path / "landing"), timedelta(days=10)
+    for rows in (
+        [observation(0, 1, text="A", fetched_at=T0)],
+        [observation(0, 1, text="B", fetched_at=T0 + late), observation(1, 2, fetched_at=T0 + late)],
+        [observation(0, 1, text="A", fetched_at=T0 + 2 * late), observation(1, 3, fetched_at=T0 - late, updated_at=T0 - late)],
+    ):
+        frame(spark, rows).coalesce(1).write.mode("append").parquet(landing)
+        St.reconcile_stream(St.landed(spark, landing), store, str(tmp_path / "progress")).awaitTermination()
+    state = {r["record_id"][-1]: r["text"] for r in R.as_of(store.versions(spark)).collect()}
+    assert state == {"1": "A", "2": "Original 2", "3": "Original 3"}
+    assert [r["edited"] for r in store.revisions(spark).orderBy("seq").collect()] == [0, 0, 1, 1]
+
+
+def test_seed_is_the_first_revision(spark, tmp_path):
+    store = St.Store(str(tmp_path / "store"))
+    seed = spark.createDataFrame(
+        [("r1", "google_play", "example.app", "MX", "old", "2026-09-01T00:00:00+00:00", "77", "example.app")],
+        "record_id string, platform string, app_id string, country string, text string, updated_at string, play__source_id string, play__target string")
+    store.initialize(spark, seed=seed)
+    with pytest.raises(ValueError, match="not empty"):
+        store.initialize(spark, seed=seed)
+    with pytest.raises(ValueError, match="repeated"):
+        St.Store(str(tmp_path / "other")).initialize(spark, seed=seed.unionByName(seed))
+    first = store.at(spark, "seed").first()
+    assert (first["text"], first["updated_at"], first["native"]["play__source_id"]) == ("old", datetime(2026, 9, 1), "77")
+    St.commit_batch(store, frame(spark, [observation(0, 77, text="new")]), 0)
+    assert [r["text"] for r in R.as_of(store.versions(spark)).collect()] == ["new"]
+
+
+def test_stored_dates_are_utc_in_any_session(spark):
+    _, seed = committed(spark, [observation(0, 1, updated_at=datetime(2024, 1, 20, 3))])
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("UTC", "America/Mexico_City"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            classified, _ = committed(spark, [observation(0, 1, text="x", updated_at=datetime(2024, 1, 20, 1))], state=R.as_of(seed), seq=2)
+            assert totals(classified)["stale"] == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
