@@ -8,7 +8,6 @@ other white space around a space go through the tokenizer as they are.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -16,20 +15,25 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_000_000
 BATCH_CHARS = 1 << 20
 #: Behind letters these always begin a pre-token of their own; the apostrophe does not.
 _MARKS = ".,;:!?%*#$&|)-"
-_ODD_SPACES = re.compile(r"^ | $|\s | \s")
 
 
 class PieceEncoder:
-    """Ids of texts as bytes of little-endian unsigned 32-bit integers."""
+    """Ids of texts as bytes of little-endian unsigned 32-bit integers.
+
+    The cache has two generations: when the younger is full it becomes the older, and what is used again moves back.
+    """
 
     def __init__(self, path: str = BYTE_BPE):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        #: None stands for pieces that are no word between single spaces.
+        self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+        self.heads: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -43,7 +47,10 @@ class PieceEncoder:
             if len(stem) < len(piece) and stem.isalpha():
                 joined.append((piece, stem))
                 if stem not in self.known:
-                    plain.add(stem)
+                    if stem in self.older:
+                        self.known[stem] = self.older[stem]
+                    else:
+                        plain.add(stem)
             else:
                 plain.add(piece)
         self._encode_new(list(plain))
@@ -64,7 +71,7 @@ class PieceEncoder:
             part = pieces[at:end]
             encoded = self.tokenizer.encode("".join([" " + piece for piece in part]), add_special_tokens=False)
             ids = np.array(encoded.ids, "<u4")
-            firsts = np.array([offset[0] for offset in encoded.offsets], np.int64)
+            firsts = np.fromiter([offset[0] for offset in encoded.offsets], np.int64, len(ids))
             borders = np.cumsum([len(piece) + 1 for piece in part])
             cuts = np.concatenate(([0], np.searchsorted(firsts, borders)))
             raw = ids.tobytes()
@@ -72,29 +79,46 @@ class PieceEncoder:
                 self.known[piece] = raw[4 * low:4 * high]
             at = end
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts: list[tuple[str, list[str]] | None] = []
-        wanted: set[str] = set()
-        for text in texts:
-            if _ODD_SPACES.search(text):
-                parts.append(None)
-                continue
-            first, *rest = text.split(" ")
-            wanted.update(rest)
-            parts.append((first, rest))
-        new = [piece for piece in wanted if piece not in self.known]
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known.clear()
+    def _head(self, text: str) -> bytes:
+        """A text's first piece, which has no space in front."""
+        held = self.heads.get(text)
+        if held is None:
+            if len(self.heads) > CACHE_ENTRIES // 8:
+                self.heads.clear()
+            held = self.heads[text] = self.whole(text)
+        return held
+
+    def prepare(self, wanted: set[str]) -> None:
+        """Have all wanted pieces in the younger generation."""
+        if len(self.known) > CACHE_ENTRIES // 2:
+            self.known, self.older = {}, self.known
             self.marks.clear()
-            new = list(wanted)
+        known, older = self.known, self.older
+        new = []
+        for piece in wanted.difference(known):
+            if piece in older:
+                known[piece] = older[piece]
+            elif not piece or piece[0].isspace() or piece[-1].isspace():
+                known[piece] = None
+            else:
+                new.append(piece)
         self._learn(new)
-        known, result = self.known, []
-        for text, part in zip(texts, parts):
-            if part is None:
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        parts = [text.split(" ") for text in texts]
+        heads = [pieces.pop(0) for pieces in parts]
+        wanted: set[str] = set()
+        for pieces in parts:
+            wanted.update(pieces)
+        self.prepare(wanted)
+        find, result = self.known.__getitem__, []
+        for text, head, pieces in zip(texts, heads, parts):
+            try:
+                if pieces and (not head or head[-1].isspace()):
+                    raise TypeError
+                result.append(self._head(head) + b"".join(map(find, pieces)))
+            except TypeError:  # a piece that is None: other white space around a space
                 result.append(self.whole(text))
-            else:
-                first, rest = part
-                result.append((self.whole(first) if first else b"") + b"".join([known[piece] for piece in rest]))
         return result
 
 

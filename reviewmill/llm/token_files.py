@@ -27,7 +27,7 @@ from .encoding import BYTE_BPE, piece_encoder
 
 END_ID = 2
 CHUNK_IDS = 1 << 19
-ROWS_AT_ONCE = 256
+ROWS_AT_ONCE = 1024
 
 FILE_SCHEMA = """part int, seq int, local_start long, n_ids long, doc_ids array<bigint>, lengths array<bigint>,
     block_offsets binary, words binary"""
