@@ -52,15 +52,16 @@ def compose_unicode(text):
     return text.str.normalize("NFC")
 
 
-def words(text: Column, compose: bool = False) -> Column:
-    """Exploration tokens: folded case, links dropped, runs of letters.
+def composed(text: Column) -> Column:
+    """The text with composed accents; only texts with a combining mark are sent to the Arrow stage."""
+    return F.coalesce(compose_unicode(F.when(text.rlike(r"\p{M}"), text)), text)
 
-    ``compose`` adds the Arrow-batched canonical composition for sources that
-    hold decomposed accents.
-    """
+
+def words(text: Column, compose: bool = True) -> Column:
+    """Exploration tokens: accents composed, folded case, links dropped, runs of letters."""
     value = F.coalesce(text, F.lit(""))
     if compose:
-        value = compose_unicode(value)
+        value = composed(value)
     bare = F.regexp_replace(fold_case(value), LINK_PATTERN, " ")
     return F.regexp_extract_all(bare, F.lit(WORD_PATTERN), F.lit(0))
 

@@ -58,8 +58,8 @@ def pin_selection(df: DataFrame, order: list[str], limit: int | None = None) ->
         raise ValueError(f"reserved columns in the source: {sorted(taken)}")
     if limit is not None and limit < 1:
         raise ValueError("limit must be positive")
-    rows = df if limit is None else df.orderBy(*order).limit(limit)
-    return numbered(rows, order, "pinned_row")
+    rows = numbered(df, order, "pinned_row")
+    return rows if limit is None else rows.where(F.col("pinned_row") < limit)
 
 
 def selection_identity(pinned: DataFrame, limit: int | None) -> DataFrame:
@@ -219,8 +219,9 @@ def context_problems(vectors: DataFrame, context: DataFrame, key: str) -> DataFr
 
 
 def seeded_sample(df: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
-    """A reproducible sample: the rows with the smallest seeded hash of their key."""
-    return df.withColumn("_draw", F.xxhash64(F.col(key), F.lit(seed))).orderBy("_draw", key).limit(size).drop("_draw")
+    """A reproducible sample: the rows with the smallest SHA-256 of seed and key, picked by number in every range."""
+    drawn = df.withColumn("_draw", F.sha2(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string")), 256))
+    return numbered(drawn, ["_draw", key], "_turn").where(F.col("_turn") < size).drop("_draw", "_turn")
 
 
 def prepared_inputs(df: DataFrame) -> DataFrame:

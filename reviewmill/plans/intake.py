@@ -137,7 +137,7 @@ def release_manifest(spark, sf):
         "row_count", "format_version", "stage", F.size(F.split("columns", ",")).cast("bigint").alias("columns"))
 
 
-@query("verify_release", over(PREPARED, "SELECT true AS size_ok, true AS columns_ok, true AS rows_ok, true AS content_ok, count(*) AS row_count, true AS valid FROM prepared"))
+@query("verify_release", over(PREPARED, "SELECT true AS size_ok, true AS files_ok, true AS columns_ok, true AS rows_ok, true AS content_ok, count(*) AS row_count, true AS valid FROM prepared"))
 def verify(spark, sf):
     return L.verify_release(spark, _release(spark, sf)[0])
 

@@ -176,11 +176,10 @@ def disagreement_examples(spark, sf):
 
 
 @query("sentiment_members", over(TOPICS, """
-SELECT record_id, sentiment, round(greatest(p_negative, p_neutral, p_positive), 6) AS confidence FROM t WHERE topic_id = 1
-ORDER BY CASE sentiment WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 ELSE 2 END, greatest(p_negative, p_neutral, p_positive) DESC, source_row LIMIT 10"""))
+SELECT record_id, sentiment, round(greatest(p_negative, p_neutral, p_positive), 6) AS confidence FROM t WHERE topic_id = 1"""))
 def sentiment_members(spark, sf):
     members = rows(spark, sf).where(F.col("topic_id") == 1)
-    return members.orderBy(*Se.member_order()).limit(10).select("record_id", "sentiment", rounded(Se.confidence()).alias("confidence"))
+    return members.orderBy(*Se.member_order()).select("record_id", "sentiment", rounded(Se.confidence()).alias("confidence"))
 
 
 @query("sentiment_margin", over(REVIEWS, """
@@ -202,7 +201,8 @@ def topic_sentiment_pct(spark, sf):
 
 
 @query("spread_examples", over(REPS, """,
-ranked AS (SELECT topic_id, row_number() OVER (ORDER BY reviews DESC, topic_id) - 1 AS pos, count(*) OVER () AS n FROM numbers WHERE topic_id >= 0),
+ranked AS (SELECT topic_id, row_number() OVER (ORDER BY reviews DESC, topic_id) - 1 AS pos, least(count(*) OVER (), 20) AS n FROM numbers WHERE topic_id >= 0
+  QUALIFY row_number() OVER (ORDER BY reviews DESC, topic_id) <= 20),
 wanted AS (SELECT topic_id FROM ranked WHERE list_contains(list_transform(range(0, least(n, 6)), lambda i: CAST(floor(i * (n - 1) / greatest(least(n, 6) - 1, 1)) AS BIGINT)), pos))
 SELECT t.topic_id, t.record_id, t.sentiment, round(p_negative, 6) AS p_negative FROM t JOIN wanted w ON w.topic_id = t.topic_id LEFT JOIN reps r ON r.source_row = t.source_row
 QUALIFY row_number() OVER (PARTITION BY t.topic_id ORDER BY r.source_row IS NULL, t.source_row) = 1"""))

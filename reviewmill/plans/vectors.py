@@ -125,7 +125,8 @@ def context_problems(spark, sf):
     return Fe.context_problems(vectors(spark, sf), _context(spark, sf), "vec_id")
 
 
-@query("seeded_sample")
+@query("seeded_sample", over(REVIEWS, """
+SELECT record_id, source_row, platform, sha256(model_text) AS text_hash FROM reviews ORDER BY sha256('42:' || record_id), record_id LIMIT 100"""))
 def seeded_sample(spark, sf):
     return Fe.seeded_sample(reviews(spark, sf).select("record_id", "source_row", "platform", "text_hash"), "record_id", 100)
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -30,9 +30,11 @@ def build_session(master: str | None = None, name: str = "reviewmill", **conf) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a fresh one only where none is set."""
+    """The folder the cluster names for checkpoints; a fresh local one only for a local master without it."""
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set(CHECKPOINT_KEY, folder)
     return folder.rstrip("/")
@@ -63,10 +65,6 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lookup(df: DataFrame, limit: int = 200_000) -> DataFrame:
-    """Pin a table that should be small and count it: broadcast up to ``limit`` rows.
-
-    A larger table comes back without the hint and joins by shuffle.
-    """
-    pinned = checkpointed(df)
-    return broadcast(pinned) if pinned.count() <= limit else pinned
+def lookup(df: DataFrame) -> DataFrame:
+    """Write a table that should be small, so that Spark knows its bytes and broadcasts it only below its own bound."""
+    return stored(df, "lookup")

@@ -38,6 +38,23 @@ def _data_files(spark: SparkSession, path: str) -> DataFrame:
     return listing(spark, path).where(F.col("path").endswith(".parquet"))
 
 
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """Name, size and SHA-256 of every data file; one task reads one file at a time."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.where(F.col("path").endswith(".parquet")).select(
+        F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def file_problems(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a release that are missing, were changed or were added since its manifest was written."""
+    declared = spark.read.schema("name string, bytes bigint, sha256 string").json(f"{path}/files").alias("d")
+    observed = file_hashes(spark, f"{path}/data").alias("o")
+    problem = F.when(F.col("o.name").isNull(), "missing").when(F.col("d.name").isNull(), "added").when(
+        F.col("d.sha256") != F.col("o.sha256"), "changed")
+    both = declared.join(observed, F.col("d.name") == F.col("o.name"), "full_outer")
+    return both.select(F.coalesce("d.name", "o.name").alias("name"), problem.alias("problem")).where("problem is not null")
+
+
 def write_release(df: DataFrame, path: str, key: str = "record_id", lineage: dict[str, str] | None = None) -> DataFrame:
     """Write rows in key order, then the manifest; an existing release is never touched."""
     spark = df.sparkSession
@@ -53,6 +70,7 @@ def write_release(df: DataFrame, path: str, key: str = "record_id", lineage: dic
         F.lit(column_list(df)).alias("columns"),
         *[F.lit(v).alias(k) for k, v in (lineage or {}).items()],
     )
+    file_hashes(spark, data).write.mode("errorifexists").json(f"{path}/files")
     manifest.write.mode("errorifexists").json(f"{path}/manifest")
     return read_manifest(spark, path)
 
@@ -62,20 +80,21 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verify_release(spark: SparkSession, path: str) -> DataFrame:
-    """Compare files, columns, row count and content with the manifest."""
+    """Compare files by their hashes, columns, row count and content with the manifest."""
     data = spark.read.parquet(f"{path}/data")
     seen = data.agg(n().alias("rows"), content_digest(data).alias("digest"))
     size = _data_files(spark, f"{path}/data").agg(F.sum("bytes").alias("b")).scalar()
     manifest = read_manifest(spark, path)
+    broken = file_problems(spark, path).agg(n().alias("broken")).scalar()
     rows, digest = seen.select("rows").scalar(), seen.select("digest").scalar()
     checks = manifest.select(
-        (F.col("size_bytes") == size).alias("size_ok"),
+        (F.col("size_bytes") == size).alias("size_ok"), (broken == 0).alias("files_ok"),
         (F.col("columns") == F.lit(column_list(data))).alias("columns_ok"),
         (F.col("row_count") == rows).alias("rows_ok"),
         (F.col("content_sha256") == digest).alias("content_ok"),
         "row_count",
     )
-    return checks.withColumn("valid", F.col("size_ok") & F.col("columns_ok") & F.col("rows_ok") & F.col("content_ok"))
+    return checks.withColumn("valid", F.col("size_ok") & F.col("files_ok") & F.col("columns_ok") & F.col("rows_ok") & F.col("content_ok"))
 
 
 # -- catalogue -------------------------------------------------------------
@@ -83,12 +102,14 @@ def verify_release(spark: SparkSession, path: str) -> DataFrame:
 def publish(catalogue: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows to append and conflicting rows; publishing the same run again adds nothing.
 
-    Both tables carry ``seq, run_id, artifact_id, info``.
+    Both tables carry ``seq, run_id, artifact_id, info``.  Inside one batch a run is published once, by its first row;
+    rows of that run with another info are conflicts with it.
     """
     known = catalogue.select("run_id", F.col("info").alias("known_info"))
-    joined = incoming.join(known, "run_id", "left")
-    fresh = joined.where(F.col("known_info").isNull()).drop("known_info")
-    conflicts = joined.where(F.col("known_info").isNotNull() & (F.col("known_info") != F.col("info")))
+    first = incoming.groupBy("run_id").agg(F.min_by(F.struct(*catalogue.columns), F.struct("seq", "info")).alias("first"))
+    fresh = first.join(known, "run_id", "left_anti").select("first.*")
+    standing = first.join(known, "run_id", "left").select("run_id", F.coalesce("known_info", "first.info").alias("known_info"))
+    conflicts = incoming.join(standing, "run_id").where(F.col("known_info") != F.col("info"))
     return fresh.select(*catalogue.columns), conflicts.select("run_id", "info", "known_info")
 
 

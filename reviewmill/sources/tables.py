@@ -14,17 +14,18 @@ from ..functions import text as X
 from ..functions.hashing import text_hash
 
 
+#: About 1 GB at the usual split size.
+FEW_SPLITS = 8
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core where a scan yields fewer splits than there are cores.
-
-    Large inputs have more splits than cores and pass through untouched.
-    """
+    """Use every core where a small table is a few splits only; from ``FEW_SPLITS`` on a scan passes as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else df
 
 
 def reviews(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:

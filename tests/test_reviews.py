@@ -162,6 +162,7 @@ def test_release_is_verified_and_never_overwritten(spark, tmp_path):
         release.write_release(rows, path)
     rows.limit(1).write.mode("append").parquet(path + "/data")
     changed = release.verify_release(spark, path).first()
+    assert not changed["files_ok"]
     assert not changed["valid"] and not changed["rows_ok"] and not changed["content_ok"] and changed["columns_ok"]
 
 
@@ -171,6 +172,8 @@ def test_publication_conflicts(spark):
     fresh, conflicts = release.publish(stored, spark.createDataFrame([(2, "a", "x", "{}"), (3, "b", "y", "{}")], schema))
     assert [r["run_id"] for r in fresh.collect()] == ["b"] and conflicts.count() == 0
     assert release.publish(stored, spark.createDataFrame([(2, "a", "x", "{1}")], schema))[1].count() == 1
+    fresh, conflicts = release.publish(stored, spark.createDataFrame([(2, "n", "x", "{1}"), (3, "n", "y", "{2}")], schema))
+    assert [r["info"] for r in fresh.collect()] == ["{1}"] and [r["info"] for r in conflicts.collect()] == ["{2}"]
     assert release.resolve(stored, "none").count() == 0
 
 
