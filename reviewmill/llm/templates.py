@@ -53,6 +53,8 @@ _OUTSIDE_NAME = re.compile(
     r"related|recommended|notice|notices|cookies?|consent|gdpr|alert|banner|popup|modal|newsletter|subscribe|signup|ads?|adverts?|"
     r"advertisement|advertising|sponsored|sponsor|promo|promotion|comments?|commentlist|disqus|respond|replies|discussion|share|"
     r"sharing|social|pagination|pager|form|search|skip|toolbar|login|copyright)(?:$|[\s_\d-])", re.I)
+#: Names of a page's layout that mention such a part without being one.
+_LAYOUT_NAME = re.compile(r"\b(?:has|with|without|no)[-_][\w-]+", re.I)
 _OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 _CONTENT_NAME = re.compile(r"(?:^|\s)(?:articleBody|article-body|article-content|post-content|entry-content|main-content)(?:$|\s)")
 
@@ -91,7 +93,7 @@ class Node:
                 elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
                     outside = True
             if names and tag not in ("html", "body", "article", "main"):
-                outside |= bool(_OUTSIDE_NAME.search(names))
+                outside |= bool(_OUTSIDE_NAME.search(_LAYOUT_NAME.sub("", names)))
                 content |= bool(_CONTENT_NAME.search(names))
         self.tag = tag
         # Tag tokens are even, text tokens odd.

@@ -238,4 +238,5 @@ def test_main_text():
             "<div class=\"comments\"><p>c1</p></div></main><div id=sidebar>s</div></body>")
     assert templates.main_text(page, frozenset()) == "T & U\n\na b c\n\nd"
     assert templates.main_text("", frozenset()) == ""
+    assert templates.main_text("<div class='page has-sidebar'><p>in</p><div class='sidebar'>out</div></div>", frozenset()) == "in"
     assert templates.main_text("<div><p>only</p> text", frozenset()) == "only\n\ntext"
