@@ -31,16 +31,20 @@ def seed_problems(seed: DataFrame) -> DataFrame:
 
 
 def seed_identities(seed: DataFrame) -> DataFrame:
-    """One identity per provider id found in the seed's per-provider columns."""
+    """One identity per provider id found in the seed's per-provider columns; a provider without columns has none."""
     options = []
     for provider in S.STORE_PROVIDERS:
+        if f"{provider}__source_id" not in seed.columns:
+            continue
         native = F.col(f"{provider}__source_id")
-        target = F.col(f"{provider}__target")
+        target = F.col(f"{provider}__target") if f"{provider}__target" in seed.columns else F.lit(None)
         app = F.when(target != "", target).otherwise(F.col("app_id"))
         options.append(F.when(native.isNotNull(), F.struct(
             F.lit(provider).alias("provider"), app.cast("string").alias("app_id"),
             native.cast("string").alias("source_id"), F.col("record_id").cast("string").alias("record_id"),
         )))
+    if not options:
+        return empty_identities(seed.sparkSession)
     return seed.select(F.explode(F.array_compact(F.array(*options))).alias("i")).select("i.*")
 
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.hashing import text_hash
 from ..session import work_path
-from ..sources.tables import observations, table
+from ..sources.pages import captured_pages
+from ..sources.tables import observations, reviews, table
 from ..streaming import reconcile as St
+from .intake import feed_pages, rpc_pages
 from .raw_store import OUTCOMES, STATE_SQL, _identities, _state_columns
 from .registry import query
-from .views import OBSERVATIONS, over
+from .views import OBSERVATIONS, REVIEWS, over
 
 PARTS = 3
 LATE = [0, 2, 1]
@@ -54,3 +57,32 @@ def stream_late(spark, sf):
 SELECT provider || ':' || app_id || ':' || country AS scope, strftime(max(fetched_at), '%Y-%m-%d %H:%M:%S') AS value FROM observations GROUP BY 1"""))
 def stream_checkpoint(spark, sf):
     return run(spark, sf).checkpoints(spark).select("scope", F.date_format("value", "yyyy-MM-dd HH:mm:ss").alias("value"))
+
+
+PAGES_SQL = over(REVIEWS, """,
+span AS (SELECT min(record_ts) AS low, max(record_ts) AS high FROM reviews),
+kept AS (SELECT r.* FROM reviews r, span WHERE (platform = 'app_store' AND record_ts <= high)
+  OR (platform = 'google_play' AND record_ts BETWEEN low + (high - low) / 2 AND high))
+SELECT CASE platform WHEN 'app_store' THEN 'apple_rss' ELSE 'play' END || ':app:' || record_id AS record_id, platform, 'MX' AS country,
+  sha256(text) AS text_hash, rating, strftime(record_ts, '%Y-%m-%d %H:%M:%S') AS updated_at, '2030-01-01 00:00:00' AS collected_at,
+  strftime(high, '%Y-%m-%d %H:%M:%S') AS covered_until FROM kept, span""")
+
+
+@query("pages_to_store", PAGES_SQL)
+def pages_to_store(spark, sf):
+    """Captured page files, landed and committed as a revision; the last source's checkpoint is the window's end."""
+    root = work_path(spark, "pages")
+    for name, pages in (("feed", feed_pages(spark, sf)), ("rpc", rpc_pages(spark, sf))):
+        folder = f"{root}/{name}/app_id=app/country=mx/fetched_at=20300101T000000"
+        pages.repartition("page").write.partitionBy("page").text(folder)
+    feed, rpc = [captured_pages(spark, f"{root}/{name}") for name in ("feed", "rpc")]
+    span = reviews(spark, sf, "dates").agg(F.min("record_ts").alias("low"), F.max("record_ts").alias("high")).first()
+    store = St.Store(f"{root}/store")
+    store.initialize(spark)
+    St.commit_pages(store, feed, rpc, span["low"] + (span["high"] - span["low"]) / 2, span["high"], 0)
+    covered = store.checkpoints(spark).agg(F.min("value").alias("v")).scalar()
+    stamp = "yyyy-MM-dd HH:mm:ss"
+    return store.at(spark, "pages-batch-0").select(
+        "record_id", "platform", "country", text_hash(F.col("text")).alias("text_hash"), "rating",
+        F.date_format("updated_at", stamp).alias("updated_at"), F.date_format("collected_at", stamp).alias("collected_at"),
+        F.date_format(covered, stamp).alias("covered_until"))

@@ -9,6 +9,7 @@ look at recorded revisions only.  A retried batch therefore changes nothing.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from .. import schemas as S
 from ..operators import store as R
 from ..operators.ordered import numbered
 from ..session import checkpointed, stored
+from ..sources.pages import page_observations, page_problems
 
 SEED_SEQ = 1
 REVISIONS = T.StructType([
@@ -106,17 +108,18 @@ class Store:
 
 
 def in_order(batch: DataFrame) -> DataFrame:
-    """Number a batch's rows by fetch time, then by their order in the file; files may all count from 0."""
+    """Number a batch's rows by fetch time, capture (where given) and order in the file; files may all count from 0."""
     fields = S.OBSERVATIONS.fieldNames()
+    capture = [name for name in ("capture_ref",) if name in batch.columns]
     rest = [name for name in fields if name not in ("fetched_at", "batch_order")]
-    rows = batch.select(fields).withColumnRenamed("batch_order", "in_file")
-    return numbered(rows, ["fetched_at", "in_file", *rest], "batch_order").select(fields)
+    rows = batch.select(*fields, *capture).withColumnRenamed("batch_order", "in_file")
+    return numbered(rows, ["fetched_at", *capture, "in_file", *rest], "batch_order").select(fields)
 
 
-def commit_batch(store: Store, batch: DataFrame, batch_id: int, stream: str = "stream") -> None:
+def commit_batch(store: Store, batch: DataFrame, batch_id: int, stream: str = "stream", until: datetime | None = None) -> None:
     """Apply one micro-batch as one revision; stream and batch number are the operation id.
 
-    A batch that is committed already is left alone if its rows are the same and refused if they are not.
+    ``until`` is the end of the window the batch covers, else its sources are covered up to their last fetch.  A batch that is committed already is left alone if its rows are the same and refused if they are not.
     """
     spark = batch.sparkSession
     operation = f"{stream}-batch-{batch_id}"
@@ -137,14 +140,37 @@ def commit_batch(store: Store, batch: DataFrame, batch_id: int, stream: str = "s
     classified = checkpointed(R.classify(batch, identities, state))
     store.write(R.next_versions(classified, state, seq), "versions", seq)
     store.write(R.new_identities(classified, identities), "identities", seq)
-    # A source is covered up to its last fetch in the batch.
     scope = F.concat_ws(":", "provider", "app_id", F.lower("country"))
-    incoming = classified.groupBy(scope.alias("scope")).agg(F.max("fetched_at").alias("value")).withColumn("revision", F.lit(operation))
+    incoming = classified.groupBy(scope.alias("scope")).agg(
+        (F.max("fetched_at") if until is None else F.lit(until).cast("timestamp_ntz")).alias("value")).withColumn("revision", F.lit(operation))
     store.write(R.upsert_checkpoints(store.checkpoints(spark), incoming), "checkpoints", seq)
     counts = R.outcome_counts(classified).where(F.col("provider") == "(all)").drop("provider")
     store.write(counts.withColumns({"operation": F.lit(operation), "digest": F.lit(digest)}), "revisions", seq)
 
 
+def commit_pages(
+    store: Store, feed: DataFrame, rpc: DataFrame, since: datetime, until: datetime, batch_id: int, stream: str = "pages"
+) -> DataFrame:
+    """From captured pages to a revision: parse, gate, window, quarantine, merge, checkpoint at the window's end.
+
+    A malformed page fails its source, and a batch with a failed or missing source is refused.  Returns what was quarantined.
+    """
+    spark = feed.sparkSession
+    problems = stored(page_problems(feed, rpc), "page-problems")
+    failed = problems.select("provider").distinct().withColumn("status", F.lit("failed"))
+    sources = spark.createDataFrame([(p,) for p in S.STORE_PROVIDERS], "provider string").join(failed, "provider", "left") \
+        .select("provider", F.coalesce("status", F.lit("success")).alias("status"))
+    if not R.batch_gate(sources).first()["may_commit"]:
+        raise ValueError(f"pages are refused: {[tuple(row) for row in problems.limit(5).collect()]}")
+    start, end = [F.lit(moment).cast("timestamp_ntz") for moment in (since, until)]
+    rows = page_observations(feed, rpc).where(R.in_window(F.col("provider"), F.col("updated_at"), start, end))
+    rows = stored(rows, "page-rows")
+    bad = R.quarantine(rows)
+    fine = rows.where(~((F.coalesce("source_id", F.lit("")) == "") | F.coalesce(~F.col("rating").between(1, 5), F.lit(False))))
+    commit_batch(store, fine, batch_id, stream, until)
+    return bad
+
+
 def landed(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Stream of observation files under a folder."""
     reader = spark.readStream.schema(S.OBSERVATIONS)

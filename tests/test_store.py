@@ -220,3 +220,21 @@ def test_stored_dates_are_utc_in_any_session(spark):
             assert totals(classified)["stale"] == 1
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_malformed_page_refuses_the_batch(spark, tmp_path):
+    store = St.Store(str(tmp_path / "store"))
+    store.initialize(spark)
+    page = "body string, capture_ref string, app_id string, country string, fetched_at timestamp_ntz"
+    feed = spark.createDataFrame([('{"feed":{"entry":{"id":{"label":"7"},"updated":{"label":"2026-09-01T00:00:00Z"},"content":{"label":"ok"},'
+                                   '"title":{"label":"t"},"im:rating":{"label":"9"}}}}', "f1", "a", "mx", T0)], page)
+    body = ")]}'\n\n[[\"wrb.fr\",\"x\",\"[[[\\\"r1\\\",[],5,null,\\\"good\\\",[1788220800]]],[null,null],null]\"]]"
+    good, bad = spark.createDataFrame([(body, "r1", "a", "mx", T0)], page), spark.createDataFrame([("<html>blocked", "r2", "a", "mx", T0)], page)
+    window = (T0 - timedelta(days=30), T0)
+    with pytest.raises(ValueError, match="malformed"):
+        St.commit_pages(store, feed, good.unionByName(bad), *window, 0)
+    assert store.versions(spark).count() == 0
+    quarantined = St.commit_pages(store, feed, good, *window, 0)
+    assert [r["rule"] for r in quarantined.collect()] == ["invalid_rating"]
+    assert [(r["record_id"], r["text"]) for r in store.at(spark, "pages-batch-0").collect()] == [("play:a:r1", "good")]
+    assert store.checkpoints(spark).first()["value"] == T0
