@@ -160,7 +160,7 @@ def counted(text: str, edits: list[Edit], encoder: PieceEncoder, cache: dict[str
 
 def _learn(texts: list[str], encoder: PieceEncoder, cache: dict[str, int]) -> None:
     """Count the new pre-tokens of many texts with one call, those that begin with a space joined to one string."""
-    if len(cache) > 600_000:
+    if len(cache) > 500_000:
         cache.clear()
     new = {piece for text in texts for piece in PRE_TOKENS.findall(text) if piece not in cache}
     spaced = [piece[1:] for piece in new if piece[0] == " " and len(piece) > 1 and not piece[1:].isspace()]

@@ -15,7 +15,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 700_000
 BATCH_CHARS = 1 << 20
 #: Behind letters these always begin a pre-token of their own; the apostrophe does not.
 _MARKS = ".,;:!?%*#$&|)-"

@@ -32,12 +32,12 @@ from .words import NOT_LETTERS, mix, word_hashes
 
 SAMPLE = 16_000
 TERMS, FACTORS = 1536, 6
-HASH_BITS = 22
+HASH_BITS = 21
 STEPS, RATE, DECAY = 160, 0.05, 2e-4
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
-ROWS_AT_ONCE = 1024
+ROWS_AT_ONCE = 256
 
 
 def fold_of(doc_id: Column) -> Column:
