@@ -14,7 +14,8 @@ other columns are ignored; texts are used whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -23,12 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import BYTE_BPE, PieceEncoder, piece_encoder
+from .encoding import BYTE_BPE, PieceEncoder
 
 Edit = tuple[int, int, str]
 
 PRE_TOKENS = regex.compile(public_tokenizers.PATTERN)
-ROWS_AT_ONCE = 256
+ROWS_AT_ONCE = 512
+CACHE_ENTRIES = 500_000
 RESULT = "doc_id bigint, n_tokens bigint, n_edits bigint, n_tokens_edited bigint, n_reencoded bigint"
 
 #: What the clean-up replaces: mail addresses, keys behind a name, cloud access ids, long hex strings.
@@ -40,9 +42,9 @@ _PRIVATE = re.compile(
 class CountTree:
     """Pre-token counts of one text under edits."""
 
-    def __init__(self, text: str, count):
+    def __init__(self, text: str, count: Callable[[str], int], leaves: list[str] | None = None):
         self.text, self.count = text, count
-        leaves = PRE_TOKENS.findall(text)
+        leaves = PRE_TOKENS.findall(text) if leaves is None else leaves
         #: The pre-tokens under a leaf: one at first, more or none after edits.
         self.held: dict[int, list[str]] = {}
         self.leaves = leaves
@@ -142,47 +144,59 @@ def cleanup_edits(text: str) -> list[Edit]:
     return edits
 
 
-def counted(text: str, edits: list[Edit], encoder: PieceEncoder, cache: dict[str, int]) -> tuple[int, int, int]:
-    """Tokens before, tokens after ``edits`` (apart, in text order), pre-tokens encoded for the edits."""
+class Counts(dict):
+    """Tokens of pre-tokens; one that is not known is encoded."""
+
+    def __init__(self, encoder: PieceEncoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = found = len(self.encoder.tokenizer.encode(piece, add_special_tokens=False).ids)
+        return found
 
-    def count(piece: str) -> int:
-        known = cache.get(piece)
-        if known is None:
-            known = cache[piece] = len(encoder.tokenizer.encode(piece, add_special_tokens=False).ids)
-        return known
+    def learn(self, leaves: list[list[str]]) -> None:
+        """Count the new pre-tokens that begin with a space with one call."""
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+        wanted: set[str] = set()
+        for part in leaves:
+            wanted.update(part)
+        spaced = [piece[1:] for piece in wanted.difference(self) if piece[0] == " " and not piece[1:2].isspace() and len(piece) > 1]
+        self.encoder._encode_new(spaced)
+        for piece in spaced:
+            self[" " + piece] = len(self.encoder.known[piece]) // 4
+        self.encoder.known.clear()
 
-    tree = CountTree(text, count)
+
+def counted(text: str, edits: list[Edit], counts: Counts, leaves: list[str] | None = None) -> tuple[int, int, int]:
+    """Tokens before, tokens after ``edits`` (apart, in text order), pre-tokens encoded for the edits."""
+    tree = CountTree(text, counts.__getitem__, leaves)
     before = tree.total
     for start, end, new in reversed(edits):
         tree.apply(start, end, new)
     return before, tree.total, tree.reencoded
 
 
-def _learn(texts: list[str], encoder: PieceEncoder, cache: dict[str, int]) -> None:
-    """Count the new pre-tokens of many texts with one call, those that begin with a space joined to one string."""
-    if len(cache) > 500_000:
-        cache.clear()
-    new = {piece for text in texts for piece in PRE_TOKENS.findall(text) if piece not in cache}
-    spaced = [piece[1:] for piece in new if piece[0] == " " and len(piece) > 1 and not piece[1:].isspace()]
-    encoder._encode_new(spaced)
-    for piece in spaced:
-        cache[" " + piece] = len(encoder.known[piece]) // 4
-    encoder.known.clear()
+@lru_cache(maxsize=4)
+def worker_counts(tokenizer: str) -> Counts:
+    """One cache per worker process, so that it outlives a task."""
+    return Counts(PieceEncoder(tokenizer))
 
 
 def edited_counts(docs: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
     """Counts of ``docs(doc_id, text)`` before and after the clean-up edits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = piece_encoder(tokenizer)
-        cache = encoder.__dict__.setdefault("counts", {})
+        counts = worker_counts(tokenizer)
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS_AT_ONCE):
                 rows = batch.slice(low, ROWS_AT_ONCE)
                 texts = [text or "" for text in rows.column("text").to_pylist()]
-                _learn(texts, encoder, cache)
+                leaves = [PRE_TOKENS.findall(text) for text in texts]
+                counts.learn(leaves)
                 edits = [cleanup_edits(text) for text in texts]
-                results = [counted(text, change, encoder, cache) for text, change in zip(texts, edits)]
+                results = [counted(*document) for document in zip(texts, edits, [counts] * len(texts), leaves)]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": rows.column("doc_id"),
                     "n_tokens": pa.array([r[0] for r in results], pa.int64()),

@@ -69,14 +69,14 @@ def test_edit_counts_equal_encoding_again(encoder, text, wanted):
     changed = text
     for start, end, new in reversed(edits):
         changed = changed[:start] + new + changed[end:]
-    before, after, _ = edit_counts.counted(text, edits, encoder, {})
+    before, after, _ = edit_counts.counted(text, edits, edit_counts.Counts(encoder))
     assert before == len(encoder.whole(text)) // 4
     assert after == len(encoder.whole(changed)) // 4
 
 
 def test_edits_encode_only_around_them(encoder):
     text = "word " * 2000 + "token = abcdef"
-    _, _, again = edit_counts.counted(text, [(10000, 10014, "x")], encoder, {})
+    _, _, again = edit_counts.counted(text, [(10000, 10014, "x")], edit_counts.Counts(encoder))
     assert again < 6
 
 
