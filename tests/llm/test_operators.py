@@ -215,6 +215,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r["doc_id"] for r in result} == ids and all(r["round_trip"] for r in result)
 
 
+def test_pipeline_filters_rows_not_ids(spark, tmp_path):
+    random = np.random.default_rng(4)
+    body = lambda: " ".join(f"w{random.integers(0, 10**6)}" for _ in range(40))
+    passage = "this passage of the benchmark must not be in the training data at all"
+    spark.createDataFrame([(1, passage)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leak, clean = f"{body()} {passage} {body()}", body()
+    docs = docs_of(spark, [(None, leak), (None, clean), (None, None), (5, leak), (5, clean), (6, passage)])
+    kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(0, clean), (0, ""), (5, clean)])
+    one, two, three, four = body(), body(), body(), body()
+    docs = docs_of(spark, [(None, one), (None, one + " more"), (None, two), (7, three), (7, three), (7, four), (9, two), (8, two),
+                           (None, ""), (None, ""), (3, None), (3, None)])
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    rows = sorted((r["doc_id"] or 0, (r["text"] or "").removesuffix(" more")) for r in kept.collect())
+    assert rows == sorted([(0, one), (8, two), (7, three), (7, four), (0, ""), (0, ""), (3, ""), (3, "")])
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
