@@ -197,6 +197,36 @@ def test_structural_secrets():
     assert kinds(token.replace(".", "-")) == []
 
 
+def test_secrets_in_other_wrappings():
+    key = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([1]) + bytes(range(40))) for _ in range(4)))
+    plain, field = base64.b64encode(key).decode(), lambda part: len(part).to_bytes(4, "big") + part
+    lines = [plain[at:at + 64] for at in range(0, len(plain), 64)]
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END RSA PRIVATE KEY-----\n"
+    ssh = field(b"ssh-ed25519") + field(bytes(range(32)))
+    private = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(ssh) + field(bytes(96))
+    part = lambda value: base64.urlsafe_b64encode(json.dumps(value).encode()).rstrip(b"=").decode()
+    token = part({"alg": "HS256", "typ": "JWT"}) + "." + part({"sub": 1}) + ".c2ln"
+    encoded = lambda raw: base64.b64encode(raw).decode()
+    wrapped = encoded(pem.encode())
+    for secret, kind in [
+        (wrapped, "pem"), (encoded(wrapped.encode()), "pem"), (pem.encode().hex(), "pem"), (encoded(private), "sshkey"),
+        (private.hex(), "sshkey"), (ssh.hex(), "sshkey"), (key.hex().upper(), "der"), (plain, "der"), (token, "signed"),
+        ("\n".join(lines), "der"), ("\r\n  ".join(lines), "der"), ("\\n".join(lines), "der"), ('" +\n    "'.join(lines), "der"),
+        ("\n".join(wrapped[at:at + 76] for at in range(0, len(wrapped), 76)), "pem"),
+    ]:
+        for before, after in [("", ""), ("key: ", " end"), ("key: ", "\nend of it"), ("\"", "\","), ("some words\n", "\n")]:
+            text = before + secret + after
+            assert secrets.structural_spans(text) == [(kind, len(before), len(before) + len(secret))], (kind, before, secret)
+        for before in ("path/", "name-", "name_", "subdomainlong."):
+            text = before + secret
+            if "\n" not in secret and (kind != "signed" or before[-1] in "-_."):
+                found = secrets.structural_spans(text)
+                assert [span[0] for span in found] == [kind] and found[0][1] == len(before) and found[0][2] == len(text)
+    lost = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n\nnext text"
+    assert secrets.redacted(lost, secrets.structural_spans(lost)) == "-----BEGIN PRIVATE KEY-----\n[secret]\n\nnext text"
+    assert secrets.structural_spans("-" * 5000 + "\n" + "word\n" * 5000 + "0" * 5000 + " " + "M" * 5000 + " " + "A" * 5000) == []
+
+
 def test_base_secrets():
     assert secrets.base_spans('API_KEY: "abc" Token = abcdef ſecret=abcdefg') == [("assign", 15, 29)]
     assert secrets.base_spans("AKIA" + "A" * 16) == [("access", 0, 20)]
