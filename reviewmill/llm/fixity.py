@@ -5,6 +5,8 @@ A leaf hashes a record's offset, length and content; a node hashes the range of
 offsets it covers and its ``FAN`` children.  The replicas' roots are compared, and
 only below roots that differ the next level is compared, down to the records; a
 record that differs is then looked up in the other replica's file by its id.
+Nodes that only one replica has differ, whichever replica it is; records that only
+the second has are reported as ``extra``.
 
 Edge cases: a null page id comes first and is a record like any other; a null
 url or html is an empty one; repeated rows are records of their own, told apart
@@ -76,7 +78,7 @@ def tree(rows: DataFrame) -> list[DataFrame]:
 
 
 def differing(first: list[DataFrame], second: list[DataFrame]) -> DataFrame:
-    """The first replica's records that differ: from the roots down, only below nodes that differ."""
+    """The places of records that differ or that one replica lacks: from the roots down, only below nodes that differ."""
     open_nodes = None
     for ours, theirs in zip(reversed(first), reversed(second)):
         if open_nodes is not None:
@@ -85,27 +87,32 @@ def differing(first: list[DataFrame], second: list[DataFrame]) -> DataFrame:
             ours, theirs = [side.withColumn("parent", F.floor(F.col("node") / FAN).cast("int")).join(
                 parents, ["file_no", "parent"], "left_semi").drop("parent") for side in (ours, theirs)]
         other = theirs.select("file_no", "node", F.col("digest").alias("theirs"))
-        open_nodes = ours.join(other, ["file_no", "node"], "left").where(
-            F.col("theirs").isNull() | (F.col("theirs") != F.col("digest"))).select("file_no", "node")
+        open_nodes = ours.join(other, ["file_no", "node"], "full").where(
+            ~F.col("theirs").eqNullSafe(F.col("digest"))).select("file_no", "node")
     return open_nodes.withColumnRenamed("node", "slot")
 
 
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Per record of the first replica: ``page_id, file_no, record_offset, n_bytes, status``.
+    """Per record of either replica: ``page_id, file_no, record_offset, n_bytes, status``.
 
     Both take ``file_no, slot, page_id, content, bytes``.  Status is ``same``; ``moved`` for the same content at another
-    offset; ``changed`` for other content; ``missing`` without a record of that id in the other's file.
+    offset; ``changed`` for other content; ``missing`` without a record of that id in the other's file; ``extra`` for the
+    second's records without one in the first's, with the second's offset.
     """
     ours, theirs = stored(with_offsets(first), "replica"), stored(with_offsets(second), "replica")
-    bad = differing(tree(ours), tree(theirs)).withColumn("differs", F.lit(True))
+    bad = stored(differing(tree(ours), tree(theirs)), "differing").withColumn("differs", F.lit(True))
     other = theirs.join(bad.select("file_no").distinct(), "file_no", "left_semi").select(
-        "file_no", F.col("page_id").alias("other_id"), "occurrence", F.col("content").alias("found"))
+        F.col("file_no").alias("other_file"), F.col("page_id").alias("other_id"), F.col("occurrence").alias("other_occurrence"),
+        F.col("content").alias("found"), F.col("record_offset").alias("other_offset"), F.col("bytes").alias("other_bytes"))
     marked = ours.join(bad, ["file_no", "slot"], "left")
-    return marked.join(
-        other, (marked["differs"]) & (marked["file_no"] == other["file_no"]) & marked["page_id"].eqNullSafe(other["other_id"])
-        & (marked["occurrence"] == other["occurrence"]), "left").select(
-        "page_id", marked["file_no"], "record_offset", F.col("bytes").alias("n_bytes"),
-        F.when(F.col("differs").isNull(), "same").when(F.col("found").isNull(), "missing")
+    same_record = (marked["file_no"] == other["other_file"]) & marked["page_id"].eqNullSafe(other["other_id"]) \
+        & (marked["occurrence"] == other["other_occurrence"])
+    # One pass for both sides: what the second has in these files meets the first's records, differing or not.
+    return marked.join(other, same_record, "full").select(
+        F.when(F.col("content").isNull(), F.col("other_id")).otherwise(F.col("page_id")).alias("page_id"),
+        F.coalesce("file_no", "other_file").alias("file_no"), F.coalesce("record_offset", "other_offset").alias("record_offset"),
+        F.coalesce("bytes", "other_bytes").alias("n_bytes"),
+        F.when(F.col("content").isNull(), "extra").when(F.col("differs").isNull(), "same").when(F.col("found").isNull(), "missing")
         .when(F.col("found") == F.col("content"), "moved").otherwise("changed").alias("status"))
 
 

@@ -156,6 +156,28 @@ def test_fixity(spark):
     assert {r["status"] for r in fixity.audit(first, first).collect()} == {"same"}
 
 
+def test_fixity_extra_records(spark):
+    schema = "file_no bigint, slot int, page_id bigint, content string, bytes bigint"
+    rows = [(f, i, None if i == 0 else 100 * f + i, f"c{f}-{i}", 10) for f in range(2) for i in range(20)]
+    first = spark.createDataFrame(rows, schema)
+
+    def found(extra, replica=rows):
+        result = fixity.audit(first, spark.createDataFrame([*replica, *extra], schema)).collect()
+        assert sum(r["status"] != "extra" for r in result) == len(rows)
+        return sorted(((r["file_no"], r["page_id"], r["record_offset"], r["n_bytes"], r["status"]) for r in result
+                       if r["status"] != "same"), key=str)
+
+    assert found([]) == []
+    # At a file's end: a new record, a repeated one and one without an id; and a whole file.
+    assert found([(0, 20, 90, "new", 7)]) == [(0, 90, 200, 7, "extra")]
+    assert found([(1, 20, 119, "c1-19", 10)]) == [(1, 119, 200, 10, "extra")]
+    assert found([(1, 20, None, "c1-0", 10)]) == [(1, None, 200, 10, "extra")]
+    assert found([(5, 0, 700, "x", 3), (5, 1, None, "y", 4)]) == [(5, 700, 0, 3, "extra"), (5, None, 3, 4, "extra")]
+    middle = [(f, i + (f == 0 and i > 9), p, c, b) for f, i, p, c, b in rows]
+    assert found([(0, 10, 90, "new", 7)], middle) == sorted(
+        [(0, 90, 100, 7, "extra"), *((0, i, 10 * i, 10, "moved") for i in range(10, 20))], key=str)
+
+
 def test_toxicity(spark, docs, none):
     rows = [(i, f"filler{i % 7} " + ("idiot" if i % 3 == 0 else "flower") + f" tail{i % 5}") for i in range(600)]
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(600)] + [(1, 1, None), (None, 1, 1)],
