@@ -4,7 +4,9 @@ A document keeps its pre-tokens as the leaves of a segment tree of token counts
 and lengths.  An edit touches the leaves whose text it changes and the one
 before it, which may grow into the change; from there pre-tokens are cut anew
 until a border meets an old border behind the edit.  Only these are encoded; the
-sums above them are updated.
+sums above them are updated.  A text that holds an added token of the tokenizer
+before or after its edits has no such leaves: both of its forms are encoded, and
+all pre-tokens of the later one count as encoded again.
 
 Edge cases: a null or empty text has 0 tokens and no edits; a null ``doc_id``
 stays null; repeated rows give repeated results; an empty table gives no rows;
@@ -171,6 +173,14 @@ class Counts(dict):
 
 def counted(text: str, edits: list[Edit], counts: Counts, leaves: list[str] | None = None) -> tuple[int, int, int]:
     """Tokens before, tokens after ``edits`` (apart, in text order), pre-tokens encoded for the edits."""
+    changed, at = [], 0
+    for start, end, new in edits:
+        changed += [text[at:start], new]
+        at = end
+    encoder, edited = counts.encoder, "".join([*changed, text[at:]])
+    if encoder.added.search(text) or encoder.added.search(edited):
+        again = sum(len(PRE_TOKENS.findall(part)) for part in encoder.added.split(edited)) + len(encoder.added.findall(edited))
+        return len(encoder.whole(text)) // 4, len(encoder.whole(edited)) // 4, again if edits else 0
     tree = CountTree(text, counts.__getitem__, leaves)
     before = tree.total
     for start, end, new in reversed(edits):

@@ -3,11 +3,13 @@
 A single space between two other characters always begins a new pre-token, so a
 text can be cut in front of such spaces and every cut piece encoded on its own.
 Equal pieces are encoded once; the rest is a dictionary lookup.  Texts with any
-other white space around a space go through the tokenizer as they are.
+other white space around a space go through the tokenizer as they are, and so do
+texts that hold one of its added tokens, which it reads as that token.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +31,9 @@ class PieceEncoder:
 
     def __init__(self, path: str = BYTE_BPE):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted((token.content for token in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        #: Finds an added token in a text; without any it finds nothing.
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         #: None stands for pieces that are no word between single spaces.
         self.known: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
@@ -105,19 +109,20 @@ class PieceEncoder:
         self._learn(new)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [text.split(" ") for text in texts]
+        whole = [bool(self.added.search(text)) for text in texts]
+        parts = [[""] if held else text.split(" ") for text, held in zip(texts, whole)]
         heads = [pieces.pop(0) for pieces in parts]
         wanted: set[str] = set()
         for pieces in parts:
             wanted.update(pieces)
         self.prepare(wanted)
         find, result = self.known.__getitem__, []
-        for text, head, pieces in zip(texts, heads, parts):
+        for text, held, head, pieces in zip(texts, whole, heads, parts):
             try:
-                if pieces and (not head or head[-1].isspace()):
+                if held or pieces and (not head or head[-1].isspace()):
                     raise TypeError
                 result.append(self._head(head) + b"".join(map(find, pieces)))
-            except TypeError:  # a piece that is None: other white space around a space
+            except TypeError:  # an added token, or a piece that is None: other white space around a space
                 result.append(self.whole(text))
         return result
 

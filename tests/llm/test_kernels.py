@@ -9,9 +9,10 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from reviewmill.llm import decontaminate, edit_counts, multi_index, secrets, simple8b, templates, toxicity, words
-from reviewmill.llm.encoding import PieceEncoder
+from reviewmill.llm.encoding import BYTE_BPE, PieceEncoder
 from reviewmill.llm.piece_lattice import SPACE, Lattice
 
 quick = settings(max_examples=60, deadline=None)
@@ -74,6 +75,23 @@ def test_edit_counts_equal_encoding_again(encoder, text, wanted):
     assert after == len(encoder.whole(changed)) // 4
 
 
+def test_added_tokens_are_read_as_the_plain_tokenizer_does(encoder):
+    plain = Tokenizer.from_file(BYTE_BPE)
+    ids = lambda text: plain.encode(text, add_special_tokens=False).ids
+    values = ["a <|endoftext|> b", "<|endoftext|>", " x<|endoftext|><|endoftext|> y  z", "<|endoftext| > no", "plain words here", "",
+              "  <|endoftext|>\n", "word  <|endoftext|>s"]
+    assert ids("a <|endoftext|> b") == [64, 220, 50256, 275]
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in encoder.encode(values)] == [ids(value) for value in values]
+    counts = edit_counts.Counts(encoder)
+    for value in values:
+        edits = [(0, 1, "<|endoftext|>z")] if value else []
+        for change in ([], edits, [(0, min(3, len(value)), "")]):
+            after = value
+            for start, end, new in change:
+                after = after[:start] + new + after[end:]
+            assert edit_counts.counted(value, change, counts)[:2] == (len(ids(value)), len(ids(after)))
+
+
 def test_edits_encode_only_around_them(encoder):
     text = "word " * 2000 + "token = abcdef"
     _, _, again = edit_counts.counted(text, [(10000, 10014, "x")], edit_counts.Counts(encoder))
