@@ -8,8 +8,12 @@ class; a class is valid if it is frequent, has several tokens and hangs below a
 valid class.  The valid classes of a host, nested by their paths, are its
 template.  What is not template are its slots; the text of slots under a menu,
 header, footer, sidebar, notice, advert, form or comments is left out, and where
-a page has an article or main element only slots under it count.  Text inside
-such an element is never taken for template, however many pages share it.
+a page has an article or main element only slots under it count.
+
+Text inside such an element is template too where its class is valid and stands in
+``LEAST_ARTICLES`` distinct pages at least (author boxes, follow-us lines).  A page
+whose article would lose more than half of its text that way is a copy of others
+rather than an article with such parts, and keeps it whole.
 
 Hosts with fewer than ``LEAST_PAGES`` pages share one template.
 
@@ -36,6 +40,8 @@ from pyspark.sql import functions as F
 from ..session import stored
 
 LEAST_PAGES, SUPPORT, LEAST_TOKENS = 4, 0.6, 2
+#: Distinct pages that must hold a text inside an article before it can be template.
+LEAST_ARTICLES = 12
 #: A template table of up to so many bytes is sent to every executor, a larger one is joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -171,23 +177,27 @@ def text_token(text: str, path: int) -> int:
     return xxhash.xxh64_intdigest(" ".join(text.split()), seed=path) >> 2 << 1 | 1
 
 
-def page_tokens(page: str) -> list[tuple[int, int, int]]:
-    """The tokens of a page: token, the token it hangs below, how often.  Text in an article is no token."""
+def page_tokens(page: str) -> list[tuple[int, int, int, bool]]:
+    """The tokens of a page: token, the token it hangs below, how often, whether it is text in an article."""
     tags, parents, texts = parse(page)
-    rows = [(token, parents[token], count) for token, count in tags.items()]
-    words = Counter((text_token(text, path), path) for text, path, _, content, _ in texts if not content and text != " ")
-    return rows + [(token, path, count) for (token, path), count in words.items()]
+    rows = [(token, parents[token], count, False) for token, count in tags.items()]
+    words = Counter((text_token(text, path), path, content) for text, path, outside, content, _ in texts if text != " ")
+    return rows + [(token, path, count, content) for (token, path, content), count in words.items()]
 
 
 def main_text(page: str, template: frozenset[int]) -> str:
     """The text of the page's content slots, block by block."""
     _, _, texts = parse(page)
-    slots = [(text, content, block) for text, path, outside, content, block in texts
-             if not outside and (content or text == " " or text_token(text, path) not in template)]
-    if any(content and text != " " for text, content, _ in slots):
-        slots = [slot for slot in slots if slot[1]]
+    slots = [(text, content, block, text != " " and text_token(text, path) in template)
+             for text, path, outside, content, block in texts if not outside]
+    article = [(len(text), held) for text, content, _, held in slots if content and text != " "]
+    if article:
+        whole = 2 * sum(size for size, held in article if held) > sum(size for size, _ in article)
+        slots = [slot for slot in slots if slot[1] and (whole or not slot[3])]
+    else:
+        slots = [slot for slot in slots if not slot[3]]
     blocks: dict[int, list[str]] = {}
-    for text, _, block in slots:
+    for text, _, block, _ in slots:
         blocks.setdefault(block, []).append(text)
     lines = (" ".join(markup.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n\n".join(line for line in lines if line)
@@ -204,28 +214,33 @@ def host_templates(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 rows = batch.slice(low, 256)
-                out: tuple[list, ...] = ([], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [])
                 for host, page in zip(rows.column("host").to_pylist(), rows.column("html").to_pylist()):
                     page = page or ""
                     name = xxhash.xxh64_intdigest(page)
-                    for token, parent, count in page_tokens(page):
+                    mark = 1 << (name >> 32 & 63)
+                    mark -= (mark >> 63) << 64
+                    for token, parent, count, content in page_tokens(page):
                         part = xxhash.xxh32_intdigest(f"{name}:{count}")
-                        for column, value in zip(out, (host, token, parent, part)):
+                        # -1 has all bits: other tokens need no number of distinct pages.
+                        for column, value in zip(out, (host, token, parent, part, mark if content else -1)):
                             column.append(value)
                 yield pa.RecordBatch.from_pydict({
                     "host": pa.array(out[0], pa.string()), **{name: pa.array(column, pa.int64()) for name, column in
-                                                             zip(("token", "parent", "part"), out[1:])}})
+                                                             zip(("token", "parent", "part", "mark"), out[1:])}})
 
     sized = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     sized = sized.withColumn("site", F.when(F.col("pages") >= LEAST_PAGES, F.col("host")).otherwise(F.lit("")))
     sized = stored(sized, "hosts")
-    sums = pages.select("host", "html").mapInArrow(tokens, "host string, token bigint, parent bigint, part bigint") \
-        .groupBy("host", "token", "parent").agg(F.sum("part").alias("vector"), F.count(F.lit(1)).alias("support"))
+    sums = pages.select("host", "html").mapInArrow(tokens, "host string, token bigint, parent bigint, part bigint, mark bigint") \
+        .groupBy("host", "token", "parent").agg(
+        F.sum("part").alias("vector"), F.count(F.lit(1)).alias("support"), F.bit_or("mark").alias("marks"))
     by_site = sums.join(sized, "host").groupBy("site", "token", "parent").agg(
-        F.sum("vector").alias("vector"), F.sum("support").alias("support"))
+        F.sum("vector").alias("vector"), F.sum("support").alias("support"), F.bit_or("marks").alias("marks"))
     totals = sized.groupBy("site").agg(F.sum("pages").alias("total"))
     # At most the tokens of an average page divided by SUPPORT are left of a site.
-    frequent = by_site.where("support >= 2").join(totals, "site").where(F.col("support") >= SUPPORT * F.col("total"))
+    # A page sets one of 64 marks, copies the same one: so many marks are at least so many distinct pages.
+    frequent = by_site.where((F.col("support") >= 2) & (F.bit_count("marks") >= LEAST_ARTICLES)).join(totals, "site").where(F.col("support") >= SUPPORT * F.col("total"))
 
     def nest(group: pd.DataFrame) -> pd.DataFrame:
         """Keep classes of several tokens, from the page's root down, whose tokens hang below tokens that are kept."""

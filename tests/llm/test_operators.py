@@ -213,6 +213,24 @@ def test_templates(spark):
     assert templates.main_texts(pages.limit(0)).collect() == []
 
 
+def test_templates_inside_articles(spark):
+    page = ("<html><body><article><h1>Title {0}</h1><p>story {0} of the day, told at length for its readers {1}</p>{2}"
+            "<div class='box'><p>Written by the desk</p><p>Follow us there</p></div></article></body></html>")
+    common = "<p>A line that many stories quote</p>"
+    rows = [(i, f"http://h.org/{i}", page.format(i, i * i, common if i % 5 < 3 else "")) for i in range(40)]
+    # Few pages, copies of one page, and near copies are no ground to leave text out.
+    rows += [(100 + i, f"http://few.org/{i}", page.format(i, i * i, common)) for i in range(6)]
+    rows += [(200 + i, f"http://same.org/{i}", page.format(0, 0, common)) for i in range(40)]
+    rows += [(300 + i, f"http://near.org/{i}", f"<article><p>{'long text of one release ' * 9}</p><p>day {i}</p></article>") for i in range(40)]
+    found = {r["page_id"]: r["text"] for r in templates.main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    quoted, box = "\n\nA line that many stories quote", "\n\nWritten by the desk\n\nFollow us there"
+    story = lambda i: f"Title {i}\n\nstory {i} of the day, told at length for its readers {i * i}"
+    assert all(found[i] == story(i) + (quoted if i % 5 < 3 else "") for i in range(40))
+    assert all(found[100 + i] == story(i) + quoted + box for i in range(6))
+    assert all(found[200 + i] == story(0) + quoted + box for i in range(40))
+    assert all(found[300 + i] == ("long text of one release " * 9).strip() + f"\n\nday {i}" for i in range(40))
+
+
 def test_pipeline_stages(spark, tmp_path):
     random = np.random.default_rng(2)
     body = lambda seed: " ".join(f"w{seed}x{random.integers(0, 10**6)}" for _ in range(40))
