@@ -52,6 +52,15 @@ def test_nearest_with_copies_and_small_blocks(spark, metric):
     assert copies == {0, 41, 42, 43, 44}
 
 
+def test_probing_leaves_no_list_short(spark):
+    random = np.random.default_rng(11)
+    points = np.concatenate([random.normal(size=(30, 4)), 50 * random.normal(size=(10, 4))])
+    rows = [(i, [float(x) for x in point]) for i, point in enumerate(points)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = B.nearest(table, "vec_id", "embedding", k=5, metric="euclidean", pivots=20, probe=1)
+    assert {r["id"]: r["count"] for r in found.groupBy("id").count().collect()} == {i: 5 for i, _ in rows}
+
+
 def test_cells_out_of_reach_are_skipped(spark):
     rng = np.random.default_rng(5)
     near, far = unit(rng, 1, 4), -unit(rng, 1, 4)
