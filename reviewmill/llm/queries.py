@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from . import (
-    decontaminate, edit_counts, fixity, jaccard_join, multi_index, piece_lattice, secrets, templates, token_files, toxicity,
+    decontaminate, edit_counts, fixity, jaccard_join, line_rules, multi_index, piece_lattice, runs, secrets, simplex_clusters,
+    templates, token_files, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,6 +191,86 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+_ROUND = """
+a{0} AS (SELECT n, min(struct_pack(d := d, c := c)) AS near FROM (
+    SELECT v.n, c.c, CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+    FROM v, c{0} c) GROUP BY n),
+"""
+_MOVE = """
+m{1} AS (SELECT c, list(total // members - CASE WHEN total % members < 0 THEN 1 ELSE 0 END ORDER BY i) AS x FROM (
+    SELECT c, i, CAST(sum(x[i]) AS BIGINT) AS total, count(*) AS members
+    FROM (SELECT a.near.c AS c, v.x, unnest(range(1, 65)) AS i FROM a{0} a JOIN v USING (n)) GROUP BY c, i) GROUP BY c),
+c{1} AS (SELECT c, COALESCE(m{1}.x, c{0}.x) AS x FROM c{0} LEFT JOIN m{1} USING (c)),
+"""
+# Integer division of a negative total goes towards zero, the floor one further where there is a rest.
+CENTROID_SQL = """
+WITH v AS (
+    SELECT row_number() OVER () AS n, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(64 * x) AS BIGINT)) AS x
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+    SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) - 1 AS INT) AS c, x FROM v
+    QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) <= 16
+),""" + "".join(_ROUND.format(i) + _MOVE.format(i, i + 1) for i in range(simplex_clusters.ROUNDS)) \
+    + _ROUND.format(simplex_clusters.ROUNDS) + """
+t AS (SELECT near.c AS c, CAST(sum(near.d) AS BIGINT) AS total FROM a3 GROUP BY near.c)
+SELECT v.vec_id, near.c AS cluster, near.d AS distance, total AS cluster_inertia,
+    (SELECT CAST(sum(total) AS BIGINT) FROM t) AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM a3 JOIN v USING (n) JOIN t ON t.c = near.c JOIN c3 ON c3.c = near.c
+"""
+
+
+@query("op11_centroids", CENTROID_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simplex_clusters.clusters(table(spark, sf_dir, "embeddings")).drop("n_compared")
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+LINES_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS n, doc_id, COALESCE(text, '') AS text FROM documents),
+w AS (SELECT n, list_filter(regexp_split_to_array(text, '{line_rules.WHITE}+'), lambda x: x <> '') AS w FROM t),
+windows AS (SELECT n, i, array_to_string(w[i:i + {line_rules.WINDOW - 1}], ' ') AS s
+    FROM (SELECT n, w, unnest(range(1, len(w) - {line_rules.WINDOW - 2})) AS i FROM w)),
+twice AS (SELECT n, i FROM windows QUALIFY count(*) OVER (PARTITION BY n, s) > 1),
+repeated AS (SELECT n, count(DISTINCT p) AS repeats FROM (SELECT n, unnest(range(i, i + {line_rules.WINDOW})) AS p FROM twice) GROUP BY n),
+lines AS (SELECT n, line, list_filter(regexp_split_to_array(line, '{line_rules.WHITE}+'), lambda x: x <> '') AS inside
+    FROM (SELECT n, unnest(string_split(text, chr(10))) AS line FROM t)),
+judged AS (
+    SELECT n, line, len(inside) AS size, len(list_filter(inside, lambda x: regexp_full_match(x, '[{re.escape(line_rules.SEPARATORS)}]+'))) AS marks,
+        NOT regexp_matches(line, '{_quoted(line_rules.SENTENCE_END)}')
+            OR 3 * len(regexp_extract_all(line, '{line_rules.ORNATE_END}')) > len(inside) AS unmarked,
+        regexp_matches(lower(line), '{'|'.join(line_rules.PHRASES)}') AS phrased
+    FROM lines WHERE len(inside) > 0
+), per AS (
+    SELECT n, count(*) - count(DISTINCT line) AS doubles, count(*) FILTER (fails) AS gone, COALESCE(sum(size) FILTER (fails), 0) AS lost
+    FROM (SELECT *, unmarked OR (marks >= 2 AND 4 * marks >= size) OR (size <= {line_rules.BOILERPLATE_WORDS} AND phrased) AS fails FROM judged)
+    GROUP BY n
+), m AS (
+    SELECT doc_id, len(w) AS n_words, CAST(COALESCE(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(text, '[^{re.escape(line_rules.SYMBOLS)}]', '', 'g')) AS BIGINT) AS n_symbols,
+        COALESCE(doubles, 0) AS n_dup_lines, COALESCE(repeats, 0) AS n_repeat_words,
+        COALESCE(gone, 0) AS n_lines_removed, CAST(COALESCE(lost, 0) AS BIGINT) AS n_words_removed
+    FROM t JOIN w USING (n) LEFT JOIN repeated USING (n) LEFT JOIN per USING (n)
+)
+SELECT *, n_words < {line_rules.LEAST_WORDS} OR 100 * n_repeat_words > {line_rules.REPEATED} * n_words AS base_failed,
+    NOT (n_words < {line_rules.LEAST_WORDS} OR 100 * n_repeat_words > {line_rules.REPEATED} * n_words)
+        AND 100 * n_words_removed <= {line_rules.LOST} * n_words AS kept
+FROM m
+"""
+
+
+@query("op12_line_rules", LINES_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.line_verdicts(table(spark, sf_dir, "documents"))
+
+
+@query("op13_runs")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
