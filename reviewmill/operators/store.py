@@ -7,17 +7,18 @@ accepted review versions keyed by ``record_id`` and the revision number
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.dates import parse_utc
 from ..functions.hashing import ordered_digest
 from ..functions.numbers import n
-from .ordered import BLOCK_WIDTH, before, with_blocks
+from .ordered import BLOCK, BLOCK_WIDTH, with_blocks
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 # What a first insert records about its origin.
+SCHEMA_VERSION, COLLECTED_VIA = "unified-update-v1", "newest"
 LANGUAGE_BASIS = {"play": "requested lang=es; not detected", "apple_rss": "MX storefront; language unknown"}
 
 
@@ -99,8 +100,9 @@ def _native(provider: Column, field: str) -> Column:
     return F.try_element_at("native", F.concat(provider, F.lit(f"__{field}")))
 
 
-def _content(source) -> Column:
-    return F.struct(*[source(field).cast("string").alias(field) for field in S.CONTENT_FIELDS])
+def _fingerprint(source) -> Column:
+    """Hash of the fields that make a version; a missing field differs from an empty one."""
+    return F.sha2(F.to_json(F.struct(*[source(field).cast("string").alias(field) for field in S.CONTENT_FIELDS])), 256)
 
 
 def resolve(observations: DataFrame, identities: DataFrame) -> DataFrame:
@@ -120,40 +122,56 @@ def classify(
     date seen so far, *duplicates* if content and date equal the last row that
     was not stale, else *inserted* or *edited*.  A stored record without a date
     absorbs equal content until the first difference.
+
+    Rows are sorted once, by record, provider and block of the batch order; what a
+    block hands on to the next ones is one narrow row, and only records of several
+    blocks have any.  Rows that are resolved already keep their ``record_id``.
     """
-    stored = state.select("record_id", "native")
-    keys = ["record_id", "provider"]
-    rows = resolve(observations, identities).join(stored, "record_id", "left")
-    provider = F.col("provider")
-    rows = rows.select(
-        *observations.columns, "record_id",
+    columns = [c for c in observations.columns if c != "record_id"]
+    keys, provider = ["record_id", "provider"], F.col("provider")
+    rows = observations if "record_id" in observations.columns else resolve(observations, identities)
+    rows = rows.join(state.select("record_id", "native"), "record_id", "left").select(
+        *columns, "record_id",
         F.col("native").isNotNull().alias("_known"),
-        _content(F.col).alias("_content"),
-        _content(lambda f: _native(provider, f)).alias("_stored"),
+        _fingerprint(F.col).alias("_content"),
+        F.when(F.col("native").isNotNull(), _fingerprint(lambda f: _native(provider, f))).alias("_stored"),
         parse_utc(_native(provider, "updated_at")).alias("_stored_at"),
     )
     undated = F.col("_known") & F.col("_stored_at").isNull()
-    first_difference = rows.where(undated & (F.col("_content") != F.col("_stored"))).groupBy(*keys).agg(
-        F.min("batch_order").alias("_differs_at")
-    )
-    rows = rows.join(first_difference, keys, "left")
-    absorbed = undated & (F.col("_differs_at").isNull() | (F.col("batch_order") < F.col("_differs_at")))
-    rows = with_blocks(rows.withColumn("_absorbed", absorbed), "batch_order", width)
-
-    # Rows that are not stale never go back in time, so the last of them is the
-    # earlier row with the newest date, latest in the batch: one pass gives both
-    # the date to beat and the content to compare with.
-    live = ~F.col("_absorbed")
-    row = F.struct(F.col("updated_at").alias("at"), "batch_order", F.col("_content").alias("content"))
-    rows = before(rows, keys, "batch_order", {"_newest": F.when(live, row)})
+    rows = with_blocks(rows, "batch_order", width).withColumns({
+        "_undated": undated, "_differs": undated & (F.col("_content") != F.col("_stored")),
+        "_row": F.struct(F.col("updated_at").alias("at"), "batch_order", F.col("_content").alias("content")),
+    })
+    inside = Window.partitionBy(*keys, BLOCK).orderBy("batch_order")
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_differed", F.max("_differs").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    changed = F.when(~F.col("_undated") | F.col("_differed"), F.col("_row"))
+    # Rows that are not stale never go back in time, so the last of them is the earlier row with the newest date,
+    # latest in the batch: one maximum gives both the date to beat and the content to compare with.
+    rows = rows.withColumns({"_all": F.max("_row").over(earlier), "_from": F.max(changed).over(earlier)})
+
+    blocks = rows.groupBy(*keys, BLOCK).agg(
+        F.max("_undated").alias("_undated"), F.max("_differs").alias("_differs"),
+        F.max("_row").alias("_all"), F.max(changed).alias("_from"))
+    over = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_differed_before", F.max("_differs").over(over))
+    newest = F.when(~F.col("_undated") | F.coalesce("_differed_before", F.lit(False)), F.col("_all")).otherwise(F.col("_from"))
+    carried = blocks.withColumn("_newest_before", F.max(newest).over(over)).where(F.col("_differed_before").isNotNull()) \
+        .select(*keys, BLOCK, "_differed_before", "_newest_before")
+    rows = rows.join(carried, [*keys, BLOCK], "left")
+
+    all_count = ~F.col("_undated") | F.coalesce("_differed_before", F.lit(False))
+    live = all_count | F.col("_differed")
+    last = F.greatest(F.when(all_count, F.col("_all")).otherwise(F.col("_from")), F.col("_newest_before"))
+    rows = rows.withColumns({"_live": live, "_newest": last})
     from_batch = F.col("_newest").isNotNull() & (
         F.col("_stored_at").isNull() | (F.col("_newest.at") >= F.col("_stored_at"))
     )
     bar = F.when(from_batch, F.col("_newest.at")).otherwise(F.col("_stored_at"))
     previous = F.when(from_batch, F.col("_newest.content")).otherwise(F.col("_stored"))
     seen = F.col("_newest").isNotNull()
-    stale = live & F.coalesce(F.col("updated_at") < bar, F.lit(False))
-    duplicate = F.col("_absorbed") | (
+    stale = F.col("_live") & F.coalesce(F.col("updated_at") < bar, F.lit(False))
+    duplicate = ~F.col("_live") | (
         (F.col("_known") | seen) & previous.eqNullSafe(F.col("_content"))
         & F.coalesce(F.col("updated_at") == bar, F.lit(False))
     )
@@ -163,7 +181,7 @@ def classify(
         .when(F.col("_known") | seen, "edited")
         .otherwise("inserted")
     )
-    return rows.select(*observations.columns, "record_id", outcome.alias("outcome"))
+    return rows.select(*columns, "record_id", outcome.alias("outcome"))
 
 
 def outcome_counts(classified: DataFrame) -> DataFrame:
@@ -182,10 +200,9 @@ def next_versions(classified: DataFrame, state: DataFrame, seq: int | Column) ->
     two providers keeps both; defaults are set on the first insert only.
     """
     accepted = classified.where(F.col("outcome").isin("inserted", "edited"))
-    fields = [c for c in classified.columns if c not in ("record_id", "provider", "outcome")]
-    latest = accepted.groupBy("record_id", "provider").agg(
-        F.max_by(F.struct("provider", *fields), "batch_order").alias("o")
-    )
+    fields = [c for c in classified.columns if c not in ("record_id", "outcome")]
+    row = F.struct(*fields)
+    provenance = [c for c in S.PROVENANCE if c in classified.columns]
 
     def overlay(o):
         prefix = F.concat(o["provider"], F.lit("__"))
@@ -195,17 +212,16 @@ def next_versions(classified: DataFrame, state: DataFrame, seq: int | Column) ->
             "app_version": o["app_version"], "updated_at": F.date_format(o["updated_at"], ISO),
             "fetched_at": F.date_format(o["fetched_at"], ISO),
             "source": F.when(o["provider"] == "apple_rss", "appstore").otherwise("playstore"),
+            "schema_version": F.lit(SCHEMA_VERSION), "collected_via": F.lit(COLLECTED_VIA),
+            **{name: o[name].cast("string") for name in provenance},
         }
         return F.map_from_arrays(
             F.array(*[F.concat(prefix, F.lit(name)) for name in values]), F.array(*values.values())
         )
 
-    # At most two rows per record reach this grouping: one per provider.
-    merged = latest.groupBy("record_id").agg(
-        F.max_by("o", "o.batch_order").alias("o"),
-        F.max(F.when(F.col("provider") == "play", F.col("o"))).alias("play"),
-        F.max(F.when(F.col("provider") == "apple_rss", F.col("o"))).alias("apple_rss"),
-    )
+    merged = accepted.groupBy("record_id").agg(*[
+        F.max_by(row, F.when(F.col("provider") == p, F.col("batch_order"))).alias(p) for p in S.STORE_PROVIDERS
+    ], F.max_by(row, "batch_order").alias("o"))
     old = state.select("record_id", F.struct(*[c for c in state.columns if c != "record_id"]).alias("old"))
     rows = merged.join(old, "record_id", "left")
     o = F.col("o")
@@ -278,25 +294,6 @@ def observations_digest(observations: DataFrame) -> DataFrame:
     return ordered_digest(observations, "batch_order", cells)
 
 
-def replay_verdict(revisions: DataFrame, operation: str, parent: str, digest: str) -> DataFrame:
-    """What a repeated operation id means: ``new``, ``replay``, ``conflict`` or ``stale_parent``.
-
-    ``revisions`` carries ``seq, id, parent, operation, digest``; ``id`` of the
-    result is the earlier revision on a replay.
-    """
-    same = F.col("operation") == operation
-    found = revisions.agg(
-        F.max_by("id", "seq").alias("head"),
-        F.max(F.when(same, F.struct("id", "parent", "digest"))).alias("prior"),
-    )
-    equal = (F.col("prior.parent").eqNullSafe(F.lit(parent))) & (F.col("prior.digest") == digest)
-    return found.select(
-        F.when(F.col("prior").isNotNull(), F.when(equal, "replay").otherwise("conflict"))
-        .when(F.col("head") != parent, "stale_parent").otherwise("new").alias("verdict"),
-        F.when(equal, F.col("prior.id")).alias("id"),
-    )
-
-
 def upsert_checkpoints(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Newest value per scope with the revision that set it; equal values take the later one."""
     both = stored.withColumn("_turn", F.lit(0)).unionByName(incoming.withColumn("_turn", F.lit(1)))

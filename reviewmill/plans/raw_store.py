@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -236,18 +233,3 @@ def observation_quarantine(spark, sf):
         table(spark, sf, "events").select(F.col("event_id").alias("batch_order"), F.floor("value").cast("int").alias("rating")), "batch_order"
     ).withColumn("source_id", F.when(F.col("text") != "error", F.col("source_id")))
     return R.quarantine(rows, 1000)
-
-
-@query("operation_replay", """
-SELECT * FROM (VALUES ('replay', 'r2', 'repeat'), ('conflict', NULL, 'other rows'), ('stale_parent', NULL, 'old parent'),
-  ('new', NULL, 'next')) AS v(verdict, id, attempt)""")
-def operation_replay(spark, sf):
-    """Commits by month-half digests: a replay, a conflict, a stale parent and a next one."""
-    first, second = [R.observations_digest(half).first()["digest"] for half in _halves(spark, sf)]
-    revisions = spark.createDataFrame(
-        [(1, "r1", None, "first", first), (2, "r2", "r1", "second", second)],
-        "seq int, id string, parent string, operation string, digest string")
-    attempts = {"repeat": ("second", "r1", second), "other rows": ("second", "r1", first),
-                "old parent": ("third", "r1", second), "next": ("third", "r2", second)}
-    results = [R.replay_verdict(revisions, *asked).withColumn("attempt", F.lit(name)) for name, asked in attempts.items()]
-    return reduce(DataFrame.unionByName, results)

@@ -31,6 +31,8 @@ STORE_PROVIDERS = ["apple_rss", "play"]
 
 OBSERVATION_KEY = ["provider", "app_id", "source_id"]
 CONTENT_FIELDS = ["text", "title", "rating", "app_version"]
+# Where an observation comes from; optional columns that an accepted version keeps under its provider's name.
+PROVENANCE = ["author_hash", "run_id", "capture_ref", "raw"]
 
 OBSERVATIONS = T.StructType([
     T.StructField("batch_order", T.LongType()),

@@ -34,7 +34,9 @@ def parse_feed_pages(pages: DataFrame, salt: bytes = b"", salt_version: str = "v
     """Reviews of feed pages; a lone entry counts as a list, app metadata is skipped."""
     entry = F.get_json_object("body", "$.feed.entry")
     as_list = F.when(F.ltrim(entry).startswith("{"), F.concat(F.lit("["), entry, F.lit("]"))).otherwise(entry)
-    entries = pages.select("*", F.posexplode(F.from_json(as_list, FEED_ENTRY)).alias("position", "e"))
+    entries = pages.select("*", F.posexplode(F.arrays_zip(
+        F.from_json(as_list, FEED_ENTRY).alias("e"), F.from_json(as_list, "array<string>").alias("raw"))).alias("position", "z")) \
+        .select("*", "z.e", "z.raw").drop("z")
     rating = F.col("e.`im:rating`.label")
     is_metadata = F.col("e.`im:rating`").isNull() & F.col("e.`im:name`").isNotNull()
     keep = [c for c in pages.columns if c != "body"]
@@ -49,6 +51,7 @@ def parse_feed_pages(pages: DataFrame, salt: bytes = b"", salt_version: str = "v
         rating.cast("int").alias("rating"),
         text_or_null(F.col("e.`im:version`.label")).alias("app_version"),
         author_pseudonym(F.col("e.author.uri.label"), salt, salt_version).alias("author_hash"),
+        "raw",
     )
 
 
@@ -60,7 +63,9 @@ def _rpc_payload(body: Column) -> Column:
 def parse_rpc_pages(pages: DataFrame) -> DataFrame:
     """Reviews of framed call responses: positional arrays inside a JSON string."""
     reviews = pages.withColumn("p", _rpc_payload(F.col("body"))).select(
-        "*", F.posexplode(F.from_json(F.col("p")[0], "array<array<string>>")).alias("position", "r"))
+        "*", F.posexplode(F.arrays_zip(
+            F.from_json(F.col("p")[0], "array<array<string>>").alias("r"), F.from_json(F.col("p")[0], "array<string>").alias("raw"))
+        ).alias("position", "z")).select("*", "z.r", "z.raw").drop("z")
     epoch = F.from_json(F.col("r")[EDITED], "array<bigint>")[0]
     moment = F.timestamp_seconds(epoch)
     keep = [c for c in pages.columns if c != "body"]
@@ -75,6 +80,7 @@ def parse_rpc_pages(pages: DataFrame) -> DataFrame:
         F.col("r")[SCORE].cast("int").alias("rating"),
         text_or_null(F.get(F.col("r"), F.lit(VERSION))).alias("app_version"),
         F.lit(None).cast("string").alias("author_hash"),
+        "raw",
     )
 
 
@@ -91,11 +97,12 @@ def page_problems(feed: DataFrame, rpc: DataFrame) -> DataFrame:
     return broken_feed.unionByName(broken_rpc)
 
 
-def page_observations(feed: DataFrame, rpc: DataFrame) -> DataFrame:
-    """The reviews of captured pages as observations; ``batch_order`` is the place in the page."""
-    rows = parse_feed_pages(feed).unionByName(parse_rpc_pages(rpc))
+def page_observations(feed: DataFrame, rpc: DataFrame, salt: bytes = b"", salt_version: str = "v1") -> DataFrame:
+    """The reviews of captured pages as observations with their provenance; ``batch_order`` is the place in the page."""
+    rows = parse_feed_pages(feed, salt, salt_version).unionByName(parse_rpc_pages(rpc))
     return rows.withColumn("batch_order", F.col("position").cast("bigint")).select(
-        *[F.col(field.name).cast(field.dataType).alias(field.name) for field in S.OBSERVATIONS], "capture_ref")
+        *[F.col(field.name).cast(field.dataType).alias(field.name) for field in S.OBSERVATIONS],
+        "author_hash", "capture_ref", "raw")
 
 
 def continuation(pages: DataFrame) -> DataFrame:

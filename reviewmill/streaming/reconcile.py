@@ -1,151 +1,67 @@
 """Continuous reconciliation of landed observations into the versioned store.
 
-The store is a folder of Parquet tables with one sub-folder per revision.  A
-micro-batch writes its rows into the folder of its own revision, replacing what
-an earlier attempt may have left, and adds the revision record last; readers
-look at recorded revisions only.  A retried batch therefore changes nothing.
+A micro-batch becomes one revision of the store (``sources.bucket_store``), under
+the name of its stream and its number.  A retried batch finds its revision and
+changes nothing; several streams may write to one store.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
 from ..operators import store as R
 from ..operators.ordered import numbered
 from ..session import checkpointed, stored
+from ..sources.bucket_store import Changes, Store, View
 from ..sources.pages import page_observations, page_problems
 
-SEED_SEQ = 1
-REVISIONS = T.StructType([
-    T.StructField("seq", T.LongType()), T.StructField("operation", T.StringType()), T.StructField("digest", T.StringType()),
-    *[T.StructField(o, T.LongType()) for o in S.OUTCOMES],
-])
-CHECKPOINTS = T.StructType([
-    T.StructField("scope", T.StringType()), T.StructField("value", T.TimestampNTZType()),
-    T.StructField("revision", T.StringType()), T.StructField("seq", T.LongType()),
-])
-IDENTITIES = T.StructType([*S.IDENTITIES.fields, T.StructField("seq", T.LongType())])
-
-
-@dataclass(frozen=True)
-class Store:
-    """Paths of the store's tables."""
-
-    root: str
-
-    def read(self, spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{self.root}/{name}")
-
-    def write(self, rows: DataFrame, name: str, seq: int) -> None:
-        rows.drop("seq").write.mode("overwrite").parquet(f"{self.root}/{name}/seq={seq}")
-
-    def revisions(self, spark: SparkSession) -> DataFrame:
-        return self.read(spark, "revisions", REVISIONS)
-
-    def _recorded(self, spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
-        return self.read(spark, name, schema).join(self.revisions(spark).select("seq"), "seq", "left_semi").select(schema.fieldNames())
-
-    def versions(self, spark: SparkSession) -> DataFrame:
-        return self._recorded(spark, "versions", S.VERSIONS)
-
-    def identities(self, spark: SparkSession) -> DataFrame:
-        return self._recorded(spark, "identities", IDENTITIES).drop("seq")
-
-    def checkpoints(self, spark: SparkSession) -> DataFrame:
-        """Each revision carries the full, small checkpoint table; the newest counts."""
-        rows = self._recorded(spark, "checkpoints", CHECKPOINTS)
-        newest = rows.agg(F.max("seq").alias("s")).scalar()
-        return rows.where(F.col("seq") == newest).select("scope", "value", "revision")
-
-    def is_empty(self, spark: SparkSession) -> bool:
-        try:
-            return self.revisions(spark).isEmpty()
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return True
-            raise
-
-    def seq_of(self, spark: SparkSession, operation: str) -> int:
-        """Revision number of an operation; an unknown one is an error."""
-        row = self.revisions(spark).where(F.col("operation") == operation).select("seq").first()
-        if row is None:
-            raise KeyError(f"no revision of operation {operation}")
-        return row["seq"]
-
-    def at(self, spark: SparkSession, operation: str) -> DataFrame:
-        """The state as the named operation left it."""
-        return R.as_of(self.versions(spark), self.seq_of(spark, operation))
-
-    def initialize(self, spark: SparkSession, identities: DataFrame | None = None, seed: DataFrame | None = None) -> None:
-        """A new store with the seed's rows as its first revision; a store that has revisions is refused.
-
-        ``seed`` is a raw table; its records must be unique.  ``identities`` may name more provider ids than it holds.
-        """
-        if not self.is_empty(spark):
-            raise ValueError(f"the store {self.root} is not empty")
-        versions = spark.createDataFrame([], S.VERSIONS)
-        known = identities if identities is not None else spark.createDataFrame([], S.IDENTITIES)
-        if seed is not None:
-            problems = R.seed_problems(seed).limit(5).collect()
-            if problems:
-                raise ValueError(f"seed records without or with repeated ids: {[row['record_id'] for row in problems]}")
-            versions = R.seed_versions(seed, SEED_SEQ)
-            known = known.unionByName(R.seed_identities(seed)).dropDuplicates(S.OBSERVATION_KEY)
-        self.write(versions, "versions", SEED_SEQ)
-        self.write(known, "identities", SEED_SEQ)
-        self.write(spark.createDataFrame([], CHECKPOINTS), "checkpoints", SEED_SEQ)
-        first = spark.range(1).select(
-            F.lit("seed").alias("operation"), F.lit("").alias("digest"), *[F.lit(0).cast("bigint").alias(o) for o in S.OUTCOMES])
-        self.write(first, "revisions", SEED_SEQ)
-
 
 def in_order(batch: DataFrame) -> DataFrame:
     """Number a batch's rows by fetch time, capture (where given) and order in the file; files may all count from 0."""
     fields = S.OBSERVATIONS.fieldNames()
-    capture = [name for name in ("capture_ref",) if name in batch.columns]
+    extra = [name for name in S.PROVENANCE if name in batch.columns]
+    capture = [name for name in extra if name == "capture_ref"]
     rest = [name for name in fields if name not in ("fetched_at", "batch_order")]
-    rows = batch.select(*fields, *capture).withColumnRenamed("batch_order", "in_file")
-    return numbered(rows, ["fetched_at", *capture, "in_file", *rest], "batch_order").select(fields)
+    rows = batch.select(*fields, *extra).withColumnRenamed("batch_order", "in_file")
+    return numbered(rows, ["fetched_at", *capture, "in_file", *rest], "batch_order").select(*fields, *extra)
+
+
+def merged(batch: DataFrame, view: View, seq: int, operation: str, until: datetime | None = None) -> Changes:
+    """What an ordered batch adds to the store; only buckets of its provider ids and records are read."""
+    identities = view.identities_of(batch)
+    resolved = stored(R.resolve(batch, identities), "resolved")
+    state = stored(view.state_of(resolved), "touched-state")
+    classified = stored(R.classify(resolved, identities, state), "classified")
+    scope = F.concat_ws(":", "provider", "app_id", F.lower("country"))
+    incoming = classified.groupBy(scope.alias("scope")).agg(
+        (F.max("fetched_at") if until is None else F.lit(until).cast("timestamp_ntz")).alias("value")).withColumn("revision", F.lit(operation))
+    counts = R.outcome_counts(classified).where(F.col("provider") == "(all)").first()
+    return Changes(
+        R.next_versions(classified, state, seq), R.new_identities(classified, identities),
+        R.upsert_checkpoints(view.checkpoints(batch.sparkSession), incoming), {o: counts[o] for o in S.OUTCOMES})
 
 
-def commit_batch(store: Store, batch: DataFrame, batch_id: int, stream: str = "stream", until: datetime | None = None) -> None:
-    """Apply one micro-batch as one revision; stream and batch number are the operation id.
+def commit_rows(store: Store, batch: DataFrame, operation: str, until: datetime | None = None, parent: str | None = None) -> dict:
+    """Apply observations as one revision and return its record.
 
-    ``until`` is the end of the window the batch covers, else its sources are covered up to their last fetch.  A batch that is committed already is left alone if its rows are the same and refused if they are not.
+    ``until`` is the end of the window the batch covers, else its sources are covered up to their last fetch.  An
+    operation that is committed already is left alone if its rows are the same and refused if they are not; with
+    ``parent`` the commit is refused unless that revision is still the newest.
     """
-    spark = batch.sparkSession
-    operation = f"{stream}-batch-{batch_id}"
     batch = checkpointed(in_order(batch))
     found = R.observations_digest(batch).select("digest").first()
     digest = found["digest"] if found else "empty"
-    revisions = store.revisions(spark)
-    prior = revisions.where(F.col("operation") == operation).select("digest").first()
-    if prior is not None:
-        if prior["digest"] != digest:
-            raise ValueError(f"operation {operation} was committed with other rows")
-        return
-    seq = revisions.agg(F.max("seq").alias("s")).first()["s"] + 1
-    identities = store.identities(spark)
-    # Only versions of the records this batch touches enter the state.
-    touched = stored(R.resolve(batch, identities).select("record_id").distinct(), "touched")
-    state = checkpointed(R.as_of(store.versions(spark).join(touched, "record_id", "left_semi")))
-    classified = checkpointed(R.classify(batch, identities, state))
-    store.write(R.next_versions(classified, state, seq), "versions", seq)
-    store.write(R.new_identities(classified, identities), "identities", seq)
-    scope = F.concat_ws(":", "provider", "app_id", F.lower("country"))
-    incoming = classified.groupBy(scope.alias("scope")).agg(
-        (F.max("fetched_at") if until is None else F.lit(until).cast("timestamp_ntz")).alias("value")).withColumn("revision", F.lit(operation))
-    store.write(R.upsert_checkpoints(store.checkpoints(spark), incoming), "checkpoints", seq)
-    counts = R.outcome_counts(classified).where(F.col("provider") == "(all)").drop("provider")
-    store.write(counts.withColumns({"operation": F.lit(operation), "digest": F.lit(digest)}), "revisions", seq)
+    return store.commit(batch.sparkSession, operation, digest, lambda view, seq: merged(batch, view, seq, operation, until), parent)
+
+
+def commit_batch(store: Store, batch: DataFrame, batch_id: int, stream: str = "stream", until: datetime | None = None) -> dict:
+    """Apply one micro-batch as one revision; stream and batch number are the operation."""
+    return commit_rows(store, batch, f"{stream}-batch-{batch_id}", until)
 
 
 def commit_pages(
@@ -164,7 +80,7 @@ def commit_pages(
         raise ValueError(f"pages are refused: {[tuple(row) for row in problems.limit(5).collect()]}")
     start, end = [F.lit(moment).cast("timestamp_ntz") for moment in (since, until)]
     rows = page_observations(feed, rpc).where(R.in_window(F.col("provider"), F.col("updated_at"), start, end))
-    rows = stored(rows, "page-rows")
+    rows = stored(rows.withColumn("run_id", F.lit(f"{stream}-batch-{batch_id}")), "page-rows")
     bad = R.quarantine(rows)
     fine = rows.where(~((F.coalesce("source_id", F.lit("")) == "") | F.coalesce(~F.col("rating").between(1, 5), F.lit(False))))
     commit_batch(store, fine, batch_id, stream, until)

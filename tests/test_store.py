@@ -1,13 +1,18 @@
 """Reconciliation against a plain sequential loop, and the store's rules."""
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from reviewmill import schemas as S
 from reviewmill.operators import store as R
+from reviewmill.sources import bucket_store, revisions
+from reviewmill.sources.revisions import Folder, RevisionLog, StaleParent
+from reviewmill.streaming import keyed_state as K
 from reviewmill.streaming import reconcile as St
 
 T0 = datetime(2026, 9, 10, 12)
@@ -105,11 +110,12 @@ def test_matches_sequential_loop(spark, seed, width):
     assert {tuple(r["record_id"].split(":")): ((r["text"], r["title"], r["rating"], "1.0"), r["updated_at"]) for r in final} == expected_state
 
 
-def test_undated_state_absorbs_equal_content(spark):
+@pytest.mark.parametrize("width", [1, 2, 1 << 16])
+def test_undated_state_absorbs_equal_content(spark, width):
     _, seed = committed(spark, [observation(0, 1)])
     undated = seed.withColumn("native", F.map_filter("native", lambda k, _: ~k.endswith("updated_at")))
     rows = [observation(0, 1), observation(1, 1, updated_at=T0 - timedelta(days=5)), observation(2, 1, text="new"), observation(3, 1, updated_at=T0 - timedelta(days=5))]
-    classified, _ = committed(spark, rows, state=undated, seq=2)
+    classified, _ = committed(spark, rows, state=undated, seq=2, width=width)
     assert [r["outcome"] for r in classified.orderBy("batch_order").collect()] == ["duplicates", "duplicates", "edited", "stale"]
 
 
@@ -138,15 +144,6 @@ def test_boundary_reads_native_storefront(spark, locale):
     assert got == {"play": datetime(2026, 9, 3, 12), "apple_rss": None}
 
 
-def test_replay_verdicts(spark):
-    revisions = spark.createDataFrame([(1, "r1", None, "seed", "d1"), (2, "r2", "r1", "op", "d2")], "seq int, id string, parent string, operation string, digest string")
-    verdict = lambda *a: tuple(R.replay_verdict(revisions, *a).first())
-    assert verdict("op", "r1", "d2") == ("replay", "r2")
-    assert verdict("op", "r1", "d3") == ("conflict", None)
-    assert verdict("next", "r1", "d3") == ("stale_parent", None)
-    assert verdict("next", "r2", "d3") == ("new", None)
-
-
 def test_seed_problems(spark):
     seed = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "record_id string")
     assert {r["record_id"] for r in R.seed_problems(seed).collect()} == {"a", None}
@@ -238,3 +235,114 @@ def test_malformed_page_refuses_the_batch(spark, tmp_path):
     assert [r["rule"] for r in quarantined.collect()] == ["invalid_rating"]
     assert [(r["record_id"], r["text"]) for r in store.at(spark, "pages-batch-0").collect()] == [("play:a:r1", "good")]
     assert store.checkpoints(spark).first()["value"] == T0
+
+
+def test_every_number_goes_to_one_writer(spark, tmp_path):
+    log = RevisionLog(Folder(str(tmp_path / "store")))
+    with ThreadPoolExecutor(8) as pool:
+        asked = [{"seq": seq, "id": f"{seq}-{writer}", "operation": f"{writer}"} for seq in range(1, 13) for writer in range(8)]
+        won = [record for record, taken in zip(asked, pool.map(lambda record: log.append(spark, record), asked)) if taken]
+    assert sorted(record["seq"] for record in won) == list(range(1, 13)) == log.numbers(spark)
+    assert log.records(spark) == sorted(won, key=lambda record: record["seq"])
+    assert log.folder.names(spark, "attempts") == []
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    store = St.Store(str(tmp_path / "store"))
+    store.initialize(spark, buckets=2)
+    writers = {"a": [observation(i, i) for i in range(6)], "b": [observation(i, i, text="b", updated_at=T0 + timedelta(days=1)) for i in range(3, 9)]}
+    with ThreadPoolExecutor(2) as pool:
+        done = list(pool.map(lambda name: St.commit_rows(store, frame(spark, writers[name]), name), writers))
+    assert sorted(record["seq"] for record in done) == [2, 3]
+    state = {row["record_id"].split(":")[-1]: row["text"] for row in store.state(spark).collect()}
+    assert state == {str(i): "b" if i >= 3 else f"Original {i}" for i in range(9)}
+    first, second = sorted(done, key=lambda record: record["seq"])
+    assert second["parent"] == first["id"]
+    # A commit against a revision that is no longer the newest is refused, a repeated one is not made again.
+    with pytest.raises(StaleParent):
+        St.commit_rows(store, frame(spark, [observation(0, 50)]), "late", parent=first["id"])
+    assert St.commit_rows(store, frame(spark, writers["a"]), "a")["id"] == done[0]["id"]
+    with pytest.raises(ValueError, match="another parent"):
+        St.commit_rows(store, frame(spark, writers["a"]), "a", parent=second["id"])
+    assert store.revisions(spark).count() == 3
+
+
+def test_reads_do_not_grow_with_the_revisions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bucket_store, "COMPACTED", 2)
+    monkeypatch.setattr(revisions, "SUMMED", 3)
+    store = St.Store(str(tmp_path / "store"))
+    store.initialize(spark, buckets=2)
+    at = lambda k: T0 + timedelta(days=k)
+    for k in range(1, 6):
+        rows = [observation(0, "same", text=f"turn {k}", updated_at=at(k)), observation(1, k, updated_at=at(k))]
+        St.commit_rows(store, frame(spark, rows), f"turn {k}")
+        assert max(len(added) + bool(base) for table in store.view(spark).manifest.parts.values() for base, added in table.values()) <= 2
+    assert store.folder.names(spark, "log-sums") == ["3"] or sorted(store.folder.names(spark, "log-sums")) == ["3", "6"]
+    # Every revision can still be read as it was, and the history is whole.
+    for k in range(1, 6):
+        texts = sorted(row["text"] for row in store.at(spark, f"turn {k}").collect())
+        assert texts == sorted([f"turn {k}", *(f"Original {j}" for j in range(1, k + 1))])
+    assert store.versions(spark).count() == 10 and store.identities(spark).count() == 6
+    assert [row["operation"] for row in store.revisions(spark).orderBy("seq").collect()] == ["seed", *(f"turn {k}" for k in range(1, 6))]
+    # Only the buckets of the asked records are read.
+    view = store.view(spark)
+    one = spark.createDataFrame([("play:example.app:1",)], "record_id string")
+    read = view.read(spark, "versions", view.buckets(one, "versions")).inputFiles()
+    assert len({path.split("bucket=")[1].split("/")[0] for path in read}) == 1
+    assert view.state_of(one).first()["text"] == "Original 1"
+    # What a lost writer left behind is not seen, and can be removed.
+    store.folder.write(spark, "data/lost/manifest.json", "{}")
+    assert store.state(spark).count() == 6 and store.clean(spark) == ["lost"] and store.clean(spark) == []
+
+
+def test_accepted_versions_keep_their_provenance(spark):
+    rows = frame(spark, [observation(0, 1)]).withColumns({name: F.lit(f"{name} of it") for name in S.PROVENANCE})
+    classified = R.classify(rows, R.empty_identities(spark), R.empty_state(spark))
+    native = R.next_versions(classified, R.empty_state(spark), 1).first()["native"]
+    assert {name: native[f"play__{name}"] for name in S.PROVENANCE} == {name: f"{name} of it" for name in S.PROVENANCE}
+    assert (native["play__schema_version"], native["play__collected_via"]) == ("unified-update-v1", "newest")
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_keyed_outcomes_equal_the_loop(seed):
+    random_ = random.Random(seed)
+    known = random_.random() < 0.5
+    stored = (random_.randrange(3), random_.choice([K.NO_DATE, 1, 2]))
+    rows = [(random_.randrange(3), random_.choice([1, 2, 3])) for _ in range(random_.randrange(1, 9))]
+    content, at = stored if known else (-1, K.NO_DATE)
+    seen, undated, want, last = known, known and stored[1] == K.NO_DATE, [], -1
+    for place, (code, date) in enumerate(rows):
+        if undated and code == content:
+            want.append(2)
+        elif at != K.NO_DATE and date < at:
+            want.append(3)
+        elif seen and (code, date) == (content, at):
+            want.append(2)
+        else:
+            want.append(1 if seen else 0)
+            content, at, seen, undated, last = code, date, True, False, place
+    first = stored if known else (-1, K.NO_DATE)
+    found, place = K.outcomes(np.array([date for _, date in rows]), np.array([code for code, _ in rows]), known, *first)
+    assert found.tolist() == want and place == last
+
+
+def test_keyed_stream_starts_on_a_store_and_goes_on(spark, tmp_path):
+    identities = spark.createDataFrame([("apple_rss", "123", "n", "old:1")], S.IDENTITIES)
+    _, seed = committed(spark, [observation(0, 1), observation(1, 2), observation(2, "n", "apple_rss", "123")], identities)
+    landing, late = str(tmp_path / "landing"), timedelta(days=3)
+    for k, rows in enumerate((
+        [observation(0, 1), observation(1, 2, text="new", updated_at=T0 + late), observation(2, "n", "apple_rss", "123", title="t")],
+        [observation(0, 1, updated_at=T0 - late), observation(1, 2), observation(2, 3)],
+        [observation(0, 3, text="x", updated_at=T0 + late), observation(1, 3, text="y", updated_at=T0 + late, fetched_at=T0 + 2 * late)],
+    )):
+        frame(spark, rows).coalesce(1).write.mode("append").parquet(landing)
+        changes = K.keyed_changes(St.landed(spark, landing), identities, R.as_of(seed))
+        K.follow(changes, str(tmp_path / "changes"), str(tmp_path / "progress")).awaitTermination()
+        found = {(r["batch"], r["record_id"].split(":")[-1]): tuple(r[o] for o in S.OUTCOMES)
+                 for r in K.changes_at(spark, str(tmp_path / "changes")).collect()}
+        assert {batch for batch, _ in found} == set(range(k + 1))
+    assert found == {
+        (0, "1"): (0, 0, 1, 0), (0, "2"): (0, 1, 0, 0), (1, "1"): (0, 0, 0, 1), (1, "2"): (0, 0, 0, 1), (1, "3"): (1, 0, 0, 0),
+        (2, "3"): (0, 2, 0, 0)} | {(0, "1"): found[0, "1"]}
+    newest = {r["record_id"]: (r["text"], r["title"]) for r in K.latest(K.changes_at(spark, str(tmp_path / "changes"))).collect()}
+    assert newest == {"play:example.app:2": ("new", None), "play:example.app:3": ("y", None), "old:1": ("Original n", "t")}
