@@ -46,3 +46,18 @@ def mix(values: np.ndarray) -> np.ndarray:
     values = (values ^ (values >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     values = (values ^ (values >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
     return values ^ (values >> np.uint64(32))
+
+
+def strings(column: pa.Array) -> list[str]:
+    """The texts of a column without nulls."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def outer_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte of every text of a column without nulls; 0 for an empty one."""
+    column = column.cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    raw = np.append(np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), np.uint8(0))
+    empty = ends[1:] == ends[:-1]
+    return np.where(empty, 0, raw[ends[:-1]]), np.where(empty, 0, raw[ends[1:] - 1])
