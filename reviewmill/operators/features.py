@@ -46,7 +46,7 @@ def problem_examples(df: DataFrame, order: str, limit: int = 10) -> DataFrame:
     repeated = df.where(~bad_id).groupBy("record_id").agg(n().alias("c")).where(F.col("c") > 1).select("record_id", F.lit(True).alias("repeated"))
     rows = df.select(order, "record_id", bad_id.alias("bad_id"), bad_text.alias("bad_text")).join(repeated, "record_id", "left")
     return rows.where(F.col("bad_id") | F.col("bad_text") | F.col("repeated")).orderBy(order).limit(limit).select(
-        order, F.when(F.col("bad_id"), F.concat(F.lit("<invalid ID at row "), F.col(order).cast("string"), F.lit(">")))
+        order, F.when(F.col("bad_id"), F.concat(F.lit("row "), F.col(order).cast("string"), F.lit(" has no id")))
         .otherwise(F.substring("record_id", 1, 120)).alias("example")
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -21,6 +21,11 @@ MART_SCHEMA = (
 )
 
 
+REVIEW_SCHEMA = MART_SCHEMA.replace(", month string", "")
+CUBE_KEYS = ["month", "platform", "sentiment", "topic_id", "assessment", "title"]
+CUBE_SCHEMA = "platform string, sentiment string, topic_id int, assessment string, title string, reviews bigint"
+
+
 def topic_dimension(topics: DataFrame, labels: DataFrame) -> DataFrame:
     """Topics with assessment and title; ``topics`` carries ``topic_id, keywords``."""
     loose = F.col("topic_id") < 0
@@ -40,9 +45,45 @@ def review_mart(rows: DataFrame, dimension: DataFrame) -> DataFrame:
     )
 
 
-def write_mart(mart: DataFrame, path: str) -> None:
-    """Month folders; a month's rows spread over several files, however many it has."""
-    mart.repartition("month", F.pmod(F.xxhash64("record_id"), F.lit(64))).write.mode("errorifexists").partitionBy("month").parquet(path)
+def cube_of(mart: DataFrame) -> DataFrame:
+    """How many reviews share month, platform, label and topic: all that counts and shares need."""
+    return mart.groupBy(*CUBE_KEYS).agg(n().alias("reviews"))
+
+
+@dataclass(frozen=True)
+class StoredMart:
+    """A mart on disk: reviews in month folders and their counts, both growing by commits.
+
+    Counts add up, so a commit writes the counts of its own rows and nothing that is there is read or written again.
+    Rows and counts of a commit lie in folders of its number; a commit that is made again replaces its own.  A review
+    that a commit changes is given as it stood before, too: that row counts minus one and hides the earlier one.
+    """
+
+    path: str
+
+    def commit(self, number: int, rows: DataFrame, removed: DataFrame | None = None) -> None:
+        """Add reviews, and take out what stood for them before."""
+        counts, signed = cube_of(rows), rows.withColumn("sign", F.lit(1))
+        if removed is not None:
+            counts = counts.unionByName(cube_of(removed).withColumn("reviews", -F.col("reviews")))
+            signed = signed.unionByName(removed.withColumn("sign", F.lit(-1)))
+        # A month's rows spread over several files, however many it has.
+        signed.repartition("month", F.pmod(F.xxhash64("record_id"), F.lit(64))).write.mode("overwrite").partitionBy("month") \
+            .parquet(f"{self.path}/reviews/commit={number}")
+        counts.coalesce(1).write.mode("overwrite").partitionBy("month").parquet(f"{self.path}/counts/commit={number}")
+
+    def counts(self, spark: SparkSession) -> DataFrame:
+        """The cube: ``CUBE_KEYS, reviews``; a view without a text query is answered from it."""
+        rows = spark.read.schema(f"{CUBE_SCHEMA}, commit bigint, month string").parquet(f"{self.path}/counts")
+        return rows.groupBy(*CUBE_KEYS).agg(F.sum("reviews").alias("reviews")).where(F.col("reviews") != 0)
+
+    def reviews(self, spark: SparkSession, view: Filter | None = None) -> DataFrame:
+        """The reviews of a view; only its months' folders are read."""
+        rows = spark.read.schema(f"{REVIEW_SCHEMA}, sign int, commit bigint, month string").parquet(f"{self.path}/reviews")
+        rows = rows if view is None else rows.where(view.condition())
+        gone = rows.where("sign < 0").groupBy("record_id").agg(F.max("commit").alias("upto"))
+        return rows.where("sign > 0").join(gone, "record_id", "left").where(
+            F.col("upto").isNull() | (F.col("commit") >= F.col("upto"))).drop("sign", "commit", "upto")
 
 
 @dataclass(frozen=True)
@@ -74,24 +115,30 @@ def in_view(mart: DataFrame, view: Filter) -> DataFrame:
     return mart.where(view.condition())
 
 
-def _mix() -> list[Column]:
-    return [n(F.col("sentiment") == k).alias(k) for k in S.SENTIMENTS] + [n().alias("total")]
+def _size(rows: DataFrame, test: Column | None = None) -> Column:
+    """Reviews behind rows, of a mart or of its cube."""
+    weight = F.col("reviews") if "reviews" in rows.columns else F.lit(1).cast("bigint")
+    return F.coalesce(F.sum(weight if test is None else F.when(test, weight)), F.lit(0).cast("bigint"))
+
+
+def _mix(rows: DataFrame) -> list[Column]:
+    return [_size(rows, F.col("sentiment") == k).alias(k) for k in S.SENTIMENTS] + [_size(rows).alias("total")]
 
 
 def mix(rows: DataFrame) -> DataFrame:
-    return rows.agg(*_mix())
+    return rows.agg(*_mix(rows))
 
 
 def kpis(rows: DataFrame) -> DataFrame:
     """Reviews, topics represented, negative and positive counts and shares."""
-    return rows.agg(*_mix(), F.countDistinct(F.when(F.col("topic_id") >= 0, F.col("topic_id"))).alias("topics")).select(
+    return rows.agg(*_mix(rows), F.countDistinct(F.when(F.col("topic_id") >= 0, F.col("topic_id"))).alias("topics")).select(
         "total", "topics", "negative", "positive",
         ratio(F.col("negative"), F.col("total")).alias("negative_share"), ratio(F.col("positive"), F.col("total")).alias("positive_share"),
     )
 
 
 def topic_stats(rows: DataFrame) -> DataFrame:
-    stats = rows.groupBy("topic_id", "assessment", "title").agg(*_mix())
+    stats = rows.groupBy("topic_id", "assessment", "title").agg(*_mix(rows))
     return stats.withColumns({
         "negative_share": ratio(F.col("negative"), F.col("total")), "positive_share": ratio(F.col("positive"), F.col("total")),
     })
@@ -116,21 +163,22 @@ def worst_topic(rows: DataFrame, least: int = 5) -> DataFrame:
 def trend(rows: DataFrame, months: DataFrame, view: Filter = Filter()) -> DataFrame:
     """Labels per month, months without rows kept, the first busiest month marked."""
     inside = months.where(Filter(first_month=view.first_month, last_month=view.last_month).condition())
-    counted = rows.groupBy("month").agg(*_mix())
+    counted = rows.groupBy("month").agg(*_mix(rows))
     filled = inside.select("month").join(counted, "month", "left").na.fill(0, [*S.SENTIMENTS, "total"])
     peak = filled.agg(F.min_by("month", F.struct((-F.col("total")).alias("t"), F.col("month").alias("m"))).alias("p")).scalar()
     return filled.withColumn("is_peak", F.col("month") == peak)
 
 
 def platforms(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("platform").agg(*_mix()).withColumn("negative_share", ratio(F.col("negative"), F.col("total")))
+    return rows.groupBy("platform").agg(*_mix(rows)).withColumn("negative_share", ratio(F.col("negative"), F.col("total")))
 
 
 def detail_counts(mart: DataFrame, view: Filter, topic: int) -> DataFrame:
     """Of one topic: rows in view, all rows, labels in view."""
     test = view.condition()
     return mart.where(F.col("topic_id") == topic).agg(
-        n(test).alias("in_view"), n().alias("all_rows"), *[n(test & (F.col("sentiment") == k)).alias(k) for k in S.SENTIMENTS])
+        _size(mart, test).alias("in_view"), _size(mart).alias("all_rows"),
+        *[_size(mart, test & (F.col("sentiment") == k)).alias(k) for k in S.SENTIMENTS])
 
 
 def detail_page(mart: DataFrame, view: Filter, topic: int, number: int = 0, size: int = PAGE) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import author_pseudonym, text_hash
 from ..functions.numbers import n
+from ..operators import features as Fe
 from ..operators.prepare import prepared_rows
 from ..session import work_path
 from ..sources import release as L
@@ -172,3 +174,80 @@ def catalog_latest(spark, sf):
     return L.resolve(published).select(
         "run_id", "artifact_id", F.get_json_object("info", "$.rows").cast("bigint").alias("rows"),
         published.agg(n().alias("c")).scalar().alias("publications"), conflicts.agg(n().alias("c")).scalar().alias("conflicts"))
+
+
+@query("verify_damaged_release", over(PREPARED, """
+SELECT false AS size_ok, false AS files_ok, true AS columns_ok, false AS rows_ok, false AS content_ok, count(*) AS row_count, false AS valid,
+  count(*) FILTER (WHERE platform <> 'x') AS found_rows FROM prepared"""))
+def verify_damaged(spark, sf):
+    """A release whose files of one platform were lost and whose ratings were changed after its manifest was written."""
+    path, _ = _release(spark, sf)
+    damaged = work_path(spark, "damaged")
+    for part in ("manifest", "files"):
+        spark.read.text(f"{path}/{part}").write.text(f"{damaged}/{part}")
+    rows = spark.read.parquet(f"{path}/data").where(F.col("platform") != "x")
+    rows.withColumn("rating", F.when(F.col("rating") == 1, F.lit(2)).otherwise(F.col("rating")).cast(rows.schema["rating"].dataType)) \
+        .write.parquet(f"{damaged}/data")
+    found = spark.read.parquet(f"{damaged}/data").agg(n().alias("found_rows"))
+    return L.verify_release(spark, damaged).join(found, how="cross")
+
+
+@query("file_reconcile", """
+WITH d AS (SELECT 'day-' || strftime(ts, '%Y-%m-%d') AS name, count(*) * 10 AS bytes, day(min(ts)) AS k FROM events GROUP BY 1),
+f AS (SELECT coalesce(a.name, b.name) AS name, a.bytes AS declared_bytes, b.bytes AS observed_bytes
+  FROM (SELECT name, bytes FROM d WHERE k % 7 <> 3) a FULL OUTER JOIN
+    (SELECT name, bytes + CASE WHEN k % 4 = 2 THEN 1 ELSE 0 END AS bytes FROM d WHERE k % 5 <> 1) b ON a.name = b.name)
+SELECT name, coalesce(declared_bytes, -1) AS declared_bytes, coalesce(observed_bytes, -1) AS observed_bytes,
+  CASE WHEN observed_bytes IS NULL THEN 'incomplete' WHEN declared_bytes <> observed_bytes THEN 'invalid' WHEN declared_bytes IS NULL THEN 'undeclared' ELSE 'none' END AS issue FROM f""")
+def file_reconcile(spark, sf):
+    """A manifest of daily files against a listing with days lost, grown and not declared."""
+    days = table(spark, sf, "events").groupBy(F.concat(F.lit("day-"), F.date_format("ts", "yyyy-MM-dd")).alias("name")).agg(
+        (n() * 10).alias("bytes"), F.dayofmonth(F.min("ts")).alias("k"))
+    declared = days.where(F.col("k") % 7 != 3)
+    observed = days.where(F.col("k") % 5 != 1).withColumn("bytes", F.col("bytes") + F.when(F.col("k") % 4 == 2, 1).otherwise(0))
+    return L.reconcile_files(declared, observed).na.fill(-1, ["declared_bytes", "observed_bytes"]).na.fill("none", ["issue"])
+
+
+@query("settings_identity", """
+SELECT lang AS language, sha256('{"language":' || CASE WHEN lang IS NULL THEN 'null' ELSE '"' || lang || '"' END || ',"longest":' || max(n_chars) || ',"rows":' || count(*) || '}') AS identity
+FROM documents GROUP BY lang""")
+def settings_identity(spark, sf):
+    """One identity per language's settings: equal settings in any order have equal ones."""
+    rows = table(spark, sf, "documents").groupBy(F.col("lang").alias("language")).agg(n().alias("rows"), F.max("n_chars").alias("longest"))
+    return rows.select("language", Fe.identity_of({name: F.col(name) for name in ("rows", "longest", "language")}).alias("identity"))
+
+
+_LINKS = """
+WITH s AS (SELECT event_type AS stage, count(*) AS rows, lag(event_type) OVER (ORDER BY event_type) AS upstream FROM events GROUP BY 1),
+u AS (SELECT s.*, p.rows AS before FROM s LEFT JOIN s p ON p.stage = s.upstream)
+SELECT stage, upstream IS NULL OR stage <> 'error' AS input_matches, upstream IS NULL OR rows = before AS rows_match, rows % 2 = 0 AS finite,
+  upstream IS NULL OR (stage < 'h') = (upstream < 'h') AS same_release FROM u"""
+
+
+@query("broken_lineage", _LINKS)
+def broken_lineage(spark, sf):
+    """Stages linked by fingerprints, some to another input, with other rows, unfit values or another release."""
+    counts = table(spark, sf, "events").groupBy(F.col("event_type").alias("stage")).agg(n().alias("rows"))
+    # One row per event type.
+    ordered = Window.orderBy("stage")
+    stages = counts.withColumn("output_digest", F.sha2(F.concat_ws(":", "stage", "rows"), 256)).withColumns({
+        "upstream": F.lag("stage").over(ordered), "linked": F.lag("output_digest").over(ordered),
+        "nonfinite": F.col("rows") % 2, "release_id": F.when(F.col("stage") < "h", "r1").otherwise("r2")})
+    return Fe.stage_lineage(stages.withColumn("input_digest", F.when(F.col("stage") == "error", F.lit("other")).otherwise(F.col("linked"))))
+
+
+@query("problem_examples", """
+WITH r AS (SELECT event_id AS source_row, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN ' ' WHEN event_id % 50 = 7 THEN 'same' || (event_id // 200) ELSE 'e' || event_id END AS record_id,
+  CASE WHEN event_id % 40 = 11 THEN '  ' ELSE event_type END AS model_text FROM events),
+b AS (SELECT *, trim(record_id) = '' AS bad_id, trim(model_text) = '' AS bad_text, count(*) OVER (PARTITION BY record_id) > 1 AS repeated FROM r)
+SELECT source_row, CASE WHEN bad_id THEN 'row ' || source_row || ' has no id' ELSE record_id END AS example
+FROM b WHERE bad_id OR bad_text OR repeated ORDER BY source_row LIMIT 40""")
+def problem_examples(spark, sf):
+    """The first rows without an id, with a repeated one or without text."""
+    at = F.col("event_id")
+    rows = table(spark, sf, "events").select(
+        at.alias("source_row"),
+        F.when((F.col("event_type") == "error") & (at % 3 == 0), " ").when(at % 50 == 7, F.concat(F.lit("same"), F.floor(at / 200).cast("string")))
+        .otherwise(F.concat(F.lit("e"), at.cast("string"))).alias("record_id"),
+        F.when(at % 40 == 11, "  ").otherwise(F.col("event_type")).alias("model_text"))
+    return Fe.problem_examples(rows, "source_row", 40)

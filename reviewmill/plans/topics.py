@@ -177,6 +177,18 @@ def topic_objects(spark, sf):
                           F.array_join(F.col("representative_rows").cast("array<string>"), ",").alias("representatives"))
 
 
+@query("topic_object_problems", over(REPS, """
+SELECT topic_id, 'foreign_representative' AS rule FROM reps WHERE topic_id >= 0 AND source_row % 3 = 0
+UNION ALL SELECT topic_id, 'several_groups' FROM numbers WHERE topic_id >= 0 AND topic_id % 2 = 1"""))
+def topic_object_problems(spark, sf):
+    """Topic records against members of which a third was dropped, every second topic said to join two groups."""
+    rows = topic_rows(spark, sf)
+    weights = class_weights(rows, pin=True)
+    objects = K.topic_objects(rows, K.keywords(weights), K.representatives(rows, weights))
+    objects = objects.withColumn("clusters", F.col("clusters") + F.col("topic_id") % 2)
+    return K.topic_object_problems(objects, rows.where(F.col("source_row") % 3 != 0))
+
+
 @query("topic_members", over(TOPICS, "SELECT topic_id, cluster_id, record_id, source_row, probability FROM t WHERE topic_id = 0"))
 def topic_members(spark, sf):
     return K.topic_members(topic_rows(spark, sf), 0)

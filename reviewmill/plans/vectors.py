@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.numbers import rounded
 from ..operators import blocks as B
 from ..operators import features as Fe
+from ..operators import lists as Ls
 from ..operators import neighbours as N
+from ..session import stored
 from ..sources.tables import reviews, vectors
 from .registry import query
 from .views import REVIEWS, over
@@ -173,11 +175,19 @@ def knn_top5(spark, sf):
     return B.nearest(vectors(spark, sf), "vec_id", "embedding").withColumn("score", rounded(F.col("score")))
 
 
-@query("knn_probe_recall")
+@query("knn_probe_recall", """
+WITH q AS (SELECT count(*) FILTER (WHERE vec_id % 50 = 0) AS asked FROM embeddings)
+SELECT asked, 5 * asked AS expected, 5 * asked AS answered, true AS many_lists, true AS recalled FROM q""")
 def knn_probe_recall(spark, sf):
+    """Every 50th vector's neighbours from most of many lists (these vectors hardly form groups) against the exact ones."""
     table = vectors(spark, sf)
-    exact = B.nearest(table, "vec_id", "embedding")
-    return N.recall(exact, B.nearest(table, "vec_id", "embedding", pivots=16, probe=4))
+    queries = table.where(F.col("vec_id") % 50 == 0).select("vec_id")
+    exact = B.nearest(table, "vec_id", "embedding").join(queries.withColumnRenamed("vec_id", "id"), "id", "left_semi")
+    found = stored(Ls.nearest_in_lists(table, "vec_id", "embedding", probe=28, queries=queries, lists=32), "found")
+    lists = len(Ls.built(B.distinct_vectors(table.select("vec_id", "embedding"), "vec_id", "embedding")[0], 32)[1].second)
+    return N.recall(exact, found).select(
+        F.lit(queries.count()).cast("bigint").alias("asked"), "expected", F.lit(found.count()).cast("bigint").alias("answered"),
+        F.lit(lists >= 16).alias("many_lists"), (F.col("found") >= 0.95 * F.col("expected")).alias("recalled"))
 
 
 @query("quantise_int8", """

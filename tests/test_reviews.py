@@ -291,3 +291,28 @@ def test_gate_passes_stores(spark):
 def test_text_hash_is_exact(spark):
     got = spark.createDataFrame([(" Hola ",), ("é",), ("é",)], "t string").select(text_hash(F.col("t"))).collect()
     assert [r[0] for r in got] == [hashlib.sha256(t.encode()).hexdigest() for t in (" Hola ", "é", "é")]
+
+
+def test_mart_grows_by_commits_and_reads_only_its_months(spark, tmp_path):
+    def reviews(*rows):
+        return spark.createDataFrame([(f"r{i}", i, f"text {i}", platform, topic, "mixed", f"T{topic}", label, 0.9, 3, month)
+                                      for i, platform, topic, label, month in rows], M.MART_SCHEMA)
+
+    mart = M.StoredMart(str(tmp_path / "mart"))
+    first = [(1, "x", 0, "negative", "2024-01"), (2, "x", 0, "neutral", "2024-01"), (3, "youtube", 1, "positive", "2024-02")]
+    mart.commit(1, reviews(*first))
+    # One review moves to another topic and label, another month is added; the commit is made twice.
+    changed, before = (2, "x", 1, "positive", "2024-02"), first[1]
+    for _ in range(2):
+        mart.commit(2, reviews(changed, (4, "x", 1, "negative", "2024-03")), reviews(before))
+    mart.commit(3, reviews(before), reviews(changed))  # and back again
+    found = sorted((r["record_id"], r["topic_id"], r["month"]) for r in mart.reviews(spark).collect())
+    assert found == [("r1", 0, "2024-01"), ("r2", 0, "2024-01"), ("r3", 1, "2024-02"), ("r4", 1, "2024-03")]
+    assert {(r["month"], r["topic_id"], r["sentiment"]): r["reviews"] for r in mart.counts(spark).collect()} == {
+        ("2024-01", 0, "negative"): 1, ("2024-01", 0, "neutral"): 1, ("2024-02", 1, "positive"): 1, ("2024-03", 1, "negative"): 1}
+    view = M.Filter(platforms=["x"], first_month="2024-02")
+    assert M.kpis(M.in_view(mart.counts(spark), view)).first() == M.kpis(mart.reviews(spark, view)).first()
+    peak = M.trend(mart.counts(spark), mart.counts(spark).select("month").distinct()).orderBy("month").collect()
+    assert [(r["total"], r["is_peak"]) for r in peak] == [(2, True), (1, False), (1, False)]
+    plan = mart.reviews(spark, view)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan

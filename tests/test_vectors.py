@@ -1,6 +1,7 @@
 """Nearest neighbours, density groups and ordered helpers against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from reviewmill.operators import features as Fe
 from reviewmill.operators import neighbours as N
 from reviewmill.operators.components import connected_components
 from reviewmill.operators.ordered import after, before, numbered, with_blocks
+from reviewmill.operators import lists, quantile
 from reviewmill.operators.quantile import exact_quantile
 
 
@@ -52,13 +54,42 @@ def test_nearest_with_copies_and_small_blocks(spark, metric):
     assert copies == {0, 41, 42, 43, 44}
 
 
-def test_probing_leaves_no_list_short(spark):
-    random = np.random.default_rng(11)
-    points = np.concatenate([random.normal(size=(30, 4)), 50 * random.normal(size=(10, 4))])
-    rows = [(i, [float(x) for x in point]) for i, point in enumerate(points)]
-    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    found = B.nearest(table, "vec_id", "embedding", k=5, metric="euclidean", pivots=20, probe=1)
-    assert {r["id"]: r["count"] for r in found.groupBy("id").count().collect()} == {i: 5 for i, _ in rows}
+def clustered(size, seed):
+    rng = np.random.default_rng(seed)
+    middles = unit(rng, 12, 16)
+    points = middles[rng.integers(0, 12, size)] + 0.5 * unit(rng, size, 16)
+    points = (points / np.linalg.norm(points, axis=1, keepdims=True)).astype(np.float32)
+    points[size // 3:size // 2] = points[0]  # copies of one vector
+    return points
+
+
+@pytest.mark.parametrize("tile", [4096, 8])
+def test_lists_answer_every_query_whole(spark, monkeypatch, tile):
+    monkeypatch.setattr(lists, "TILE", tile)
+    points = clustered(600, 3)
+    vectors = table(spark, points)
+    queries = vectors.where("id % 50 = 0").select("id")
+    found = lists.nearest_in_lists(vectors, "id", "vector", 5, 1, queries, lists=80).collect()
+    by_query = {}
+    for row in found:
+        by_query.setdefault(row["id"], []).append(row)
+    assert set(by_query) == set(range(0, 600, 50))
+    for query, rows in by_query.items():
+        assert sorted(row["rank"] for row in rows) == [1, 2, 3, 4, 5] and len({row["neighbour"] for row in rows}) == 5
+        assert query not in {row["neighbour"] for row in rows}
+        for row in rows:  # scores are exact whatever was visited
+            assert row["score"] == pytest.approx(float(points[query].astype(float) @ points[row["neighbour"]].astype(float)))
+
+
+def test_lists_recall(spark):
+    points = clustered(1500, 4)
+    vectors = table(spark, points)
+    exact = B.nearest(vectors, "id", "vector", 5)
+    index = lists.built(vectors.selectExpr("id as rep", "vector").dropDuplicates(["vector"]))
+    assert 20 <= len(index[1].second) <= 60 and index[2].sum() == len(np.unique(points, axis=0))
+    assert N.recall(exact, lists.nearest_in_lists(vectors, "id", "vector", 5, probe=8)).first()["recall"] >= 0.95
+    with pytest.raises(ValueError):
+        lists.nearest_in_lists(vectors.limit(0), "id", "vector")
 
 
 def test_cells_out_of_reach_are_skipped(spark):
@@ -158,6 +189,26 @@ def test_exact_quantile(spark, share):
     assert exact_quantile(df, "v", share).first()[0] == pytest.approx(np.quantile(values, share), abs=1e-12)
 
 
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.5, 0.7, 0.9999, 1.0])
+@pytest.mark.parametrize("kind", ["heavy tail", "two values", "ties around a crowd", "one value"])
+def test_quantiles_of_uneven_values(spark, monkeypatch, kind, share):
+    """Equal-width bins would put nearly all of these into one bin."""
+    monkeypatch.setattr(quantile, "FEW", 50)
+    random = np.random.default_rng(7)
+    values = {
+        "heavy tail": np.concatenate([random.pareto(0.3, 6000), [1e300, -1e200]]),
+        "two values": np.repeat([1.0, 2.0], [4200, 1801]),
+        "ties around a crowd": np.concatenate([np.full(2950, -1e9), random.normal(size=200), np.full(2850, 1e9)]),
+        "one value": np.full(500, 3.5),
+    }[kind]
+    df = spark.createDataFrame(pd.DataFrame({"v": random.permutation(values)})).repartition(4)
+    assert exact_quantile(df, "v", share).first()[0] == pytest.approx(np.quantile(values, share), rel=1e-12)
+
+
+def test_quantile_of_nothing(spark):
+    assert exact_quantile(spark.createDataFrame([(None,)], "v double"), "v", 0.5).first()[0] is None
+
+
 def test_cold_and_warm_encoding(spark):
     texts = ["palabra " * 200, "dos", "tres cuatro cinco seis", "palabra " * 200]
     featured = Fe.features(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "record_id string, model_text string"))
