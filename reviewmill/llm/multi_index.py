@@ -12,7 +12,9 @@ The radius: vectors with cosine ``c`` differ by ``r = sqrt(2 - 2 c)``.  With
 ``reach = 1`` all cells whose region comes within ``r`` are visited and nothing is
 missed.  A smaller reach visits cells within ``reach * r``; a difference spread
 over ``d`` dimensions leans only about ``r / sqrt(d)`` towards a border, so
-``REACH`` misses next to none and ``recall`` measures it against brute force.
+``REACH`` misses next to none.  Of a pair each vector looks for the other, so a link
+is lost only if neither's cells reach the other's; a pair that meets both ways is
+counted in the higher of its two cells.
 
 Equal vectors are one vector with a weight.  Cells with more than ``TILE`` vectors
 are cut into tiles that meet in pairs, so a hot cell is many tasks.  A task
@@ -120,7 +122,8 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
-def fit_index(vectors: DataFrame, cosine: float = COSINE, reach: float = REACH, sample: int = SAMPLE) -> dict[int, MultiIndex]:
+def fit_index(vectors: DataFrame, cosine: float = COSINE, reach: float = REACH, sample: int = SAMPLE, cell_rows: int = CELL_ROWS,
+              ) -> dict[int, MultiIndex]:
     """An index for every dimension; the first ``sample`` vectors by hash fit it, all rows set its number of codes."""
     sizes = {row["size"]: row["count"] for row in vectors.groupBy("size").count().collect()}
     chosen = vectors.orderBy(F.xxhash64(F.lit(3), "rep"), "rep").limit(sample).select("size", "vector").toPandas()
@@ -128,7 +131,7 @@ def fit_index(vectors: DataFrame, cosine: float = COSINE, reach: float = REACH,
     for size, count in sizes.items():
         rows = chosen.loc[chosen["size"] == size, "vector"]
         points = unit(np.stack(list(rows))) if len(rows) else np.eye(1, size)
-        codes = int(np.clip(np.ceil(np.sqrt(count / CELL_ROWS)), 2, MOST_CODES))
+        codes = int(np.clip(np.ceil(np.sqrt(count / cell_rows)), 2, MOST_CODES))
         middle = max(size // 2, 1)
         halves = [points[:, :middle], points[:, middle:] if size > 1 else np.zeros((len(points), 1))]
         result[size] = MultiIndex([codebook(half, codes, 11 + at) for at, half in enumerate(halves)], cosine, reach)
@@ -139,16 +142,21 @@ def _spread(vectors: np.ndarray) -> np.ndarray:
     return vectors if vectors.shape[1] > 1 else np.concatenate([vectors, np.zeros((len(vectors), 1))], axis=1)
 
 
-def tile_links(home: pd.DataFrame, guest: pd.DataFrame | None, cosine: float) -> pd.DataFrame:
+def tile_links(home: pd.DataFrame, guest: pd.DataFrame | None, cosine: float, cell: int | None = None) -> pd.DataFrame:
     """Links of one tile: per vector the weight of what it links with, and the first of what it reaches in the tile.
 
-    ``guest`` is None inside one tile; else every home vector meets every guest.
+    ``guest`` is None inside one tile; else every home vector meets every guest.  Guests of ``cell`` that come from a
+    higher one have met the home vectors that went there.
     """
     other = home if guest is None else guest
     left, right = unit(np.stack(list(home["vector"]))), unit(np.stack(list(other["vector"])))
     close = left @ right.T >= cosine
     if guest is None:
         np.fill_diagonal(close, False)
+    elif cell is not None:
+        origin = guest["origin"].to_numpy()
+        for row, column in zip(*np.nonzero(close & (origin > cell)[None, :])):
+            close[row, column] = origin[column] not in home["higher"].iloc[row]
     names, names_other = home["rep"].to_numpy(), other["rep"].to_numpy()
     roots, roots_other = local_roots(close, names, names_other)
     if guest is None:
@@ -161,7 +169,7 @@ def tile_links(home: pd.DataFrame, guest: pd.DataFrame | None, cosine: float) ->
     return pd.concat(rows)
 
 
-def linked(vectors: DataFrame, cosine: float = COSINE, reach: float = REACH) -> DataFrame:
+def linked(vectors: DataFrame, cosine: float = COSINE, reach: float = REACH, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for ``vectors(vec_id, embedding, label)``; links need equal labels."""
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"),
                           F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("string").alias("label"))
@@ -172,25 +180,28 @@ def linked(vectors: DataFrame, cosine: float = COSINE, reach: float = REACH) ->
         F.first("label").alias("label"), F.first(F.size("vector")).alias("size"))
     # Equal ids can have different vectors: the class number keeps them apart, the id carries the component.
     classes = stored(classes.withColumn("name", F.monotonically_increasing_id()), "vector-classes")
-    index = fit_index(classes, cosine, reach)
+    index = fit_index(classes, cosine, reach, cell_rows=cell_rows)
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for size, part in batch.groupby("size"):
                 points = _spread(unit(np.stack(list(part["vector"]))))
-                at, cells, homes = [], [], []
+                at, cells, homes, origins, higher = [], [], [], [], []
                 for row, (home, others) in enumerate(index[size].cells(points)):
-                    # A pair meets in the higher of its two cells, so only higher ones are visited.
-                    taken = [home, *(cell for cell in others if cell > home)]
-                    at += [row] * len(taken)
-                    cells += taken
-                    homes += [True] + [False] * (len(taken) - 1)
+                    at += [row] * (1 + len(others))
+                    cells += [home, *others]
+                    homes += [True] + [False] * len(others)
+                    origins += [home] * (1 + len(others))
+                    # What meets here and there is told apart by where the home vectors went.
+                    higher += [[cell for cell in others if cell > home]] + [None] * len(others)
                 out = part.iloc[at].copy()
-                out["cell"], out["home"] = np.array(cells, np.int64), homes
-                yield out[["name", "weight", "vector", "label", "size", "cell", "home"]]
+                out["cell"], out["home"], out["origin"] = np.array(cells, np.int64), homes, np.array(origins, np.int64)
+                out["higher"] = higher
+                yield out[["name", "weight", "vector", "label", "size", "cell", "home", "origin", "higher"]]
 
     placed = stored(classes.select("name", "weight", "vector", "label", "size").mapInPandas(
-        visits, "name bigint, weight bigint, vector array<double>, label string, size int, cell bigint, home boolean"), "cells")
+        visits, "name bigint, weight bigint, vector array<double>, label string, size int, cell bigint, home boolean, "
+        "origin bigint, higher array<bigint>"), "cells")
     where = ["label", "size", "cell"]
     loads = placed.groupBy(*where).agg(
         F.sum(F.col("home").cast("int")).alias("homes"), F.sum((~F.col("home")).cast("int")).alias("guests")) \
@@ -207,8 +218,8 @@ def linked(vectors: DataFrame, cosine: float = COSINE, reach: float = REACH) ->
             F.array().cast("array<struct<kind:string,low:int,high:int>>"))))
         .otherwise(F.transform(F.sequence(F.lit(0), F.col("home_tiles") - 1), lambda t: F.struct(
             F.lit("g").alias("kind"), t.alias("low"), F.col("mine").alias("high"))))) \
-        .select(*where, "name", "weight", "vector", "home", "mine", F.explode("meets").alias("tile")) \
-        .select(*where, "tile.*", F.col("name").alias("rep"), "weight", "vector", "home", "mine")
+        .select(*where, "name", "weight", "vector", "home", "mine", "origin", "higher", F.explode("meets").alias("tile")) \
+        .select(*where, "tile.*", F.col("name").alias("rep"), "weight", "vector", "home", "mine", "origin", "higher")
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         if group["kind"].iloc[0] == "g":
@@ -219,7 +230,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE, reach: float = REACH) ->
             first, second = group[group["mine"] == group["low"]], group[group["mine"] == group["high"]]
         if not len(first) or (second is not None and not len(second)):
             return pd.DataFrame({"rep": [], "links": [], "least": []}).astype("int64")
-        return tile_links(first, second, cosine)
+        return tile_links(first, second, cosine, int(group["cell"].iloc[0]) if group["kind"].iloc[0] == "g" else None)
 
     # Groups of at most two tiles.
     found = stored(tiles.groupBy(*where, "kind", "low", "high").applyInPandas(
