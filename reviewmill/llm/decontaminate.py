@@ -7,12 +7,15 @@ Shared 8-grams are counted per document, passage and diagonal band; bands are at
 least ``2 e`` wide and overlap by half, so one of them holds the whole region.
 What reaches the bound is verified by an alignment inside the band.
 
-Benchmark items longer than ``WINDOW`` characters are searched as overlapping
-windows, so a long part of a long item is found as well.  ``edit_percent`` of a
-passage's length is its budget.  q-grams that stand in over ``OFTEN`` places of
-the benchmark are not counted, and every passage's bound is lowered by its places
-with such q-grams, which keeps the lemma exact; a passage whose bound would fall
-below one counts all its q-grams.
+Benchmark items longer than ``WINDOW`` bytes are searched as windows that begin
+every ``STRIDE`` bytes, so an unchanged run of ``WINDOW + STRIDE - 1`` bytes of a
+long item is surely found, and shorter runs where they hold a window.
+``edit_percent`` of a passage's length is its budget.  q-grams that stand in over
+``OFTEN`` places of the benchmark are not counted, and every passage's bound is
+lowered by its places with such q-grams, which keeps the lemma exact; a passage
+whose bound would fall below one counts all its q-grams.  Where even that leaves
+no bound (13 to 15 bytes, whose one edit can touch every 8-gram), 4-grams are
+counted instead.
 
 The benchmark is read in blocks of at most ``BLOCK_BYTES``; each block is one
 pass over the documents.
@@ -37,8 +40,8 @@ from pyspark.sql import functions as F
 
 from .words import WHITE, buffer_of
 
-Q = 8
-WINDOW, STRIDE = 400, 200
+Q, SHORT_Q = 8, 4
+WINDOW, STRIDE = 200, 50
 EDIT_PERCENT = 8
 OFTEN = 8
 BLOCK_BYTES = 4 << 20
@@ -70,25 +73,30 @@ def normalised(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, places
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """Every 8 bytes as one number."""
-    if len(data) < Q:
+def grams(data: np.ndarray, q: int = Q) -> np.ndarray:
+    """Every ``q`` (4 or 8) bytes as one number."""
+    if len(data) < q:
         return np.zeros(0, np.uint64)
     two = data[:-1].astype(np.uint64) | (data[1:].astype(np.uint64) << np.uint64(8))
     four = two[:-2] | (two[2:] << np.uint64(16))
-    return four[:-4] | (four[4:] << np.uint64(32))
+    return four if q == SHORT_Q else four[:-4] | (four[4:] << np.uint64(32))
 
 
 class Passages:
     """The q-grams of a bounded block of benchmark passages."""
 
-    def __init__(self, items: list[tuple[int, str]], edit_percent: int = EDIT_PERCENT):
+    def __init__(self, items: list[tuple[int, str]], edit_percent: int = EDIT_PERCENT, q: int = Q):
+        self.q = q
         self.items: list[int] = []
         self.texts: list[np.ndarray] = []
         self.short: list[tuple[int, bytes]] = []
+        tiny: list[tuple[int, str]] = []
         for item, text in items:
             data, _ = normalised(pa.array([text], pa.string()))
-            if len(data) < Q:
+            if q == Q <= len(data) and len(data) - Q + 1 - Q * (len(data) * edit_percent // 100) < 1 and len(data) <= WINDOW:
+                tiny.append((item, text))
+                continue
+            if len(data) < q:
                 if len(data):
                     self.short.append((item, data.tobytes()))
                 continue
@@ -96,7 +104,9 @@ class Passages:
             for start in starts:
                 self.items.append(item)
                 self.texts.append(data[start:start + WINDOW])
-        all_grams = [grams(text) for text in self.texts]
+        #: Passages that only shorter q-grams can find.
+        self.tiny = Passages(tiny, edit_percent, SHORT_Q) if tiny else None
+        all_grams = [grams(text, q) for text in self.texts]
         flat = np.concatenate(all_grams) if all_grams else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(all_grams)), [len(g) for g in all_grams])
         place = np.concatenate([np.arange(len(g)) for g in all_grams]) if all_grams else np.zeros(0, np.int64)
@@ -105,8 +115,8 @@ class Passages:
         sizes = np.bincount(owner, minlength=len(all_grams))
         lengths = np.array([len(text) for text in self.texts], np.int64)
         self.budget = lengths * edit_percent // 100
-        bound = np.bincount(owner, weights=rare, minlength=len(all_grams)).astype(np.int64) - Q * self.budget
-        plain = sizes - Q * self.budget
+        bound = np.bincount(owner, weights=rare, minlength=len(all_grams)).astype(np.int64) - q * self.budget
+        plain = sizes - q * self.budget
         counted = rare | (bound < 1)[owner] if len(flat) else rare
         #: With no bound left, one shared q-gram is enough to be looked at.
         self.bound = np.maximum(np.where(bound >= 1, bound, plain), 1)
@@ -125,7 +135,7 @@ class Passages:
         """Shared q-grams: place in ``data``, passage, place in the passage."""
         found = []
         for at in range(0, len(data), PIECE):
-            values = grams(data[at:at + PIECE + Q - 1])
+            values = grams(data[at:at + PIECE + self.q - 1], self.q)
             maybe = np.flatnonzero(self.seen[self._slot(values)])
             if not len(self.unique) or not len(maybe):
                 continue
@@ -145,7 +155,7 @@ class Passages:
         if not len(where):
             return []
         row = np.searchsorted(offsets, where, "right") - 1
-        inside = where + Q <= offsets[row + 1]
+        inside = where + self.q <= offsets[row + 1]
         where, passage, place, row = where[inside], passage[inside], place[inside], row[inside]
         # Diagonals from 0 on: a passage may hang over the row's start by its budget.
         diagonal = where - offsets[row] - place + WINDOW
@@ -206,6 +216,8 @@ class Passages:
         """Row, item, fewest edits, start in the normalised text; one per row and item."""
         data, offsets = normalised(column)
         best: dict[tuple[int, int], tuple[int, int]] = {}
+        if self.tiny:
+            best = {(row, item): (edits, start) for row, item, edits, start in self.tiny.matches(column)}
         for row, passage, low in self.regions(data, offsets):
             key = (row, self.items[passage])
             if best.get(key, (1,))[0] == 0:
