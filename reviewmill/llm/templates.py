@@ -230,7 +230,8 @@ def host_templates(pages: DataFrame) -> DataFrame:
                                                              zip(("token", "parent", "part", "mark"), out[1:])}})
 
     sized = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    sized = sized.withColumn("site", F.when(F.col("pages") >= LEAST_PAGES, F.col("host")).otherwise(F.lit("")))
+    # Pages without a host are one site of their own, apart from the small hosts that share one.
+    sized = sized.withColumn("site", F.when(F.col("pages") >= LEAST_PAGES, F.concat(F.lit("host:"), "host")).otherwise("shared"))
     sized = stored(sized, "hosts")
     sums = pages.select("host", "html").mapInArrow(tokens, "host string, token bigint, parent bigint, part bigint, mark bigint") \
         .groupBy("host", "token", "parent").agg(
