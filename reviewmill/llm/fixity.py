@@ -33,6 +33,10 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
         F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
 
 
+#: Pages that the damaged replica has once more.
+ADDED = "page_id % 401 = 9"
+
+
 def records(pages: DataFrame) -> DataFrame:
     """``page_id, content, bytes`` of every page's record: a digest and a length, the text itself goes no further."""
     text = record(F.col("page_id"), F.col("url"), F.col("html"))
@@ -125,13 +129,21 @@ def damaged(pages: DataFrame) -> DataFrame:
         .when(number % 211 == 5, half).otherwise(F.col("html")).alias("html"))
 
 
+def added(pages: DataFrame) -> DataFrame:
+    """Records that only the replica has: some pages once more under an id below 0."""
+    return pages.where(ADDED).select((-F.col("page_id") - 1).alias("page_id"), "url", "html")
+
+
 def replica_audit(pages: DataFrame) -> DataFrame:
     """Audit the pages' records against a damaged replica filed in the same files."""
     first = stored(filed(records(pages)), "records")
     # The replica's records keep their file; ids tell which record is which.
     counted = Window.partitionBy("page_id").orderBy("content")
-    copy = records(damaged(pages)).withColumn("n", F.row_number().over(counted))
+    copy = records(damaged(pages).unionByName(added(pages))).withColumn("n", F.row_number().over(counted))
     keep = first.withColumn("n", F.row_number().over(counted)).select("page_id", "n", "file_no", "slot")
+    # What only the replica has stands at the end of the file of the page it was made from.
+    keep = keep.unionByName(keep.where(ADDED).withColumns({
+        "page_id": -F.col("page_id") - 1, "slot": F.col("slot") + RECORDS}))
     second = copy.join(keep, F.expr("1=1") & copy["page_id"].eqNullSafe(keep["page_id"]) & (copy["n"] == keep["n"])) \
         .select(copy["page_id"], "content", "bytes", "file_no", "slot")
     return audit(first, second)

@@ -149,21 +149,32 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-FIXITY_SQL = """
-WITH r AS (
-    SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS n,
-        strlen('WARC/1.0..WARC-Type: response..WARC-Record-ID: <urn:page:' || page_id || '>..WARC-Target-URI: '
-            || COALESCE(url, '') || '..Content-Length: ' || strlen(COALESCE(html, '')) || '....')
-        + strlen(COALESCE(html, '')) + 4 AS n_bytes FROM pages
+def _record_bytes(page_id: str, body: str) -> str:
+    head = f"""'WARC/1.0..WARC-Type: response..WARC-Record-ID: <urn:page:' || {page_id} || '>..WARC-Target-URI: '
+        || COALESCE(url, '') || '..Content-Length: ' || strlen({body}) || '....'"""
+    return f"strlen({head}) + strlen({body}) + 4"
+
+
+FIXITY_SQL = f"""
+WITH d AS (
+    SELECT page_id, url, COALESCE(html, '') AS body, COALESCE(CASE WHEN page_id % 307 = 3 THEN NULL
+        WHEN page_id % 101 = 7 THEN html[1:2] || '#' || html[4:] WHEN page_id % 211 = 5 THEN html[1:length(html) // 2] ELSE html END, '') AS found,
+        row_number() OVER (ORDER BY page_id) - 1 AS n FROM pages
+), r AS (
+    SELECT page_id, n, n // 1024 AS file_no, {_record_bytes("page_id", "body")} AS n_bytes,
+        CASE WHEN page_id % 307 = 3 THEN 0 ELSE {_record_bytes("page_id", "found")} END AS found_bytes,
+        CASE WHEN page_id % 401 = 9 THEN {_record_bytes("(-page_id - 1)", "body")} ELSE 0 END AS added_bytes FROM d
 ), f AS (
-    SELECT page_id, n // 1024 AS file_no, n_bytes, COALESCE(sum(n_bytes) OVER before, 0) AS record_offset,
+    SELECT *, COALESCE(sum(n_bytes) OVER before, 0) AS record_offset,
+        sum(found_bytes) OVER (PARTITION BY file_no) + COALESCE(sum(added_bytes) OVER before, 0) AS added_offset,
         COALESCE(max(CASE WHEN page_id % 307 = 3 OR (page_id % 211 = 5 AND page_id % 101 <> 7) THEN 1 ELSE 0 END)
             OVER before, 0) AS shifted
-    FROM r WINDOW before AS (PARTITION BY n // 1024 ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    FROM r WINDOW before AS (PARTITION BY file_no ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 )
 SELECT page_id, CAST(file_no AS BIGINT) AS file_no, CAST(record_offset AS BIGINT) AS record_offset, n_bytes,
     CASE WHEN page_id % 307 = 3 THEN 'missing' WHEN page_id % 101 = 7 OR page_id % 211 = 5 THEN 'changed'
         WHEN shifted = 1 THEN 'moved' ELSE 'same' END AS status FROM f
+UNION ALL SELECT -page_id - 1, CAST(file_no AS BIGINT), CAST(added_offset AS BIGINT), added_bytes, 'extra' FROM f WHERE added_bytes > 0
 """
 
 
