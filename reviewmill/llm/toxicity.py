@@ -140,8 +140,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     chosen = agreed.where(fold_of(F.col("doc_id")) != HELD_OUT).orderBy(order, "doc_id").limit(sample)
     # At most ``sample`` ids, so they can go to every executor and no text is shuffled but the sample's.
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    # Of several texts of one id the smallest, so that every run fits the same machine.
     return texts.join(F.broadcast(chosen.select("doc_id", F.col("low").alias("toxic"))), "doc_id") \
-        .dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+        .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
