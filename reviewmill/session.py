@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+ARROW_BYTES = 8 << 20
 
 
 def build_session(master: str | None = None, name: str = "reviewmill", **conf) -> SparkSession:
@@ -65,6 +66,12 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what goes to and from Python workers at once by bytes, not only by rows: a row may be a very long text."""
+    for key in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch"):
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def lookup(df: DataFrame) -> DataFrame:
     """Write a table that should be small, so that Spark knows its bytes and broadcasts it only below its own bound."""
     return stored(df, "lookup")
