@@ -288,3 +288,52 @@ def test_main_text():
     assert templates.main_text("", frozenset()) == ""
     assert templates.main_text("<div class='page has-sidebar'><p>in</p><div class='sidebar'>out</div></div>", frozenset()) == "in"
     assert templates.main_text("<div><p>only</p> text", frozenset()) == "only\n\ntext"
+
+
+@quick
+@given(st.lists(st.text(st.sampled_from("theancio é漢.,😀"), min_size=1, max_size=12), min_size=1, max_size=6), st.sampled_from([1, 2, 4]))
+def test_words_searched_together_equal_words_alone(words_, n_best):
+    lattice = Lattice(n_best=n_best)
+    found = lattice.batch.search([SPACE + word for word in words_])
+    for at, word in enumerate(words_):
+        paths = lattice.paths(SPACE + word)
+        ids = tuple(found.ids[found.starts[at]:found.starts[at + 1]].tolist())
+        assert found.scores[at] == pytest.approx(paths[0][0]) and found.counts[at] == len(paths)
+        assert found.losses[at] == pytest.approx(paths[0][0] - paths[1][0] if len(paths) > 1 else np.inf)
+        assert b"".join(lattice.surface[piece] for piece in ids) == (SPACE + word).encode()
+        assert len(lattice.paths(SPACE + word)) == 1 or paths[0][0] == paths[1][0] or ids == paths[0][1]
+
+
+def test_texts_searched_together_equal_texts_alone(lattice):
+    texts = ["one two", "", None, "  two  spaces ", "▁mark one", "x" * 5000, "one\ttwo\nthree", " ", "漢字 😀 ok", "one two"]
+    found = lattice.best_of(pa.array(texts, pa.string()))
+    for row, text in enumerate(texts):
+        ids, score, loss, ways, same = lattice.best(text or "")
+        own = found["ids"][found["starts"][row]:found["starts"][row + 1]].astype("<u4").tobytes()
+        assert (own, found["score"][row], found["loss"][row], found["ways"][row], found["same"][row]) == (ids, score, loss, ways, same)
+        words = lattice.words(text or "")
+        assert score == pytest.approx(sum(lattice.paths(word)[0][0] for word in words))
+        assert lattice.decode(ids) == (text or "").replace(SPACE, " ")
+
+
+@pytest.mark.parametrize("size", [249, 300, 400, 500])
+@pytest.mark.parametrize("seed", range(5))
+def test_decontamination_finds_runs_of_long_items(size, seed):
+    random = np.random.default_rng(seed)
+    make = lambda count: "".join(random.choice(list("abcdefghijklmnop"), count))
+    item = make(1500)
+    start = int(random.integers(0, 1500 - size + 1))
+    text = make(300) + item[start:start + size] + make(300)
+    found = decontaminate.Passages([(7, item)]).matches(pa.array([text, make(900)]))
+    assert [(row, name, edits) for row, name, edits, _ in found] == [(0, 7, 0)]
+
+
+@pytest.mark.parametrize("size", range(13, 17))
+def test_decontamination_finds_short_items_with_an_edit(size):
+    random = np.random.default_rng(size)
+    make = lambda count: "".join(random.choice(list("abcdefghijklmnop"), count))
+    for _ in range(30):
+        item, at = make(size), int(random.integers(1, size - 1))
+        texts = [make(40) + item[:at] + "z" + item[at + 1:] + make(40), make(40) + item[:at] + item[at + 1:] + make(40), make(90)]
+        found = decontaminate.Passages([(1, item), (2, make(60))]).matches(pa.array(texts))
+        assert [(row, name, edits) for row, name, edits, _ in found] == [(0, 1, 1), (1, 1, 1)]
