@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .word_ids import tidied
 from .words import WHITE, buffer_of
 
 Q, SHORT_Q = 8, 4
@@ -266,7 +267,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edit_percent: int = EDIT
                         "start": pa.array([f[3] for f in found], pa.int64()),
                     })
 
-        return texts.mapInArrow(run, RESULT)
+        return texts.mapInArrow(tidied(run), RESULT)
 
     parts = [search(block) for block in blocks_of(benchmark)]
     return reduce(DataFrame.unionByName, parts) if parts else texts.sparkSession.createDataFrame([], RESULT)

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .word_ids import tidied
+
 Span = tuple[str, int, int]
 
 #: Fixed patterns of the base kinds; after them the group that must be long enough, and how long.
@@ -320,7 +322,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     schema = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, schema)
+        tidied(run), schema)
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
@@ -335,4 +337,4 @@ def without_secrets(docs: DataFrame) -> DataFrame:
                          for text in rows.column("text").to_pylist()]
                 yield rows.set_column(at, rows.schema.field(at), pa.array(texts, rows.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .word_ids import tidied
 from .words import NOT_LETTERS, mix, word_hashes
 
 SAMPLE = 16_000
@@ -164,7 +165,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     share, least = total["share"], F.col("seen") * (1 - F.col("seen") / max(total["rows"], 1))
     # The order of ``strength``, so that only the strongest buckets come to the driver.
     force = F.pow(F.greatest(F.abs(F.col("positive") - F.col("seen") * share) - 0.5, F.lit(0.0)), 2) / (least * share * (1 - share))
-    counts = rows.select("text", "toxic").mapInArrow(count, "bucket bigint, seen bigint, positive bigint") \
+    counts = rows.select("text", "toxic").mapInArrow(tidied(count), "bucket bigint, seen bigint, positive bigint") \
         .groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("positive").alias("positive"))
     top = counts.where((F.col("seen") >= 2) & (least > 0)).orderBy(force.desc(), "bucket").limit(TERMS).toPandas() \
         if 0 < share < 1 else pd.DataFrame({"bucket": [], "seen": [], "positive": []}, dtype=np.int64)
@@ -182,7 +183,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(at[same], pa.int32()))
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "toxic": part.column("toxic"), "terms": lists})
 
-    found = rows.mapInArrow(keep, "doc_id bigint, toxic int, terms array<int>").toArrow().sort_by("doc_id")
+    found = rows.mapInArrow(tidied(keep), "doc_id bigint, toxic int, terms array<int>").toArrow().sort_by("doc_id")
     features = np.zeros((found.num_rows, len(kept)), np.float32)
     lists = found.column("terms").combine_chunks()
     owner = np.repeat(np.arange(found.num_rows), np.diff(lists.offsets.to_numpy()))
@@ -200,7 +201,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
                 rows = batch.slice(low, ROWS_AT_ONCE)
                 yield rows.filter(pa.array(machine.scores(rows.column("text")) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
@@ -219,4 +220,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
     number = F.col("doc_id").cast("bigint")
     held = F.coalesce(fold_of(number) == HELD_OUT, F.lit(False))
     return docs.select(number.alias("doc_id"), "text", held.alias("held_out")).mapInArrow(
-        run, "doc_id bigint, held_out boolean, score double, predicted int")
+        tidied(run), "doc_id bigint, held_out boolean, score double, predicted int")
