@@ -165,10 +165,9 @@ class Counts(dict):
         for part in leaves:
             wanted.update(part)
         spaced = [piece[1:] for piece in wanted.difference(self) if piece[0] == " " and not piece[1:2].isspace() and len(piece) > 1]
-        self.encoder._encode_new(spaced)
-        for piece in spaced:
-            self[" " + piece] = len(self.encoder.known[piece]) // 4
-        self.encoder.known.clear()
+        found: dict[str, bytes] = {}
+        self.encoder._encode_new(spaced, found)
+        self.update((" " + piece, len(ids) // 4) for piece, ids in found.items())
 
 
 def counted(text: str, edits: list[Edit], counts: Counts, leaves: list[str] | None = None) -> tuple[int, int, int]:

@@ -2,9 +2,11 @@
 
 A single space between two other characters always begins a new pre-token, so a
 text can be cut in front of such spaces and every cut piece encoded on its own.
-Equal pieces are encoded once; the rest is a dictionary lookup.  Texts with any
-other white space around a space go through the tokenizer as they are, and so do
-texts that hold one of its added tokens, which it reads as that token.
+The pieces of a few megabytes of text are numbered at once; each distinct one is
+looked up or encoded once, and the ids of all texts are gathered by number.
+Texts with any other white space around a space go through the tokenizer as they
+are, and so do texts that hold one of its added tokens, which it reads as that
+token.
 """
 
 from __future__ import annotations
@@ -14,11 +16,18 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from .lattice_batch import ragged
+from .word_ids import outer_bytes, strings
+
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 CACHE_ENTRIES = 700_000
 BATCH_CHARS = 1 << 20
+#: Matches nothing.
+NEVER = r"[^\s\S]"
 #: Behind letters these always begin a pre-token of their own; the apostrophe does not.
 _MARKS = ".,;:!?%*#$&|)-"
 
@@ -33,10 +42,11 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = sorted((token.content for token in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         #: Finds an added token in a text; without any it finds nothing.
-        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
-        #: None stands for pieces that are no word between single spaces.
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
+        self.added = re.compile("|".join(map(re.escape, added)) or NEVER)
+        #: Bytes of every id; added tokens are not met where this is used.
+        self.widths = np.array([len(self.tokenizer.id_to_token(token) or "") for token in range(self.tokenizer.get_vocab_size())], np.int64)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
@@ -45,27 +55,29 @@ class PieceEncoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces; a word followed by marks is put together from the two."""
-        joined, plain = [], set()
+        plain, joined, stems = [], [], set()
         for piece in pieces:
-            stem = piece.rstrip(_MARKS)
-            if len(stem) < len(piece) and stem.isalpha():
-                joined.append((piece, stem))
-                if stem not in self.known:
-                    if stem in self.older:
-                        self.known[stem] = self.older[stem]
-                    else:
-                        plain.add(stem)
-            else:
-                plain.add(piece)
-        self._encode_new(list(plain))
+            if piece[-1] in _MARKS:
+                stem = piece.rstrip(_MARKS)
+                if stem.isalpha():
+                    joined.append((piece, stem))
+                    stems.add(stem)
+                    continue
+            plain.append(piece)
+        known, older = self.known, self.older
+        stems = {stem for stem in stems if stem not in known}.difference(plain)
+        moved = stems.intersection(older)
+        known.update(zip(moved, map(older.__getitem__, moved)))
+        stems -= moved
+        self._encode_new([*plain, *stems], known)
         for piece, stem in joined:
             tail = piece[len(stem):]
             if tail not in self.marks:
                 self.marks[tail] = self.whole(tail)
-            self.known[piece] = self.known[stem] + self.marks[tail]
+            known[piece] = known[stem] + self.marks[tail]
 
-    def _encode_new(self, pieces: list[str]) -> None:
-        """Encode pieces, each with a space in front, as one string and cut the ids at the pieces' starts."""
+    def _encode_new(self, pieces: list[str], known: dict[str, bytes]) -> None:
+        """Encode pieces without spaces, each with one in front, as one string and cut the ids at the spaces."""
         at = 0
         while at < len(pieces):
             size, end = 0, at
@@ -73,14 +85,13 @@ class PieceEncoder:
                 size += len(pieces[end]) + 1
                 end += 1
             part = pieces[at:end]
-            encoded = self.tokenizer.encode("".join([" " + piece for piece in part]), add_special_tokens=False)
-            ids = np.array(encoded.ids, "<u4")
-            firsts = np.fromiter([offset[0] for offset in encoded.offsets], np.int64, len(ids))
-            borders = np.cumsum([len(piece) + 1 for piece in part])
-            cuts = np.concatenate(([0], np.searchsorted(firsts, borders)))
+            text = " " + " ".join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            # Ids stand for bytes of the text one behind the other, so their widths tell where each begins.
+            firsts = np.cumsum(self.widths[ids]) - self.widths[ids]
+            cuts = (4 * np.searchsorted(firsts, np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32))).tolist()
             raw = ids.tobytes()
-            for piece, low, high in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()):
-                self.known[piece] = raw[4 * low:4 * high]
+            known.update(zip(part, [raw[low:high] for low, high in zip(cuts, [*cuts[1:], len(raw)])]))
             at = end
 
     def _head(self, text: str) -> bytes:
@@ -92,39 +103,67 @@ class PieceEncoder:
             held = self.heads[text] = self.whole(text)
         return held
 
-    def prepare(self, wanted: set[str]) -> None:
-        """Have all wanted pieces in the younger generation."""
+    def found(self, wanted: list[str]) -> list[bytes]:
+        """The ids of all wanted pieces, which are in the younger generation then."""
         if len(self.known) > CACHE_ENTRIES // 2:
             self.known, self.older = {}, self.known
             self.marks.clear()
         known, older = self.known, self.older
+        held = list(map(known.get, wanted))
+        missing = [at for at, ids in enumerate(held) if ids is None]
         new = []
-        for piece in wanted.difference(known):
-            if piece in older:
-                known[piece] = older[piece]
-            elif not piece or piece[0].isspace() or piece[-1].isspace():
-                known[piece] = None
-            else:
+        for at in missing:
+            piece = wanted[at]
+            ids = older.get(piece)
+            if ids is None:
                 new.append(piece)
+            else:
+                known[piece] = ids
         self._learn(new)
+        for at in missing:
+            held[at] = known[wanted[at]]
+        return held
+
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        """The ids of every text; null has none."""
+        texts = column.cast(pa.large_string()).fill_null("")
+        lists = pc.split_pattern(texts, " ")
+        counts = np.asarray(pc.list_value_length(lists), np.int64)
+        starts = np.cumsum(counts) - counts
+        known = lists.flatten().dictionary_encode()
+        codes, pieces = np.asarray(known.indices, np.int64), strings(known.dictionary)
+        opening, closing = outer_bytes(known.dictionary)
+        # Empty pieces count as white space, and so do all control letters; of others than ASCII the letter itself is asked.
+        bare, late = opening <= 32, closing <= 32
+        for code in np.flatnonzero(opening > 127).tolist():
+            bare[code] = pieces[code][0].isspace()
+        for code in np.flatnonzero(closing > 127).tolist():
+            late[code] = pieces[code][-1].isspace()
+        bare |= late
+        # A first piece has no space in front and is encoded apart; white space at its end matters only before others.
+        first = np.zeros(len(codes), bool)
+        first[starts] = True
+        odd = np.where(first, late[codes] & (np.repeat(counts, counts) > 1), bare[codes])
+        whole = np.add.reduceat(odd, starts) > 0 if len(starts) else np.zeros(0, bool)
+        if self.added.pattern != NEVER:
+            whole |= np.asarray(pc.match_substring_regex(texts, self.added.pattern), bool)
+        inside = ~first & ~np.repeat(whole, counts)
+        used = np.flatnonzero(np.bincount(codes[inside], minlength=len(pieces)))
+        wanted = [pieces[code] for code in used.tolist()]
+        held = self.found(wanted)
+        # Behind the pieces come every text's first one, or the whole of it.
+        held += [self.whole(texts[row].as_py()) if alone else self._head(pieces[codes[start]])
+                 for row, (alone, start) in enumerate(zip(whole.tolist(), starts.tolist()))]
+        place = np.zeros(len(pieces), np.int64)
+        place[used] = np.arange(len(used))
+        place = np.where(first, len(used) + np.cumsum(first) - 1, place[codes])[first | inside]
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        ids = np.frombuffer(b"".join(held), "<u4")[ragged((np.cumsum(sizes) - sizes)[place], sizes[place])].tobytes()
+        ends = np.concatenate(([0], np.cumsum(sizes[place])))[np.append(np.flatnonzero(first[first | inside]), len(place))].tolist()
+        return [ids[4 * low:4 * high] for low, high in zip(ends[:-1], ends[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [bool(self.added.search(text)) for text in texts]
-        parts = [[""] if held else text.split(" ") for text, held in zip(texts, whole)]
-        heads = [pieces.pop(0) for pieces in parts]
-        wanted: set[str] = set()
-        for pieces in parts:
-            wanted.update(pieces)
-        self.prepare(wanted)
-        find, result = self.known.__getitem__, []
-        for text, held, head, pieces in zip(texts, whole, heads, parts):
-            try:
-                if held or pieces and (not head or head[-1].isspace()):
-                    raise TypeError
-                result.append(self._head(head) + b"".join(map(find, pieces)))
-            except TypeError:  # an added token, or a piece that is None: other white space around a space
-                result.append(self.whole(text))
-        return result
+        return self.encode_column(pa.array(texts, pa.large_string()))
 
 
 @lru_cache(maxsize=4)

@@ -24,10 +24,12 @@ from pyspark.sql.window import Window
 from ..session import work_path
 from . import simple8b
 from .encoding import BYTE_BPE, piece_encoder
+from .word_ids import slices
 
 END_ID = 2
 CHUNK_IDS = 1 << 19
-ROWS_AT_ONCE = 1024
+#: Text whose pieces are numbered together.
+BYTES_AT_ONCE = 4 << 20
 
 FILE_SCHEMA = """part int, seq int, local_start long, n_ids long, doc_ids array<bigint>, lengths array<bigint>,
     block_offsets binary, words binary"""
@@ -56,10 +58,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end
 
         for batch in batches:
             part = batch.column("part")[0].as_py() if batch.num_rows else part
-            for low in range(0, batch.num_rows, ROWS_AT_ONCE):
-                rows = batch.slice(low, ROWS_AT_ONCE)
-                texts = [text or "" for text in rows.column("text").to_pylist()]
-                for name, ids in zip(rows.column("doc_id").to_pylist(), encoder.encode(texts)):
+            for rows in slices(batch, most=BYTES_AT_ONCE):
+                for name, ids in zip(rows.column("doc_id").to_pylist(), encoder.encode_column(rows.column("text"))):
                     names.append(name)
                     held.append(ids + end)
                     lengths.append(len(ids) // 4 + 1)
