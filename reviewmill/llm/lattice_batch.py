@@ -67,19 +67,42 @@ class Trie:
 
 @dataclass
 class WordPaths:
-    """Per word: ids of the best path (``ids[starts[i]:starts[i + 1]]``), its score, what the second one loses, how many there are."""
+    """Per word: ids of the best path (``ids[starts[i]:starts[i + 1]]``), its score, how many paths there are.
+
+    Path ``r`` of word ``i`` (from 1 on) has the ids from ``other_starts[i * (n_best - 1) + r - 1]`` on and loses
+    ``others[i, r - 1]`` against the best; without such a path there are no ids and the loss is infinite.
+    """
 
     ids: np.ndarray
     starts: np.ndarray
     scores: np.ndarray
-    losses: np.ndarray
     counts: np.ndarray
+    other_ids: np.ndarray
+    other_starts: np.ndarray
+    others: np.ndarray
+
+    @property
+    def losses(self) -> np.ndarray:
+        """What the second path loses."""
+        return self.others[:, 0] if self.others.shape[1] else np.full(len(self.scores), np.inf)
 
     @classmethod
     def joined(cls, parts: list[WordPaths]) -> WordPaths:
-        sizes = np.concatenate([np.zeros(1, np.int64), *(np.diff(part.starts) for part in parts)])
+        def ends(name: str) -> np.ndarray:
+            return np.cumsum(np.concatenate([np.zeros(1, np.int64), *(np.diff(getattr(part, name)) for part in parts)]))
+
         join = lambda name: np.concatenate([getattr(part, name) for part in parts])
-        return cls(join("ids"), np.cumsum(sizes), join("scores"), join("losses"), join("counts"))
+        return cls(join("ids"), ends("starts"), join("scores"), join("counts"), join("other_ids"), ends("other_starts"), join("others"))
+
+    @classmethod
+    def alone(cls, paths: list[tuple[float, tuple[int, ...]]], n_best: int) -> WordPaths:
+        """One word, of its paths, best first."""
+        (score, ids), *others = paths
+        sizes = [len(more) for _, more in others] + [0] * (n_best - 1 - len(others))
+        return cls(
+            np.array(ids, np.int32), np.array([0, len(ids)]), np.array([score]), np.array([len(paths)]),
+            np.array([piece for _, more in others for piece in more], np.int32), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64),
+            np.array([[score - less for less, _ in others] + [np.inf] * (n_best - 1 - len(others))]))
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -96,7 +119,8 @@ class BatchSearch:
         """The best paths of every word; no word is empty."""
         parts = [self._search(words[low:low + WORDS_AT_ONCE]) for low in range(0, len(words), WORDS_AT_ONCE)]
         none = np.zeros(0, np.int64)
-        return WordPaths.joined(parts) if parts else WordPaths(none, np.zeros(1, np.int64), np.zeros(0), np.zeros(0), none)
+        return WordPaths.joined(parts) if parts else WordPaths(
+            none, np.zeros(1, np.int64), np.zeros(0), none, none, np.zeros(1, np.int64), np.zeros((0, self.n_best - 1)))
 
     def _edges(self, letters: np.ndarray, owner: np.ndarray, ends: np.ndarray):
         """Start and end state, node or letter, and score of every edge; a state is a place between letters."""
@@ -118,12 +142,12 @@ class BatchSearch:
             depth += 1
             inside = at + depth < ends[owner[at]]
             at, nodes = at[inside], nodes[inside]
-        # A letter without a piece becomes its bytes: such edges carry minus the letter.
+        # A letter without a piece becomes its bytes: such edges carry the letter's complement, which is below 0 for U+0000 too.
         bare = np.flatnonzero(lone)
         sizes = 1 + (letters[bare] > 0x7F) + (letters[bare] > 0x7FF) + (letters[bare] > 0xFFFF)
         starts.append(bare)
         stops.append(bare + 1)
-        kinds.append(-letters[bare].astype(np.int32))
+        kinds.append(~letters[bare].astype(np.int32))
         scores.append(self.byte_score * sizes)
         starts, stops = np.concatenate(starts), np.concatenate(stops)
         word = owner[starts]
@@ -161,16 +185,13 @@ class BatchSearch:
         suffix, chain, piece = np.zeros(len(words)), np.arange(len(words)), np.zeros(len(words), names.dtype)
         parents, edges, made = [np.full(len(words), -1)], [np.full(len(words), -1)], len(words)
         found = np.zeros(len(words), np.int64)
-        scores, losses, tops = np.zeros(len(words)), np.full(len(words), np.inf), np.full(len(words), -1)
+        scores, tops = np.full((len(words), self.n_best), -np.inf), np.full((len(words), self.n_best), -1)
         while len(word):
             # States are ordered by word, then best first: the first of each word is opened.
             lead = np.concatenate(([True], word[1:] != word[:-1]))
             done = lead & (place == first[word])
             which = word[done]
-            fresh = found[which] == 0
-            scores[which[fresh]], tops[which[fresh]] = suffix[done][fresh], chain[done][fresh]
-            second = found[which] == 1
-            losses[which[second]] = scores[which[second]] - suffix[done][second]
+            scores[which, found[which]], tops[which, found[which]] = suffix[done], chain[done]
             found[which] += 1
             grow = np.flatnonzero(lead & ~done)
             rest = np.flatnonzero(~lead)
@@ -190,12 +211,15 @@ class BatchSearch:
             rank = at - np.maximum.accumulate(np.where(np.concatenate(([True], word[1:] != word[:-1])), at, 0))
             keep = rank < self.n_best - found[word]
             word, place, suffix, chain, piece = word[keep], place[keep], suffix[keep], chain[keep], piece[keep]
-        return WordPaths(*self._ids(tops, np.concatenate(parents), np.concatenate(edges), kind), scores, losses, found)
+        parents, edges = np.concatenate(parents), np.concatenate(edges)
+        best, others = (self._ids(paths.ravel(), parents, edges, kind) for paths in (tops[:, :1], tops[:, 1:]))
+        return WordPaths(*best, scores[:, 0], found, *others, scores[:, :1] - scores[:, 1:])
 
     def _ids(self, tops: np.ndarray, parents: np.ndarray, edges: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the paths that end in the states ``tops``, from the front, and where every path starts."""
-        owners, kinds = [], []
-        word, state = np.arange(len(tops)), tops
+        """Ids of the paths that end in the states ``tops``, from the front, and where every path starts; -1 is no path."""
+        owners, kinds = [np.zeros(0, np.int64)], [np.zeros(0, kind.dtype)]
+        word = np.flatnonzero(tops >= 0)
+        state = tops[word]
         while len(word):
             live = edges[state] >= 0
             word, state = word[live], state[live]
@@ -213,7 +237,7 @@ class BatchSearch:
         return ids, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(tops)))))
 
     def _with_bytes(self, owner: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        letters = np.maximum(-kinds.astype(np.int64), 0)
+        letters = np.maximum(~kinds.astype(np.int64), 0)
         sizes = np.where(kinds < 0, 1 + (letters > 0x7F) + (letters > 0x7FF) + (letters > 0xFFFF), 1)
         ids = np.repeat(self.trie.ids[np.maximum(kinds, 0)], sizes)
         places = np.cumsum(sizes) - sizes

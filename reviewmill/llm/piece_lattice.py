@@ -156,20 +156,17 @@ class Lattice:
             return self.batch.search(words)
         parts, after = [], 0
         for at in long:
-            (score, ids), *others = self.paths(words[at])
-            parts += [self.batch.search(words[after:at]), WordPaths(
-                np.array(ids, np.int32), np.array([0, len(ids)]), np.array([score]),
-                np.array([score - others[0][0] if others else np.inf]), np.array([1 + len(others)]))]
+            parts += [self.batch.search(words[after:at]), WordPaths.alone(self.paths(words[at]), self.n_best)]
             after = at + 1
         return WordPaths.joined([*parts, self.batch.search(words[after:])])
 
-    def same_words(self, words: list[str], paths: WordPaths) -> np.ndarray:
+    def same_words(self, words: list[str], ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Which words their ids decode to."""
-        sizes = self.surface_sizes[paths.ids]
-        decoded = self.surface_bytes[ragged(self.surface_starts[paths.ids], sizes)].tobytes()
+        sizes = self.surface_sizes[ids]
+        decoded = self.surface_bytes[ragged(self.surface_starts[ids], sizes)].tobytes()
         if decoded == "".join(words).encode("utf-8", "surrogatepass"):
             return np.ones(len(words), bool)
-        ends = np.concatenate(([0], np.cumsum(sizes)))[paths.starts].tolist()
+        ends = np.concatenate(([0], np.cumsum(sizes)))[starts].tolist()
         return np.array([decoded[low:high] == word.encode("utf-8", "surrogatepass")
                          for word, low, high in zip(words, ends[:-1], ends[1:])], bool)
 
@@ -201,7 +198,7 @@ class Lattice:
         words = [SPACE + part for part in strings(known.dictionary)]
         codes = np.asarray(known.indices, np.int64)
         paths = self.searched(words)
-        same = self.same_words(words, paths)
+        same = self.same_words(words, paths.ids, paths.starts)
         sizes = np.diff(paths.starts)[codes]
         filled = np.flatnonzero(counts)
         heads = (np.cumsum(counts) - counts)[filled]
@@ -217,13 +214,60 @@ class Lattice:
         with np.errstate(over="ignore"):
             ways = per_text(paths.counts.astype(float), np.multiply, 1.0)
         return {
+            "other_ids": paths.other_ids, "other_starts": paths.other_starts,
             "ids": paths.ids[ragged(paths.starts[:-1][codes], sizes)],
             "starts": ends[np.concatenate(([0], np.cumsum(counts)))],
             "score": per_text(paths.scores, np.add, 0.0), "loss": per_text(paths.losses, np.minimum, np.inf),
             "ways": np.minimum(ways, self.n_best).astype(np.int32),
             "same": per_text(same, np.logical_and, True) & ~marked,
+            "others": self.other_paths(words, paths, codes, counts, same, marked),
         }
 
+    def other_paths(self, words: list[str], paths: WordPaths, codes: np.ndarray, counts: np.ndarray, same: np.ndarray,
+                    marked: np.ndarray) -> list[list[tuple[float, list[tuple[int, int, int]], bool]]]:
+        """Per text its paths from the second on: what each loses, the places of the best path's ids (from, to) that a
+        word's other path (its row in ``other_starts``) takes, and whether it decodes to the text."""
+        rows = np.flatnonzero(paths.other_starts[1:] > paths.other_starts[:-1])
+        other_same = np.zeros(len(paths.other_starts) - 1, bool)
+        if len(rows):
+            kept = np.concatenate(([0], np.cumsum(np.diff(paths.other_starts)[rows])))
+            other_same[rows] = self.same_words([words[row // (self.n_best - 1)] for row in rows.tolist()], paths.other_ids, kept)
+        sizes, losses, result, low = np.diff(paths.starts), paths.losses, [], 0
+        for row, high in enumerate(np.cumsum(counts).tolist()):
+            own = codes[low:high]
+            low = high
+            result.append([])
+            places = self.open_places(losses[own]) if self.n_best > 1 and len(own) else []
+            if not places:
+                continue
+            ends, wrong = np.cumsum(sizes[own]), np.flatnonzero(~same[own]).tolist()
+            for loss, choice in self.ranked([[0.0, *paths.others[own[at], :paths.counts[own[at]] - 1].tolist()] for at in places])[1:]:
+                taken = [(at, int(own[at]) * (self.n_best - 1) + rank - 1) for at, rank in zip(places, choice) if rank]
+                held = not marked[row] and all(other_same[other] for _, other in taken) and set(wrong) <= {at for at, _ in taken}
+                result[-1].append((loss, [(int(ends[at] - sizes[own[at]]), int(ends[at]), other) for at, other in taken], bool(held)))
+        return result
+
+    def open_places(self, losses: np.ndarray) -> list[int]:
+        """Only the words with the smallest losses can take another path among the n best."""
+        if self.n_best == 2:
+            least = int(losses.argmin())
+            return [least] if losses[least] < np.inf else []
+        return sorted(at for at in np.argsort(losses, kind="stable")[:self.n_best - 1].tolist() if losses[at] < np.inf)
+
+    def ranked(self, losses: list[list[float]]) -> list[tuple[float, tuple[int, ...]]]:
+        """The ``n_best`` choices of one path a place with the smallest sums of losses."""
+        start = (0,) * len(losses)
+        heap, seen, found = [(0.0, start)], {start}, []
+        while heap and len(found) < self.n_best:
+            loss, choice = heapq.heappop(heap)
+            found.append((loss, choice))
+            for slot, rank in enumerate(choice):
+                other = (*choice[:slot], rank + 1, *choice[slot + 1:])
+                if rank + 1 < len(losses[slot]) and other not in seen:
+                    seen.add(other)
+                    heapq.heappush(heap, (loss + losses[slot][rank + 1] - losses[slot][rank], other))
+        return found
+
     def best(self, text: str) -> tuple[bytes, float, float, int, bool]:
         """Ids, score, what the second path loses, how many paths up to ``n_best``, and whether the ids decode to the text."""
         found = self.best_of(pa.array([text], pa.string()))
@@ -233,23 +277,12 @@ class Lattice:
     def best_texts(self, text: str) -> list[Path]:
         """The ``n_best`` paths of a whole text, best first."""
         words = [self.paths(word) for word in self.words(text)]
-        # Only the words with the smallest losses can take another path among the n best.
-        losses = heapq.nsmallest(self.n_best - 1, (
-            (paths[0][0] - paths[1][0], at) for at, paths in enumerate(words) if len(paths) > 1))
-        places = sorted(at for _, at in losses)
+        places = self.open_places(np.array([paths[0][0] - paths[1][0] if len(paths) > 1 else np.inf for paths in words])) if words else []
         top = sum(paths[0][0] for paths in words)
-        heap, seen = [(-top, (0,) * len(places))], {(0,) * len(places)}
         found = []
-        while heap and len(found) < self.n_best:
-            score, choice = heapq.heappop(heap)
+        for loss, choice in self.ranked([[words[at][0][0] - score for score, _ in words[at]] for at in places]):
             taken = dict(zip(places, choice))
-            found.append((-score, sum((paths[taken.get(at, 0)][1] for at, paths in enumerate(words)), ())))
-            for slot, at in enumerate(places):
-                rank = choice[slot] + 1
-                other = (*choice[:slot], rank, *choice[slot + 1:])
-                if rank < len(words[at]) and other not in seen:
-                    seen.add(other)
-                    heapq.heappush(heap, (score + words[at][rank - 1][0] - words[at][rank][0], other))
+            found.append((top - loss, sum((paths[taken.get(at, 0)][1] for at, paths in enumerate(words)), ())))
         return found
 
     def decode(self, ids: bytes) -> str:
@@ -265,8 +298,11 @@ def lattice(model: str = PIECES, n_best: int = N_BEST) -> Lattice:
     return Lattice(model, n_best)
 
 
-def encode_pieces(docs: DataFrame, model: str = PIECES, n_best: int = N_BEST, with_ids: bool = False) -> DataFrame:
-    """The best segmentation of every text of ``docs(doc_id, text)``, its runner-up, and whether it decodes to the text."""
+def encode_pieces(docs: DataFrame, model: str = PIECES, n_best: int = N_BEST, with_ids: bool = False, with_path_ids: bool = False) -> DataFrame:
+    """The ``n_best`` best segmentations of every text of ``docs(doc_id, text)`` and whether they decode to the text.
+
+    The first is in columns of its own, ``paths`` has all, best first; ``with_path_ids`` adds their ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = lattice(model, n_best)
@@ -275,16 +311,54 @@ def encode_pieces(docs: DataFrame, model: str = PIECES, n_best: int = N_BEST, wi
                 found = search.best_of(rows.column("text"))
                 ids, starts = found["ids"].astype("<i4"), found["starts"]
                 raw = memoryview(ids.tobytes())
+                spans = list(zip(starts[:-1].tolist(), starts[1:].tolist()))
+                checks = [zlib.crc32(raw[4 * low:4 * high]) for low, high in spans]
                 columns = {
                     "doc_id": rows.column("doc_id"), "n_pieces": np.diff(starts),
-                    "ids_crc32": pa.array([zlib.crc32(raw[4 * low:4 * high]) for low, high in zip(starts[:-1].tolist(), starts[1:].tolist())], pa.int64()),
+                    "ids_crc32": pa.array(checks, pa.int64()),
                     "score": found["score"],
                     "second_score": pa.array(found["score"] - found["loss"], mask=np.isinf(found["loss"])),
                     "n_paths": found["ways"], "round_trip": found["same"],
+                    "paths": _paths(found, raw, spans, checks, with_path_ids),
                 }
                 if with_ids:
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    schema = RESULT + (", ids array<int>" if with_ids else "")
+    path = "score: double, n_pieces: bigint, ids_crc32: bigint, round_trip: boolean" + (", ids: array<int>" if with_path_ids else "")
+    schema = f"{RESULT}, paths array<struct<{path}>>" + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidied(run), schema)
+
+
+def _paths(found: dict, raw: memoryview, spans: list[tuple[int, int]], checks: list[int], with_ids: bool) -> pa.Array:
+    """Every path of every text: its ids are the best path's with some words' taken from other paths."""
+    other_raw, other_starts = memoryview(found["other_ids"].astype("<i4").tobytes()), found["other_starts"]
+    scores, sizes, sums, held, parts, ends = [], [], [], [], [], [0]
+    for (low, high), check, score, same, others in zip(spans, checks, found["score"].tolist(), found["same"].tolist(), found["others"]):
+        scores.append(score)
+        sizes.append(high - low)
+        sums.append(check)
+        held.append(same)
+        parts.append([raw[4 * low:4 * high]])
+        for loss, taken, decodes in others:
+            pieces, at = [], low
+            for first, last, other in taken:
+                pieces += [raw[4 * at:4 * (low + first)], other_raw[4 * int(other_starts[other]):4 * int(other_starts[other + 1])]]
+                at = low + last
+            pieces.append(raw[4 * at:4 * high])
+            check = 0
+            for piece in pieces:
+                check = zlib.crc32(piece, check)
+            scores.append(score - loss)
+            sizes.append(sum(map(len, pieces)) // 4)
+            sums.append(check)
+            held.append(decodes)
+            parts.append(pieces)
+        ends.append(len(scores))
+    columns = {"score": pa.array(scores, pa.float64()), "n_pieces": pa.array(sizes, pa.int64()),
+               "ids_crc32": pa.array(sums, pa.int64()), "round_trip": pa.array(held, pa.bool_())}
+    if with_ids:
+        flat = np.frombuffer(b"".join(piece for pieces in parts for piece in pieces), "<i4")
+        columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
+    rows = pa.StructArray.from_arrays(list(columns.values()), list(columns))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)

@@ -316,6 +316,12 @@ def test_texts_searched_together_equal_texts_alone(lattice):
         assert lattice.decode(ids) == (text or "").replace(SPACE, " ")
 
 
+def test_a_zero_character_becomes_its_byte(lattice):
+    for text in ("\x00", "a\x00b \x00"):
+        ids, *_, same = lattice.best(text)
+        assert lattice.decode(ids) == text and same
+
+
 @pytest.mark.parametrize("size", [249, 300, 400, 500])
 @pytest.mark.parametrize("seed", range(5))
 def test_decontamination_finds_runs_of_long_items(size, seed):

@@ -63,6 +63,23 @@ def test_pieces(docs, none):
     assert piece_lattice.encode_pieces(none).collect() == []
 
 
+@pytest.mark.parametrize("n_best", [1, 2, 4])
+def test_all_best_paths_of_a_text_are_given(spark, n_best):
+    texts = ["one two one two", "", None, "the ancient \x00 theatre", "▁mark", "a", "x" * 2500 + " two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in piece_lattice.encode_pieces(docs, n_best=n_best, with_path_ids=True).collect()}
+    lattice = piece_lattice.lattice(piece_lattice.PIECES, n_best)
+    for doc_id, text in enumerate(texts):
+        row, wanted = rows[doc_id], lattice.best_texts(text or "")
+        assert [path["score"] for path in row["paths"]] == pytest.approx([score for score, _ in wanted])
+        assert row["n_paths"] == len(row["paths"]) == len({tuple(path["ids"]) for path in row["paths"]})
+        for path in row["paths"]:
+            raw = np.array(path["ids"], "<u4").tobytes()
+            assert lattice.decode(raw) == (text or "").replace("▁", " ")
+            assert (path["n_pieces"], path["ids_crc32"], path["round_trip"]) == (len(raw) // 4, zlib.crc32(raw), "▁" not in (text or ""))
+        assert row["second_score"] == (pytest.approx(row["paths"][1]["score"]) if len(row["paths"]) > 1 else None)
+
+
 def test_jaccard_edges(docs, none):
     rows = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect()}
     assert rows == {(1, 2, 1), (3, 0, 3), (4, 0, 4), (5, 1, 5), (6, 1, 5), (None, 2, None), (7, 1, 7), (8, 2, 8), (9, 1, 9)}
