@@ -13,8 +13,9 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions import vectors as V
 from ..functions.numbers import n
-from ..session import checkpointed, lookup
+from ..session import checkpointed, lookup, stored
 from .ordered import BLOCK_WIDTH, after, top_per_group, with_blocks
+from .postings import postings, term_counts
 
 UNASSIGNED = -1
 TOP_KEYWORDS = 10
@@ -57,7 +58,8 @@ def review_terms(rows: DataFrame) -> DataFrame:
 def border_pairs(rows: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
     """Pairs across review borders: last word of one review, first of the topic's next."""
     kept = rows.select("topic_id", "source_row", X.kept_terms(F.col("text")).alias("kept")).where(F.size("kept") > 0)
-    edges = kept.select("topic_id", "source_row", F.element_at("kept", 1).alias("first"), F.element_at("kept", -1).alias("last"))
+    # Two words a review, read twice below; the texts are cut once.
+    edges = stored(kept.select("topic_id", "source_row", F.element_at("kept", 1).alias("first"), F.element_at("kept", -1).alias("last")), "edges")
     linked = after(with_blocks(edges, "source_row", width), ["topic_id"], "source_row", {"following": F.struct("source_row", "first")})
     return linked.where(F.col("following").isNotNull()).select(
         "topic_id", F.concat("last", F.lit(" "), F.col("following.first")).alias("term")
@@ -65,9 +67,13 @@ def border_pairs(rows: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
 
 
 def class_terms(rows: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
-    """Term counts per topic, as if its reviews were one text in row order."""
-    inside = review_terms(rows).select("topic_id", "term")
-    return inside.unionByName(border_pairs(rows, width)).groupBy("topic_id", "term").agg(n().alias("tf"))
+    """Term counts per topic, as if its reviews were one text in row order.
+
+    The counts of slices of reviews meet by term, so whoever looks at all topics of a term needs no further shuffle.
+    """
+    borders = border_pairs(rows, width).withColumn("tf", F.lit(1).cast("bigint"))
+    counts = term_counts(rows).unionByName(borders).repartition("term")
+    return counts.groupBy("topic_id", "term").agg(F.sum("tf").alias("tf"))
 
 
 def weighted_terms(counts: DataFrame) -> DataFrame:
@@ -75,13 +81,14 @@ def weighted_terms(counts: DataFrame) -> DataFrame:
 
     ``A`` is the whole part of the mean words per topic.  A term has at most one
     row per topic, which bounds the window that sums ``f``.  The counts are
-    pinned, because three steps read them.
+    pinned with ``f``, because three steps read them; a weight is then worked
+    out of its own row, so the result need not be pinned again.
     """
-    counts = checkpointed(counts)
-    words = counts.groupBy("topic_id").agg(F.sum("tf").alias("words"))
-    average = words.agg(F.floor(F.avg("words")).cast("bigint").alias("a")).scalar()
     f = F.sum("tf").over(Window.partitionBy("term"))
-    rows = counts.withColumn("f", f).withColumn("average", average).join(lookup(words), "topic_id")
+    counts = checkpointed(counts.withColumn("f", f))
+    words = lookup(counts.groupBy("topic_id").agg(F.sum("tf").alias("words")))
+    average = words.agg(F.floor(F.avg("words")).cast("bigint").alias("a")).scalar()
+    rows = counts.withColumn("average", average).join(words, "topic_id")
     idf = F.log(1.0 + F.col("average").cast("double") / F.col("f"))
     return rows.withColumn("idf", idf).withColumn(
         "weight", F.sqrt(F.col("tf").cast("double") / F.col("words")) * F.col("idf")
@@ -151,11 +158,26 @@ def tfidf_contrast(rows: DataFrame, ranked: DataFrame) -> DataFrame:
 
 # -- representatives -------------------------------------------------------
 
+def _once(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose number no other row has, and the others."""
+    repeated = lookup(rows.groupBy("source_row").agg(n().alias("c")).where("c > 1").select(F.col("source_row").alias("_again")))
+    again = F.col("source_row").eqNullSafe(F.col("_again"))
+    return rows.join(repeated, again, "left_anti"), rows.join(repeated, again, "left_semi")
+
+
 def review_scores(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """Cosine of every review's own weighted terms with its topic's."""
-    own = review_terms(rows).groupBy("topic_id", "source_row", "term").agg(n().alias("times"))
+    """Cosine of every review's own weighted terms with its topic's.
+
+    A term meets its weight once for many reviews.  Rows that share a number are one review, so their terms are counted
+    together first.
+    """
+    single, several = _once(rows)
+    merged = review_terms(several).groupBy("topic_id", "source_row", "term").agg(n().alias("times")).select(
+        "term", "topic_id", F.array(F.struct("source_row", "times")).alias("hits"))
+    own = postings(single).unionByName(merged)
     lengths = lookup(weights.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length")))
-    parts = own.join(weights.select("topic_id", "term", "idf", F.col("weight").alias("topic_weight")), ["topic_id", "term"])
+    parts = own.join(weights.select("topic_id", "term", "idf", F.col("weight").alias("topic_weight")), ["topic_id", "term"]).select(
+        "topic_id", "idf", "topic_weight", F.explode("hits").alias("hit")).select("topic_id", "idf", "topic_weight", "hit.*")
     value = F.sqrt(F.col("times").cast("double")) * F.col("idf")
     # The review's word count scales its vector and cancels in the cosine.
     scored = parts.groupBy("topic_id", "source_row").agg(
@@ -189,8 +211,11 @@ def semantic_candidates(
     """
     leading = keywords(weights, candidates).select("topic_id", "term", "weight", F.col("rank").alias("count_rank"))
     wanted = lookup(leading.select("term").distinct())
-    holding = review_terms(rows).select("source_row", "term").join(wanted, "term", "left_semi").distinct()
-    term_vectors = mean_vector(holding.join(vectors, "source_row"), ["term"], "vector", "term_vector")
+    # A review takes its vector once, with the list of its leading terms.
+    held = postings(rows).join(wanted, "term", "left_semi").select("term", F.explode("hits.source_row").alias("source_row")) \
+        .groupBy("source_row").agg(F.collect_set("term").alias("terms"))
+    holding = held.join(vectors, "source_row").select("vector", F.explode("terms").alias("term"))
+    term_vectors = mean_vector(holding, ["term"], "vector", "term_vector")
     topic_vectors = mean_vector(representative.join(vectors, "source_row"), ["topic_id"], "vector", "topic_vector")
     joined = leading.join(term_vectors, "term").join(topic_vectors, "topic_id")
     length = V.norm(F.col("term_vector")) * V.norm(F.col("topic_vector"))

@@ -46,10 +46,9 @@ def topic_rows(spark, sf, *parts):
     return K.with_topics(reviews(spark, sf, "groups", *parts))
 
 
-def class_weights(rows, pin=False):
-    """Term weights; pinned where a query reads them more than once."""
-    weights = K.weighted_terms(K.class_terms(rows))
-    return checkpointed(weights) if pin else weights
+def class_weights(rows):
+    """Term weights; their counts are pinned, so a query may read them more than once."""
+    return K.weighted_terms(K.class_terms(rows))
 
 
 def review_vectors(spark, sf):
@@ -102,12 +101,12 @@ walk AS (SELECT topic_id, term, tf, f, idf, weight, row_number() OVER (PARTITION
 
 @query("term_walk", over(WALK, "SELECT topic_id, term, tf, f, round(idf, 6) AS idf, round(weight, 6) AS weight, rank_count, rank_weight FROM walk"))
 def term_walk(spark, sf):
-    return K.term_walk(class_weights(topic_rows(spark, sf), pin=True)).withColumn("idf", rounded(F.col("idf"))).withColumn("weight", rounded(F.col("weight")))
+    return K.term_walk(class_weights(topic_rows(spark, sf))).withColumn("idf", rounded(F.col("idf"))).withColumn("weight", rounded(F.col("weight")))
 
 
 @query("generic_terms", over(WALK, "SELECT topic_id, term, rank_count, rank_weight FROM walk WHERE rank_count <= 3 AND rank_weight > 20"))
 def generic_terms(spark, sf):
-    return K.generic_terms(K.term_walk(class_weights(topic_rows(spark, sf), pin=True))).select("topic_id", "term", "rank_count", "rank_weight")
+    return K.generic_terms(K.term_walk(class_weights(topic_rows(spark, sf)))).select("topic_id", "term", "rank_count", "rank_weight")
 
 
 @query("tfidf_contrast", over(REPS, """,
@@ -122,7 +121,7 @@ def tfidf_contrast(spark, sf):
 
 def reps(spark, sf):
     rows = topic_rows(spark, sf)
-    return rows, K.representatives(rows, class_weights(rows, pin=True))
+    return rows, K.representatives(rows, class_weights(rows))
 
 
 @query("representative_reviews", over(REPS, "SELECT topic_id, rank, source_row, round(score, 6) AS score FROM reps"))
@@ -133,7 +132,7 @@ def representative_reviews(spark, sf):
 def candidates(spark, sf):
     """Rows, their weights, and each topic's candidates (a fixed number, pinned)."""
     rows = topic_rows(spark, sf)
-    weights = class_weights(rows, pin=True)
+    weights = class_weights(rows)
     found = K.semantic_candidates(rows, review_vectors(spark, sf), weights, K.representatives(rows, weights))
     return rows, weights, checkpointed(found)
 
@@ -170,7 +169,7 @@ SELECT b.topic_id, cluster_id, reviews AS review_count, (SELECT string_agg(term
   (SELECT string_agg(source_row, ',' ORDER BY rank) FROM reps WHERE reps.topic_id = b.topic_id) AS representatives FROM numbers b WHERE b.topic_id >= 0"""))
 def topic_objects(spark, sf):
     rows = topic_rows(spark, sf)
-    weights = class_weights(rows, pin=True)
+    weights = class_weights(rows)
     objects = K.topic_objects(rows, K.keywords(weights), K.representatives(rows, weights))
     shown = F.transform("keywords", lambda k: F.format_string("%s=%.4f", k["term"], k["c_tf_idf_weight"]))
     return objects.select("topic_id", "cluster_id", "review_count", F.array_join(shown, ",").alias("keywords"),
@@ -183,7 +182,7 @@ UNION ALL SELECT topic_id, 'several_groups' FROM numbers WHERE topic_id >= 0 AND
 def topic_object_problems(spark, sf):
     """Topic records against members of which a third was dropped, every second topic said to join two groups."""
     rows = topic_rows(spark, sf)
-    weights = class_weights(rows, pin=True)
+    weights = class_weights(rows)
     objects = K.topic_objects(rows, K.keywords(weights), K.representatives(rows, weights))
     objects = objects.withColumn("clusters", F.col("clusters") + F.col("topic_id") % 2)
     return K.topic_object_problems(objects, rows.where(F.col("source_row") % 3 != 0))
@@ -204,7 +203,7 @@ def keyword_comparison(spark, sf):
 
 
 def _comparison(spark, sf):
-    weights = class_weights(topic_rows(spark, sf), pin=True)
+    weights = class_weights(topic_rows(spark, sf))
     by_count = K.top_per_group(weights, ["topic_id"], [F.desc("tf"), F.asc("term")], 10)
     return K.keyword_comparison(by_count, K.keywords(weights))
 

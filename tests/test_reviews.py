@@ -22,6 +22,7 @@ from reviewmill.operators import models as L
 from reviewmill.operators import prepare as P
 from reviewmill.operators import sentiment as Se
 from reviewmill.operators import topics as K
+from reviewmill.operators.postings import postings, term_counts
 from reviewmill.sources import pages, release, scalars
 
 STAMP = "2026-09-10T12:00:00+00:00"
@@ -213,6 +214,47 @@ def test_representatives_evidence_and_copies(spark):
     assert len(texts) == len(set(texts)) == 4
 
 
+REPEATED = [(0, 1, "no abre la app no abre"), (0, 1, "app no abre"), (0, 2, None), (0, 3, "y"), (1, 4, "no abre bien"),
+            (1, None, "abre bien"), (1, None, "bien bien bien"), (0, 5, "App_2 ñandú, app_2 ñandú")]
+
+
+@pytest.mark.parametrize("most", [1, 4, 1 << 20])
+def test_terms_counted_in_arrays_equal_terms_one_by_one(spark, most):
+    rows = spark.createDataFrame(REPEATED, "topic_id int, source_row bigint, text string").coalesce(1)
+    bag = lambda found: Counter({tuple(r)[:-1]: r["c"] for r in found.collect()})
+    each = K.review_terms(rows)
+    counted = term_counts(rows, most).groupBy("topic_id", "term").agg(F.sum("tf").alias("c"))
+    assert bag(counted) == bag(each.groupBy("topic_id", "term").agg(F.count("*").alias("c")))
+    hits = postings(rows, most).select("topic_id", "term", F.explode("hits").alias("h")).groupBy("topic_id", "h.source_row", "term").agg(F.sum("h.times").alias("c"))
+    assert bag(hits) == bag(each.groupBy("topic_id", "source_row", "term").agg(F.count("*").alias("c")))
+    # A topic's term is one row for all reviews that are counted together.
+    if most > 100:
+        assert postings(rows, most).groupBy("topic_id", "term").count().where("count > 1").count() == 0
+
+
+def test_rows_of_one_number_are_one_review(spark):
+    rows = spark.createDataFrame(REPEATED, "topic_id int, source_row bigint, text string")
+    weights = K.weighted_terms(K.class_terms(rows.withColumn("source_row", F.monotonically_increasing_id()))).collect()
+    weight = {(r["topic_id"], r["term"]): (r["idf"], r["weight"]) for r in weights}
+    length = {t: math.sqrt(sum(w * w for (topic, _), (_, w) in weight.items() if topic == t)) for t in (0, 1)}
+    table = spark.createDataFrame([(t, w, i, v) for (t, w), (i, v) in weight.items()], "topic_id int, term string, idf double, weight double")
+    own = {}
+    for r in K.review_terms(rows).collect():
+        own.setdefault((r["topic_id"], r["source_row"]), Counter())[r["term"]] += 1
+    got = {(r["topic_id"], r["source_row"]): r["score"] for r in K.review_scores(rows, table).collect()}
+    assert got.keys() == own.keys()
+    for (topic, row), bag in own.items():
+        values = {term: math.sqrt(c) * weight[topic, term][0] for term, c in bag.items()}
+        product = sum(v * weight[topic, term][1] for term, v in values.items())
+        assert got[topic, row] == pytest.approx(product / (math.sqrt(sum(v * v for v in values.values())) * length[topic]))
+
+
+def test_a_topics_terms_are_not_exploded_before_they_are_counted(spark):
+    rows = spark.createDataFrame(REPEATED, "topic_id int, source_row bigint, text string")
+    plan = K.class_terms(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+
+
 def test_diverse_keywords_avoid_near_copies(spark):
     found = spark.createDataFrame([(0, "a", 0.9, [1.0, 0.0]), (0, "a2", 0.89, [0.99, 0.01]), (0, "b", 0.5, [0.0, 1.0])], "topic_id int, term string, similarity double, term_vector array<double>")
     order = lambda d: [r["term"] for r in K.diverse_keywords(found, d, 2).orderBy("rank").collect()]
