@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from .. import schemas as S
 from ..functions import text as X
 from ..functions.numbers import n, ratio, rounded
-from ..session import checkpointed, lookup
+from ..session import checkpointed, lookup, stored
 
 CLEAR_LABELS = ["relevant", "irrelevant"]
 FOLDS = 5
@@ -126,8 +126,11 @@ def _classifier(kind: str):
 
 
 def fit_relevance(rows: DataFrame, kind: str):
-    """Scaler and class-balanced classifier, fitted on ``vector`` and ``target``."""
-    points = balanced(rows).withColumn("features", array_to_vector("vector"))
+    """Scaler and class-balanced classifier, fitted on ``vector`` and ``target``.
+
+    Counts, scaler and classifier read the rows several times, so they are written first.
+    """
+    points = balanced(stored(rows.select("vector", "target"), "fit")).withColumn("features", array_to_vector("vector"))
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
     return Pipeline(stages=[scaler, _classifier(kind)]).fit(points)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.hashing import text_hash
 from ..functions.numbers import n, rounded
 from ..operators import models as M
 from ..session import checkpointed
@@ -21,7 +22,8 @@ ls AS (SELECT * FROM lab QUALIFY row_number() OVER (PARTITION BY text ORDER BY s
 def labelled(spark, sf):
     labels = table(spark, sf, "labels").select(
         F.col("doc_id").cast("string").alias("record_id"), F.when(F.col("quality") == 1, "relevant").otherwise("irrelevant").alias("label"), "toxic")
-    with_vectors = reviews(spark, sf).select("record_id", "source_row", "platform", "text").join(
+    # Texts only tell copies apart here, so their digests go to the vectors and labels.
+    with_vectors = reviews(spark, sf).select("record_id", "source_row", "platform", text_hash(F.col("text")).alias("text")).join(
         vectors(spark, sf).select(F.col("vec_id").alias("source_row"), F.col("embedding").alias("vector")), "source_row")
     return M.labelled_set(labels, with_vectors)
 

@@ -255,6 +255,20 @@ def test_a_topics_terms_are_not_exploded_before_they_are_counted(spark):
     assert "Generate" not in plan and "MapInArrow" in plan
 
 
+def test_fitting_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    schema = "target int, vector array<double>"
+    rows = spark.createDataFrame([(i % 2, [float(i % 2) + i / 100, 1.0 - i / 50]) for i in range(20)], schema).mapInPandas(count, schema)
+    model = L.fit_relevance(rows, "svm")
+    assert seen.value == 20 and len(model.stages) == 2
+
+
 def test_diverse_keywords_avoid_near_copies(spark):
     found = spark.createDataFrame([(0, "a", 0.9, [1.0, 0.0]), (0, "a2", 0.89, [0.99, 0.01]), (0, "b", 0.5, [0.0, 1.0])], "topic_id int, term string, similarity double, term_vector array<double>")
     order = lambda d: [r["term"] for r in K.diverse_keywords(found, d, 2).orderBy("rank").collect()]
