@@ -4,22 +4,29 @@ Spark cuts texts into words and passes them on in Arrow batches; a task numbers
 the words of some reviews, so that a pair of words is one number too, and sends
 each topic's term once for all of these reviews.  Neither a text's terms nor a
 common term's reviews become one row each before they are counted.
+
+Counts of different tasks meet in buckets of terms, whose number grows with the
+table: a row carries all that a slice of reviews has for a bucket, and a bucket
+is summed up in one group of bounded size.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 #: Words counted together; a longer review is counted alone.
 WORDS_AT_ONCE = 1 << 20
+#: Kept words of the whole table for each bucket of terms.
+WORDS_A_BUCKET = 1 << 20
 
 
 def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
@@ -67,7 +74,9 @@ def _term_batches(words: pa.Array, terms: np.ndarray, columns: dict[str, pa.Arra
 
 
 def _worded(rows: DataFrame) -> DataFrame:
-    return rows.select("topic_id", "source_row", X.terms(F.col("text")).alias("words"))
+    """The rows with their words, which a table may carry already."""
+    words = F.col("words") if "words" in rows.columns else X.terms(F.col("text"))
+    return rows.select("topic_id", "source_row", words.alias("words"))
 
 
 def _topics(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
@@ -121,3 +130,96 @@ def postings(rows: DataFrame, most: int = WORDS_AT_ONCE) -> DataFrame:
 
     kinds = dict(rows.dtypes)
     return _worded(rows).mapInArrow(run, f"term string, topic_id {kinds['topic_id']}, hits array<struct<source_row: {kinds['source_row']}, times: bigint>>")
+
+
+# -- buckets of terms ------------------------------------------------------
+
+def term_bucket(term: Column, buckets: int) -> Column:
+    """The bucket of a word or a pair, from its first and last word."""
+    first, last = [F.crc32(F.substring_index(term, " ", side).cast("binary")) for side in (1, -1)]
+    return F.pmod(first * F.lit(31) + last, F.lit(buckets)).cast("int")
+
+
+def _buckets(words: pa.Array, terms: np.ndarray, buckets: int) -> np.ndarray:
+    """``term_bucket`` of numbered terms."""
+    size = len(words)
+    sums = np.array([zlib.crc32(word) for word in words.cast(pa.binary()).to_pylist()], np.int64)
+    single = terms < size
+    first, last = np.where(single, terms, terms // size - 1), np.where(single, terms, terms % size)
+    return (sums[first] * 31 + sums[last]) % buckets
+
+
+def _spelled(words: pa.Array, terms: np.ndarray) -> pa.Array:
+    """Numbered terms as texts, in their order."""
+    size = len(words)
+    single = terms < size
+    alone, pairs = np.flatnonzero(single), terms[~single]
+    names = pa.concat_arrays([words.take(pa.array(terms[alone])), pc.binary_join_element_wise(
+        words.take(pa.array(pairs // size - 1)), words.take(pa.array(pairs % size)), " ")])
+    at = np.empty(len(terms), np.int64)
+    at[alone], at[~single] = np.arange(len(alone)), np.arange(len(alone), len(terms))
+    return names.take(pa.array(at))
+
+
+def _lists(bucket: np.ndarray, columns: dict[str, pa.Array]) -> tuple[pa.Array, dict[str, pa.Array]]:
+    """Every bucket once, with lists of what stands under it; ``bucket`` is sorted."""
+    heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    ends = pa.array(np.append(heads, len(bucket)), pa.int32())
+    return pa.array(bucket[heads], pa.int32()), {name: pa.ListArray.from_arrays(ends, values) for name, values in columns.items()}
+
+
+def _flat(table: pa.Table, name: str) -> pa.Array:
+    parts = [chunk.flatten() for chunk in table.column(name).chunks]
+    return pa.concat_arrays(parts) if parts else pa.array([], table.schema.field(name).type.value_type)
+
+
+def _codes(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    known = values.dictionary_encode(null_encoding="encode")
+    return known.dictionary, np.asarray(known.indices, np.int64)
+
+
+def bucket_counts(rows: DataFrame, buckets: int, most: int = WORDS_AT_ONCE) -> DataFrame:
+    """``bucket, terms, topics, tfs``: the counts of a slice of reviews, in one row for each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, most):
+                words, terms, row = _occurrences(part)
+                if not len(terms):
+                    continue
+                topics, topic = _topics(part)
+                width = len(words) * (len(words) + 1)
+                found, tf = np.unique(topic[row] * width + terms, return_counts=True)
+                bucket = _buckets(words, found % width, buckets)
+                order = np.argsort(bucket, kind="stable")
+                found = found[order]
+                names, lists = _lists(bucket[order], {
+                    "terms": _spelled(words, found % width), "topics": topics.take(pa.array(found // width)),
+                    "tfs": pa.array(tf[order].astype(np.int64))})
+                yield pa.RecordBatch.from_pydict({"bucket": names, **lists})
+
+    return _worded(rows).mapInArrow(run, f"bucket int, terms array<string>, topics array<{dict(rows.dtypes)['topic_id']}>, tfs array<bigint>")
+
+
+def summed_counts(counts: DataFrame) -> DataFrame:
+    """``topic_id, term, tf, f``: every topic's count of a term, and that of all topics."""
+
+    def add_up(table: pa.Table) -> pa.Table:
+        names, term = _codes(_flat(table, "terms"))
+        topics, topic = _codes(_flat(table, "topics"))
+        tfs = np.asarray(_flat(table, "tfs"), np.int64)
+        key = term * len(topics) + topic
+        order = np.argsort(key, kind="stable")
+        key, heads = key[order], np.zeros(0, np.int64)
+        if len(key):
+            heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        tf = np.add.reduceat(tfs[order], heads) if len(heads) else tfs
+        found = key[heads]
+        f = np.zeros(len(names), np.int64)
+        np.add.at(f, found // len(topics), tf)
+        return pa.table({
+            "topic_id": topics.take(pa.array(found % len(topics))), "term": names.take(pa.array(found // len(topics))),
+            "tf": pa.array(tf), "f": pa.array(f[found // len(topics)])})
+
+    kind = dict(counts.dtypes)["topics"][len("array<"):-1]
+    return counts.groupBy("bucket").applyInArrow(add_up, f"topic_id {kind}, term string, tf bigint, f bigint")

@@ -13,9 +13,9 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions import vectors as V
 from ..functions.numbers import n
-from ..session import checkpointed, lookup, stored
+from ..session import lookup, small_inputs, stored
 from .ordered import BLOCK_WIDTH, after, top_per_group, with_blocks
-from .postings import postings, term_counts
+from .postings import WORDS_A_BUCKET, bucket_counts, postings, summed_counts, term_bucket
 
 UNASSIGNED = -1
 TOP_KEYWORDS = 10
@@ -51,41 +51,63 @@ def mapping_problems(rows: DataFrame) -> DataFrame:
 
 def review_terms(rows: DataFrame) -> DataFrame:
     """Every term occurrence of every review: words and pairs inside the review."""
-    kept = rows.select("topic_id", "source_row", X.kept_terms(F.col("text")).alias("kept"))
+    words = F.col("words") if "words" in rows.columns else X.kept_terms(F.col("text"))
+    kept = rows.select("topic_id", "source_row", words.alias("kept"))
     return kept.select("topic_id", "source_row", F.explode(F.concat("kept", X.bigrams(F.col("kept")))).alias("term"))
 
 
+def with_terms(rows: DataFrame) -> DataFrame:
+    """The rows' kept words, cut once and written: ``topic_id, source_row, words``, their number, the first and the last.
+
+    The steps below take such a table as well as rows with texts.
+    """
+    if "words" in rows.columns:
+        return rows
+    kept = rows.select("topic_id", "source_row", X.kept_terms(F.col("text")).alias("words"))
+    return stored(kept.select("*", F.size("words").alias("n"), F.get("words", F.lit(0)).alias("first"),
+                              F.get("words", F.size("words") - 1).alias("last")), "words")
+
+
+def _buckets(worded: DataFrame) -> int:
+    """Buckets of terms for all these words."""
+    return 1 + (worded.agg(F.sum(F.col("n").cast("bigint")).alias("n")).first()["n"] or 0) // WORDS_A_BUCKET
+
+
 def border_pairs(rows: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
     """Pairs across review borders: last word of one review, first of the topic's next."""
-    kept = rows.select("topic_id", "source_row", X.kept_terms(F.col("text")).alias("kept")).where(F.size("kept") > 0)
-    # Two words a review, read twice below; the texts are cut once.
-    edges = stored(kept.select("topic_id", "source_row", F.element_at("kept", 1).alias("first"), F.element_at("kept", -1).alias("last")), "edges")
+    edges = with_terms(rows).where("n > 0").select("topic_id", "source_row", "first", "last")
     linked = after(with_blocks(edges, "source_row", width), ["topic_id"], "source_row", {"following": F.struct("source_row", "first")})
     return linked.where(F.col("following").isNotNull()).select(
         "topic_id", F.concat("last", F.lit(" "), F.col("following.first")).alias("term")
     )
 
 
-def class_terms(rows: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
-    """Term counts per topic, as if its reviews were one text in row order.
+def class_terms(rows: DataFrame, width: int = BLOCK_WIDTH, totals: bool = False) -> DataFrame:
+    """Term counts per topic, as if its reviews were one text in row order; ``totals`` adds those of all topics, ``f``.
 
-    The counts of slices of reviews meet by term, so whoever looks at all topics of a term needs no further shuffle.
+    The counts of slices of reviews meet in buckets of terms and are summed up there.
     """
-    borders = border_pairs(rows, width).withColumn("tf", F.lit(1).cast("bigint"))
-    counts = term_counts(rows).unionByName(borders).repartition("term")
-    return counts.groupBy("topic_id", "term").agg(F.sum("tf").alias("tf"))
+    small_inputs(rows.sparkSession)
+    worded = with_terms(rows)
+    buckets = _buckets(worded)
+    borders = border_pairs(worded, width).select(
+        term_bucket(F.col("term"), buckets).alias("bucket"), F.array("term").alias("terms"), F.array("topic_id").alias("topics"),
+        F.array(F.lit(1).cast("bigint")).alias("tfs"))
+    counts = summed_counts(bucket_counts(worded, buckets).unionByName(borders))
+    return counts if totals else counts.drop("f")
 
 
 def weighted_terms(counts: DataFrame) -> DataFrame:
     """Class-based weight of every term: ``sqrt(tf / words) * ln(1 + A / f)``.
 
     ``A`` is the whole part of the mean words per topic.  A term has at most one
-    row per topic, which bounds the window that sums ``f``.  The counts are
-    pinned with ``f``, because three steps read them; a weight is then worked
-    out of its own row, so the result need not be pinned again.
+    row per topic, which bounds the window that sums ``f``, unless the counts
+    carry it.  The counts are written with ``f``, because several steps read
+    them, each its own columns; a weight is then worked out of its own row.
     """
-    f = F.sum("tf").over(Window.partitionBy("term"))
-    counts = checkpointed(counts.withColumn("f", f))
+    if "f" not in counts.columns:
+        counts = counts.withColumn("f", F.sum("tf").over(Window.partitionBy("term")))
+    counts = stored(counts, "counts")
     words = lookup(counts.groupBy("topic_id").agg(F.sum("tf").alias("words")))
     average = words.agg(F.floor(F.avg("words")).cast("bigint").alias("a")).scalar()
     rows = counts.withColumn("average", average).join(words, "topic_id")
@@ -95,8 +117,23 @@ def weighted_terms(counts: DataFrame) -> DataFrame:
     )
 
 
+def contenders(weights: DataFrame, by: str, k: int) -> DataFrame:
+    """The terms that can be among a topic's first ``k`` by a column, so that few terms are sorted.
+
+    The largest values of hashed parts of a topic belong to different terms, so the ``k``-th of them is a bound.
+    """
+    parts = weights.groupBy("topic_id", F.pmod(F.xxhash64("term"), F.lit(16 * k)).alias("part")).agg(F.max(by).alias("best"))
+    bounds = top_per_group(parts, ["topic_id"], [F.desc("best")], k).where(F.col("rank") == k).select("topic_id", F.col("best").alias("_bound"))
+    return weights.join(lookup(bounds), "topic_id", "left").where(F.col("_bound").isNull() | (F.col(by) >= F.col("_bound"))).drop("_bound")
+
+
+def leading_terms(weights: DataFrame, by: str, k: int) -> DataFrame:
+    """The first ``k`` terms of each topic by a column, ties in order of the terms."""
+    return top_per_group(contenders(weights, by, k), ["topic_id"], [F.desc(by), F.asc("term")], k)
+
+
 def keywords(weights: DataFrame, k: int = TOP_KEYWORDS) -> DataFrame:
-    return top_per_group(weights, ["topic_id"], [F.desc("weight"), F.asc("term")], k)
+    return leading_terms(weights, "weight", k)
 
 
 def keyword_lists(ranked: DataFrame, k: int = TOP_KEYWORDS) -> DataFrame:
@@ -121,8 +158,8 @@ def term_walk(weights: DataFrame, by_count: int = 12, by_weight: int = 10) -> Da
     topic's whole vocabulary is ever sorted in one task.
     """
     columns = ["topic_id", "term", "tf", "f", "idf", "weight"]
-    first = top_per_group(weights.select(*columns), ["topic_id"], [F.desc("tf"), F.asc("term")], by_count).drop("rank")
-    second = top_per_group(weights.select(*columns), ["topic_id"], [F.desc("weight"), F.asc("term")], by_weight).drop("rank")
+    first = leading_terms(weights.select(*columns), "tf", by_count).drop("rank")
+    second = leading_terms(weights.select(*columns), "weight", by_weight).drop("rank")
     chosen = first.unionByName(second).dropDuplicates(["topic_id", "term"])
     chosen = lookup(chosen)
     others = weights.select("topic_id", F.col("term").alias("o_term"), F.col("tf").alias("o_tf"), F.col("weight").alias("o_weight"))
@@ -171,6 +208,7 @@ def review_scores(rows: DataFrame, weights: DataFrame) -> DataFrame:
     A term meets its weight once for many reviews.  Rows that share a number are one review, so their terms are counted
     together first.
     """
+    small_inputs(rows.sparkSession)
     single, several = _once(rows)
     merged = review_terms(several).groupBy("topic_id", "source_row", "term").agg(n().alias("times")).select(
         "term", "topic_id", F.array(F.struct("source_row", "times")).alias("hits"))

@@ -47,8 +47,8 @@ def topic_rows(spark, sf, *parts):
 
 
 def class_weights(rows):
-    """Term weights; their counts are pinned, so a query may read them more than once."""
-    return K.weighted_terms(K.class_terms(rows))
+    """Term weights; their counts are written, so a query may read them more than once."""
+    return K.weighted_terms(K.class_terms(rows, totals=True))
 
 
 def review_vectors(spark, sf):
@@ -121,7 +121,8 @@ def tfidf_contrast(spark, sf):
 
 def reps(spark, sf):
     rows = topic_rows(spark, sf)
-    return rows, K.representatives(rows, class_weights(rows))
+    worded = K.with_terms(rows)
+    return rows, K.representatives(worded, class_weights(worded))
 
 
 @query("representative_reviews", over(REPS, "SELECT topic_id, rank, source_row, round(score, 6) AS score FROM reps"))
@@ -132,8 +133,9 @@ def representative_reviews(spark, sf):
 def candidates(spark, sf):
     """Rows, their weights, and each topic's candidates (a fixed number, pinned)."""
     rows = topic_rows(spark, sf)
-    weights = class_weights(rows)
-    found = K.semantic_candidates(rows, review_vectors(spark, sf), weights, K.representatives(rows, weights))
+    worded = K.with_terms(rows)
+    weights = class_weights(worded)
+    found = K.semantic_candidates(worded, review_vectors(spark, sf), weights, K.representatives(worded, weights))
     return rows, weights, checkpointed(found)
 
 
@@ -169,8 +171,9 @@ SELECT b.topic_id, cluster_id, reviews AS review_count, (SELECT string_agg(term
   (SELECT string_agg(source_row, ',' ORDER BY rank) FROM reps WHERE reps.topic_id = b.topic_id) AS representatives FROM numbers b WHERE b.topic_id >= 0"""))
 def topic_objects(spark, sf):
     rows = topic_rows(spark, sf)
-    weights = class_weights(rows)
-    objects = K.topic_objects(rows, K.keywords(weights), K.representatives(rows, weights))
+    worded = K.with_terms(rows)
+    weights = class_weights(worded)
+    objects = K.topic_objects(rows, K.keywords(weights), K.representatives(worded, weights))
     shown = F.transform("keywords", lambda k: F.format_string("%s=%.4f", k["term"], k["c_tf_idf_weight"]))
     return objects.select("topic_id", "cluster_id", "review_count", F.array_join(shown, ",").alias("keywords"),
                           F.array_join(F.col("representative_rows").cast("array<string>"), ",").alias("representatives"))
@@ -182,8 +185,9 @@ UNION ALL SELECT topic_id, 'several_groups' FROM numbers WHERE topic_id >= 0 AND
 def topic_object_problems(spark, sf):
     """Topic records against members of which a third was dropped, every second topic said to join two groups."""
     rows = topic_rows(spark, sf)
-    weights = class_weights(rows)
-    objects = K.topic_objects(rows, K.keywords(weights), K.representatives(rows, weights))
+    worded = K.with_terms(rows)
+    weights = class_weights(worded)
+    objects = K.topic_objects(rows, K.keywords(weights), K.representatives(worded, weights))
     objects = objects.withColumn("clusters", F.col("clusters") + F.col("topic_id") % 2)
     return K.topic_object_problems(objects, rows.where(F.col("source_row") % 3 != 0))
 
@@ -204,7 +208,7 @@ def keyword_comparison(spark, sf):
 
 def _comparison(spark, sf):
     weights = class_weights(topic_rows(spark, sf))
-    by_count = K.top_per_group(weights, ["topic_id"], [F.desc("tf"), F.asc("term")], 10)
+    by_count = K.leading_terms(weights, "tf", 10)
     return K.keyword_comparison(by_count, K.keywords(weights))
 
 

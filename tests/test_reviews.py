@@ -22,7 +22,7 @@ from reviewmill.operators import models as L
 from reviewmill.operators import prepare as P
 from reviewmill.operators import sentiment as Se
 from reviewmill.operators import topics as K
-from reviewmill.operators.postings import postings, term_counts
+from reviewmill.operators.postings import bucket_counts, postings, summed_counts, term_bucket, term_counts
 from reviewmill.sources import pages, release, scalars
 
 STAMP = "2026-09-10T12:00:00+00:00"
@@ -255,6 +255,44 @@ def test_a_topics_terms_are_not_exploded_before_they_are_counted(spark):
     assert "Generate" not in plan and "MapInArrow" in plan
 
 
+@pytest.mark.parametrize("most", [4, 1 << 20])
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_terms_summed_in_buckets_equal_terms_one_by_one(spark, most, buckets):
+    rows = spark.createDataFrame(REPEATED, "topic_id int, source_row bigint, text string").coalesce(1)
+    sent = bucket_counts(rows, buckets, most)
+    own, whole = Counter(), Counter()
+    for r in K.review_terms(rows).collect():
+        own[r["topic_id"], r["term"]] += 1
+        whole[r["term"]] += 1
+    got = summed_counts(sent).collect()
+    assert {(r["topic_id"], r["term"]): (r["tf"], r["f"]) for r in got} == {(t, w): (c, whole[w]) for (t, w), c in own.items()} and len(got) == len(own)
+    each = sent.select("bucket", F.explode("terms").alias("term"))
+    assert each.where(F.col("bucket") != term_bucket(F.col("term"), buckets)).isEmpty() and (buckets == 1 or each.select("bucket").distinct().count() > 1)
+
+
+def test_words_cut_once_serve_counts_weights_and_representatives(spark):
+    rows = K.with_topics(topic_table(spark, TEXTS + [(0, None), (0, "no abre app")]))
+    worded = K.with_terms(rows)
+    assert "text" not in worded.columns and K.with_terms(worded) is worded
+    weights = K.weighted_terms(K.class_terms(worded, totals=True))
+    plain = K.weighted_terms(K.class_terms(rows))
+    rounded = lambda df: sorted((r["topic_id"], r["term"], r["tf"], r["f"], round(r["weight"], 9)) for r in df.collect())
+    assert rounded(weights) == rounded(plain)
+    # Counts that carry those of all topics meet no window over the terms.
+    assert "Window" not in K.class_terms(worded, totals=True)._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    chosen = lambda df: sorted((r["topic_id"], r["rank"], r["source_row"]) for r in df.collect())
+    assert chosen(K.representatives(worded, weights)) == chosen(K.representatives(rows, plain))
+
+
+def test_few_terms_are_sorted_for_a_topics_first_ones(spark):
+    table = spark.range(3000).selectExpr("cast(id % 2 as int) topic_id", "concat('w', id) term", "cast(id div 40 as double) weight", "id div 100 tf")
+    table = table.unionByName(spark.createDataFrame([(7, "a", 1.0, 2), (7, "b", 1.0, 2)], "topic_id int, term string, weight double, tf bigint"))
+    for by in ("weight", "tf"):
+        plain = K.top_per_group(table, ["topic_id"], [F.desc(by), F.asc("term")], 10)
+        assert sorted(map(tuple, K.leading_terms(table, by, 10).collect())) == sorted(map(tuple, plain.collect()))
+    assert K.contenders(table, "weight", 10).count() < 300
+
+
 def test_fitting_reads_its_rows_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
