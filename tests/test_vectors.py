@@ -11,7 +11,7 @@ from reviewmill.operators import features as Fe
 from reviewmill.operators import neighbours as N
 from reviewmill.operators.components import connected_components
 from reviewmill.operators.ordered import after, before, numbered, with_blocks
-from reviewmill.operators import lists, quantile
+from reviewmill.operators import boxes, lists, quantile
 from reviewmill.operators.quantile import exact_quantile
 
 
@@ -137,6 +137,45 @@ def test_density_groups_match_brute_force(spark, seed):
     assert sizes == sorted(sizes, reverse=True)
 
 
+@pytest.mark.parametrize("dims", [2, 20])
+def test_gaps_of_rows_in_many_boxes(spark, monkeypatch, dims):
+    rng = np.random.default_rng(dims)
+    points = np.vstack([rng.normal(c, 0.1, size=(90, dims)) for c in (0, 1)] + [rng.uniform(-9, 9, size=(20, dims))]).astype(np.float32)
+    often = rng.integers(1, 4, len(points))
+    unique = spark.createDataFrame([(i, [float(x) for x in p], int(c)) for i, (p, c) in enumerate(zip(points, often))], "id bigint, vector array<float>, copies bigint")
+    monkeypatch.setattr(boxes, "VISITORS", 7)
+    got = {r["id"]: r["gaps"] for r in boxes.nearest_gaps(unique, 5, 16).collect()}
+    p = points.astype(np.float64)
+    gap = np.repeat(np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1)), often, axis=1)
+    assert set(got) == set(range(len(points)))
+    for i in got:
+        np.testing.assert_allclose(got[i], np.sort(gap[i])[:5], atol=1e-9)
+    few = boxes.nearest_gaps(unique.limit(1), 5).first()["gaps"]
+    assert few == [0.0] * int(often[0])
+
+
+def test_density_groups_over_many_boxes(spark, monkeypatch):
+    monkeypatch.setattr(boxes, "BOX_ROWS", 8)
+    monkeypatch.setattr(boxes, "VISITORS", 5)
+    test_density_groups_match_brute_force(spark, 3)
+
+
+def test_a_row_visits_only_boxes_within_its_reach(spark):
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(4000, 2)).astype(np.float32)
+    index = boxes.boxed(table(spark, points), 64)
+    assert index.rows.select("box").distinct().count() == 64 and index.rows.groupBy("box").count().agg(F.max("count")).first()[0] < 300
+    sent = boxes.visits(index, index.rows, F.lit(0.05))
+    assert 4000 < sent.count() < 4000 * 8
+    # No pair within the reach is lost.
+    p, box = points.astype(np.float64), {r["id"]: r["box"] for r in index.rows.collect()}
+    seen = {(r["id"], r["box"]) for r in sent.collect()}
+    near = np.argwhere(np.sqrt(((p[:400, None] - p[None]) ** 2).sum(-1)) <= 0.05)
+    assert len(near) > 1000 and all((int(a), box[int(b)]) in seen for a, b in near)
+    onward = {(r["id"], r["box"]) for r in boxes.visits(index, index.rows, F.lit(0.05), onward=True).collect()}
+    assert onward == {(i, b) for i, b in seen if b >= box[i]}
+
+
 def test_sweep_matches_single_runs(spark):
     rng = np.random.default_rng(7)
     points = table(spark, np.vstack([rng.normal(c, 0.1, size=(30, 2)) for c in (0, 2)]).astype(np.float32))
