@@ -25,6 +25,8 @@ from ..functions import text as X
 
 #: Words counted together; a longer review is counted alone.
 WORDS_AT_ONCE = 1 << 20
+#: Summed reviews that a task holds before it passes them on.
+REVIEWS_HELD = 1 << 20
 #: Kept words of the whole table for each bucket of terms.
 WORDS_A_BUCKET = 1 << 20
 
@@ -101,31 +103,47 @@ def term_counts(rows: DataFrame, most: int = WORDS_AT_ONCE) -> DataFrame:
     return _worded(rows).mapInArrow(run, f"term string, topic_id {dict(rows.dtypes)['topic_id']}, tf bigint")
 
 
-def postings(rows: DataFrame, most: int = WORDS_AT_ONCE) -> DataFrame:
+def _hits(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Occurrences by topic and term, then by review: the different keys, where each one's hits begin, and every hit's row and times."""
+    # Words and pairs come in row order, so a stable sort keeps every term's reviews together.
+    order = np.argsort(key, kind="stable")
+    key, row = key[order], row[order]
+    fresh = np.concatenate(([True], key[1:] != key[:-1]))
+    hit = np.flatnonzero(fresh | np.concatenate(([True], row[1:] != row[:-1])))
+    heads = np.flatnonzero(fresh[hit])
+    return key[hit[heads]], heads, row[hit], np.diff(np.append(hit, len(key)))
+
+
+def _numbers(words: pa.Array, terms: list[str]) -> np.ndarray:
+    """The numbers of those terms whose words occur."""
+    parts = [term.split(" ") for term in terms]
+    first, last = [np.asarray(pc.fill_null(pc.index_in(pa.array([part[at] for part in parts], words.type), words), -1), np.int64) for at in (0, -1)]
+    pair = np.array([len(part) > 1 for part in parts], bool)
+    return np.where(pair, len(words) * (1 + first) + last, first)[(first >= 0) & (last >= 0)]
+
+
+def postings(rows: DataFrame, most: int = WORDS_AT_ONCE, only: list[str] | None = None) -> DataFrame:
     """``term, topic_id, hits``: the reviews of a slice that hold the term (``source_row``), and how often (``times``).
 
-    Rows that share a topic and a number are hits of their own.
+    Rows that share a topic and a number are hits of their own.  With ``only``, other terms are left out before they are
+    sorted or spelled out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, most):
                 words, terms, row = _occurrences(part)
+                if only is not None:
+                    chosen = np.isin(terms, _numbers(words, only))
+                    terms, row = terms[chosen], row[chosen]
                 if not len(terms):
                     continue
                 topics, topic = _topics(part)
                 width = len(words) * (len(words) + 1)
-                key = topic[row] * width + terms
-                # Words and pairs come in row order, so a stable sort keeps every term's reviews together.
-                order = np.argsort(key, kind="stable")
-                key, row = key[order], row[order]
-                fresh = np.concatenate(([True], key[1:] != key[:-1]))
-                hit = np.flatnonzero(fresh | np.concatenate(([True], row[1:] != row[:-1])))
-                heads = np.flatnonzero(fresh[hit])
-                hits = pa.ListArray.from_arrays(pa.array(np.append(heads, len(hit)), pa.int32()), pa.StructArray.from_arrays([
-                    part.column("source_row").take(pa.array(row[hit])), pa.array(np.diff(np.append(hit, len(key))), pa.int64()),
+                found, heads, row, times = _hits(topic[row] * width + terms, row)
+                hits = pa.ListArray.from_arrays(pa.array(np.append(heads, len(row)), pa.int32()), pa.StructArray.from_arrays([
+                    part.column("source_row").take(pa.array(row)), pa.array(times, pa.int64()),
                 ], ["source_row", "times"]))
-                found = key[hit[heads]]
                 yield from _term_batches(words, found % width, {"topic_id": topics.take(pa.array(found // width)), "hits": hits})
 
     kinds = dict(rows.dtypes)
@@ -223,3 +241,130 @@ def summed_counts(counts: DataFrame) -> DataFrame:
 
     kind = dict(counts.dtypes)["topics"][len("array<"):-1]
     return counts.groupBy("bucket").applyInArrow(add_up, f"topic_id {kind}, term string, tf bigint, f bigint")
+
+
+# -- scores out of the same buckets ------------------------------------------
+
+def bucket_postings(rows: DataFrame, buckets: int, most: int = WORDS_AT_ONCE) -> DataFrame:
+    """``bucket_counts`` with the hits: every term has ``sizes`` of the bucket's ``reviews`` and ``times``.
+
+    ``rows`` carry their topic's number of terms, ``total``, which goes with every term.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, most):
+                words, terms, row = _occurrences(part)
+                if not len(terms):
+                    continue
+                topics, topic = _topics(part)
+                width = len(words) * (len(words) + 1)
+                found, heads, row, times = _hits(topic[row] * width + terms, row)
+                sizes, tf = np.diff(np.append(heads, len(row))), np.add.reduceat(times, heads)
+                bucket = _buckets(words, found % width, buckets)
+                order = np.argsort(bucket, kind="stable")
+                bucket, found, sizes = bucket[order], found[order], sizes[order]
+                hit = np.repeat(heads[order] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(row))
+                names, lists = _lists(bucket, {
+                    "terms": _spelled(words, found % width), "topics": topics.take(pa.array(found // width)),
+                    "tfs": pa.array(tf[order].astype(np.int64)), "totals": part.column("total").take(pa.array(row[heads[order]])),
+                    "sizes": pa.array(sizes, pa.int32())})
+                _, hits = _lists(np.repeat(bucket, sizes), {
+                    "reviews": part.column("source_row").take(pa.array(row[hit])), "times": pa.array(times[hit], pa.int32())})
+                yield pa.RecordBatch.from_pydict({"bucket": names, **lists, **hits})
+
+    kinds = dict(rows.dtypes)
+    return rows.select("topic_id", "source_row", "words", "total").mapInArrow(run, f"""bucket int, terms array<string>, topics array<{kinds['topic_id']}>,
+        tfs array<bigint>, totals array<bigint>, sizes array<int>, reviews array<{kinds['source_row']}>, times array<int>""")
+
+
+def _products(table: pa.Table, average: float) -> tuple[dict[str, pa.Array], dict[str, pa.Array]]:
+    """Of all postings of a bucket: the summed counts, and every review's products of its own and its topic's weights."""
+    names, term = _codes(_flat(table, "terms"))
+    topics, topic = _codes(_flat(table, "topics"))
+    tfs, totals, sizes = (np.asarray(_flat(table, name), np.int64) for name in ("tfs", "totals", "sizes"))
+    found, entry = np.unique(term * len(topics) + topic, return_inverse=True)
+    tf, total = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+    np.add.at(tf, entry, tfs)
+    total[entry] = totals
+    f = np.zeros(len(names), np.int64)
+    np.add.at(f, found // len(topics), tf)
+    f = f[found // len(topics)]
+    counts = {"topic_id": topics.take(pa.array(found % len(topics))), "term": names.take(pa.array(found // len(topics))), "tf": pa.array(tf), "f": pa.array(f)}
+    idf = np.log(1.0 + average / f)
+    weight = np.sqrt(tf / total) * idf
+
+    reviews, review = _codes(_flat(table, "reviews"))
+    times = np.asarray(_flat(table, "times"), np.int64)
+    of = np.repeat(entry, sizes)
+    rows, row = _codes(pa.array(found[of] % len(topics) * max(len(reviews), 1) + review))
+    rows = np.asarray(rows, np.int64)
+    # Rows that share a topic and a number are one review, so their terms are counted together.
+    key = of * max(len(rows), 1) + row
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else key
+    times = np.add.reduceat(times[order], heads) if len(heads) else times
+    of, row = of[order][heads], row[order][heads]
+    value = np.sqrt(times) * idf[of]
+    return counts, {
+        "topic_id": topics.take(pa.array(rows // max(len(reviews), 1))), "source_row": reviews.take(pa.array(rows % max(len(reviews), 1))),
+        "product": pa.array(np.bincount(row, value * weight[of], len(rows))), "square": pa.array(np.bincount(row, value * value, len(rows)))}
+
+
+def summed_products(sent: DataFrame, average: float) -> DataFrame:
+    """``topic_id, term, tf, f`` as ``summed_counts``, and without a term ``topic_id, source_row, product, square``: parts of
+    the sums over a review's terms, to be added up.
+
+    A task works bucket by bucket and adds up what its buckets have for a review.
+    """
+    kinds = dict(sent.dtypes)
+    schema = f"topic_id {kinds['topics'][6:-1]}, term string, tf bigint, f bigint, source_row {kinds['reviews'][6:-1]}, product double, square double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def whole(columns: dict[str, pa.Array], like: pa.Table) -> Iterator[pa.RecordBatch]:
+            kind = {"topic_id": like.schema.field("topics").type.value_type, "term": pa.string(), "tf": pa.int64(), "f": pa.int64(),
+                    "source_row": like.schema.field("reviews").type.value_type, "product": pa.float64(), "square": pa.float64()}
+            rows = len(columns["topic_id"])
+            full = pa.table({name: columns[name] if name in columns else pa.nulls(rows, type_) for name, type_ in kind.items()})
+            yield from full.combine_chunks().to_batches(max_chunksize=1 << 16)
+
+        def added() -> pa.Table:
+            return pa.concat_tables(held).group_by(["topic_id", "source_row"], use_threads=False).aggregate(
+                [("product", "sum"), ("square", "sum")]).rename_columns({"product_sum": "product", "square_sum": "square"})
+
+        def passed(like: pa.Table) -> Iterator[pa.RecordBatch]:
+            done = added()
+            yield from whole({name: done.column(name) for name in done.column_names}, like)
+
+        for table in _by_bucket(batches):
+            counts, products = _products(table, average)
+            yield from whole(counts, table)
+            held.append(pa.table(products))
+            if sum(part.num_rows for part in held) > 2 * REVIEWS_HELD:
+                held = [added()]
+                if held[0].num_rows > REVIEWS_HELD:
+                    yield from passed(table)
+                    held = []
+        if held:
+            yield from passed(table)
+
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each bucket together; they come sorted by bucket."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        bucket = np.asarray(batch.column("bucket"))
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist() if len(bucket) else []
+        for low, high in zip(cuts, [*cuts[1:], len(bucket)]):
+            part = batch.slice(low, high - low)
+            if held and held[0].column("bucket")[0] != part.column("bucket")[0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)

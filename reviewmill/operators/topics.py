@@ -15,7 +15,7 @@ from ..functions import vectors as V
 from ..functions.numbers import n
 from ..session import lookup, small_inputs, stored
 from .ordered import BLOCK_WIDTH, after, top_per_group, with_blocks
-from .postings import WORDS_A_BUCKET, bucket_counts, postings, summed_counts, term_bucket
+from .postings import WORDS_A_BUCKET, bucket_counts, bucket_postings, postings, summed_counts, summed_products, term_bucket
 
 UNASSIGNED = -1
 TOP_KEYWORDS = 10
@@ -108,7 +108,10 @@ def weighted_terms(counts: DataFrame) -> DataFrame:
     if "f" not in counts.columns:
         counts = counts.withColumn("f", F.sum("tf").over(Window.partitionBy("term")))
     counts = stored(counts, "counts")
-    words = lookup(counts.groupBy("topic_id").agg(F.sum("tf").alias("words")))
+    return _weights(counts, lookup(counts.groupBy("topic_id").agg(F.sum("tf").alias("words"))))
+
+
+def _weights(counts: DataFrame, words: DataFrame) -> DataFrame:
     average = words.agg(F.floor(F.avg("words")).cast("bigint").alias("a")).scalar()
     rows = counts.withColumn("average", average).join(words, "topic_id")
     idf = F.log(1.0 + F.col("average").cast("double") / F.col("f"))
@@ -117,6 +120,33 @@ def weighted_terms(counts: DataFrame) -> DataFrame:
     )
 
 
+def scored_terms(rows: DataFrame, width: int = BLOCK_WIDTH) -> tuple[DataFrame, DataFrame]:
+    """The weights of ``weighted_terms(class_terms(rows))`` and ``topic_id, source_row, product, square`` for ``review_scores``.
+
+    Counts and postings go to the buckets of terms together, and a bucket knows its terms' weights as soon as it has summed
+    their counts, so no term is joined with its weight afterwards.  Topics must not be null.
+    """
+    small_inputs(rows.sparkSession)
+    worded = with_terms(rows)
+    buckets = _buckets(worded)
+    borders = stored(border_pairs(worded, width), "borders")
+    # A topic has its words, the pairs inside its reviews and those across their borders.
+    inside = F.col("n") + F.greatest(F.col("n") - 1, F.lit(0))
+    words = lookup(worded.select("topic_id", inside.cast("bigint").alias("words")).unionByName(borders.select("topic_id", F.lit(1).cast("bigint").alias("words")))
+                   .groupBy("topic_id").agg(F.sum("words").alias("words")).where("words > 0"))
+    average = words.agg(F.floor(F.avg("words")).cast("bigint").alias("a")).first()["a"]
+    totals = words.withColumnRenamed("words", "total")
+    sent = bucket_postings(worded.join(totals, "topic_id"), buckets)
+    kinds = dict(sent.dtypes)
+    across = borders.join(totals, "topic_id").select(
+        term_bucket(F.col("term"), buckets).alias("bucket"), F.array("term").alias("terms"), F.array("topic_id").alias("topics"),
+        F.array(F.lit(1).cast("bigint")).alias("tfs"), F.array("total").alias("totals"), F.array(F.lit(0)).alias("sizes"),
+        F.array().cast(kinds["reviews"]).alias("reviews"), F.array().cast(kinds["times"]).alias("times"))
+    found = stored(summed_products(sent.unionByName(across), float(average or 0)), "products")
+    counts = found.where(F.col("term").isNotNull()).select("topic_id", "term", "tf", "f")
+    return _weights(counts, words), found.where(F.col("term").isNull()).select("topic_id", "source_row", "product", "square")
+
+
 def contenders(weights: DataFrame, by: str, k: int) -> DataFrame:
     """The terms that can be among a topic's first ``k`` by a column, so that few terms are sorted.
 
@@ -205,25 +235,28 @@ def _once(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def review_scores(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """Cosine of every review's own weighted terms with its topic's.
 
-    A term meets its weight once for many reviews.  Rows that share a number are one review, so their terms are counted
-    together first.
+    ``rows`` may be the products of ``scored_terms``, whose terms have met their weights.  Other terms meet their weights
+    once for many reviews.  Rows that share a number are one review, so their terms are counted together first.
     """
+    lengths = lookup(weights.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length")))
+    products = rows if "product" in rows.columns else _review_products(rows, weights)
+    # The review's word count scales its vector and cancels in the cosine.
+    scored = products.groupBy("topic_id", "source_row").agg(F.sum("product").alias("product"), F.sqrt(F.sum("square")).alias("own_length"))
+    return scored.join(lengths, "topic_id").select(
+        "topic_id", "source_row", (F.col("product") / (F.col("own_length") * F.col("length"))).alias("score")
+    )
+
+
+def _review_products(rows: DataFrame, weights: DataFrame) -> DataFrame:
     small_inputs(rows.sparkSession)
     single, several = _once(rows)
     merged = review_terms(several).groupBy("topic_id", "source_row", "term").agg(n().alias("times")).select(
         "term", "topic_id", F.array(F.struct("source_row", "times")).alias("hits"))
     own = postings(single).unionByName(merged)
-    lengths = lookup(weights.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length")))
     parts = own.join(weights.select("topic_id", "term", "idf", F.col("weight").alias("topic_weight")), ["topic_id", "term"]).select(
         "topic_id", "idf", "topic_weight", F.explode("hits").alias("hit")).select("topic_id", "idf", "topic_weight", "hit.*")
     value = F.sqrt(F.col("times").cast("double")) * F.col("idf")
-    # The review's word count scales its vector and cancels in the cosine.
-    scored = parts.groupBy("topic_id", "source_row").agg(
-        F.sum(value * F.col("topic_weight")).alias("product"), F.sqrt(F.sum(value * value)).alias("own_length")
-    )
-    return scored.join(lengths, "topic_id").select(
-        "topic_id", "source_row", (F.col("product") / (F.col("own_length") * F.col("length"))).alias("score")
-    )
+    return parts.select("topic_id", "source_row", (value * F.col("topic_weight")).alias("product"), (value * value).alias("square"))
 
 
 def representatives(rows: DataFrame, weights: DataFrame, k: int = 3) -> DataFrame:
@@ -247,10 +280,11 @@ def semantic_candidates(
     ``vectors`` carries ``source_row, vector``.  A term's vector is the mean of
     the reviews that hold it, a topic's the mean of its representatives.
     """
-    leading = keywords(weights, candidates).select("topic_id", "term", "weight", F.col("rank").alias("count_rank"))
-    wanted = lookup(leading.select("term").distinct())
+    leading = lookup(keywords(weights, candidates).select("topic_id", "term", "weight", F.col("rank").alias("count_rank")))
+    # A fixed number of terms for each topic, so that a task looks for them alone.
+    wanted = sorted(row["term"] for row in leading.select("term").distinct().collect())
     # A review takes its vector once, with the list of its leading terms.
-    held = postings(rows).join(wanted, "term", "left_semi").select("term", F.explode("hits.source_row").alias("source_row")) \
+    held = postings(rows, only=wanted).select("term", F.explode("hits.source_row").alias("source_row")) \
         .groupBy("source_row").agg(F.collect_set("term").alias("terms"))
     holding = held.join(vectors, "source_row").select("vector", F.explode("terms").alias("term"))
     term_vectors = mean_vector(holding, ["term"], "vector", "term_vector")

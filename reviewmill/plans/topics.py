@@ -121,8 +121,8 @@ def tfidf_contrast(spark, sf):
 
 def reps(spark, sf):
     rows = topic_rows(spark, sf)
-    worded = K.with_terms(rows)
-    return rows, K.representatives(worded, class_weights(worded))
+    weights, products = K.scored_terms(rows)
+    return rows, K.representatives(products, weights)
 
 
 @query("representative_reviews", over(REPS, "SELECT topic_id, rank, source_row, round(score, 6) AS score FROM reps"))
@@ -134,8 +134,8 @@ def candidates(spark, sf):
     """Rows, their weights, and each topic's candidates (a fixed number, pinned)."""
     rows = topic_rows(spark, sf)
     worded = K.with_terms(rows)
-    weights = class_weights(worded)
-    found = K.semantic_candidates(worded, review_vectors(spark, sf), weights, K.representatives(worded, weights))
+    weights, products = K.scored_terms(worded)
+    found = K.semantic_candidates(worded, review_vectors(spark, sf), weights, K.representatives(products, weights))
     return rows, weights, checkpointed(found)
 
 
@@ -171,9 +171,8 @@ SELECT b.topic_id, cluster_id, reviews AS review_count, (SELECT string_agg(term
   (SELECT string_agg(source_row, ',' ORDER BY rank) FROM reps WHERE reps.topic_id = b.topic_id) AS representatives FROM numbers b WHERE b.topic_id >= 0"""))
 def topic_objects(spark, sf):
     rows = topic_rows(spark, sf)
-    worded = K.with_terms(rows)
-    weights = class_weights(worded)
-    objects = K.topic_objects(rows, K.keywords(weights), K.representatives(worded, weights))
+    weights, products = K.scored_terms(rows)
+    objects = K.topic_objects(rows, K.keywords(weights), K.representatives(products, weights))
     shown = F.transform("keywords", lambda k: F.format_string("%s=%.4f", k["term"], k["c_tf_idf_weight"]))
     return objects.select("topic_id", "cluster_id", "review_count", F.array_join(shown, ",").alias("keywords"),
                           F.array_join(F.col("representative_rows").cast("array<string>"), ",").alias("representatives"))
@@ -185,9 +184,8 @@ UNION ALL SELECT topic_id, 'several_groups' FROM numbers WHERE topic_id >= 0 AND
 def topic_object_problems(spark, sf):
     """Topic records against members of which a third was dropped, every second topic said to join two groups."""
     rows = topic_rows(spark, sf)
-    worded = K.with_terms(rows)
-    weights = class_weights(worded)
-    objects = K.topic_objects(rows, K.keywords(weights), K.representatives(worded, weights))
+    weights, products = K.scored_terms(rows)
+    objects = K.topic_objects(rows, K.keywords(weights), K.representatives(products, weights))
     objects = objects.withColumn("clusters", F.col("clusters") + F.col("topic_id") % 2)
     return K.topic_object_problems(objects, rows.where(F.col("source_row") % 3 != 0))
 

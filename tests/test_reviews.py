@@ -284,6 +284,33 @@ def test_words_cut_once_serve_counts_weights_and_representatives(spark):
     assert chosen(K.representatives(worded, weights)) == chosen(K.representatives(rows, plain))
 
 
+@pytest.mark.parametrize("words", [2, 1 << 20])
+def test_weights_and_scores_out_of_the_same_buckets(spark, monkeypatch, words):
+    monkeypatch.setattr(K, "WORDS_A_BUCKET", words)
+    monkeypatch.setattr("reviewmill.operators.postings.REVIEWS_HELD", words)
+    for rows in (K.with_topics(topic_table(spark, TEXTS + [(0, None), (0, "no abre app")])),
+                 spark.createDataFrame(REPEATED, "topic_id int, source_row bigint, text string").where("source_row IS NOT NULL")):
+        plain = K.weighted_terms(K.class_terms(rows))
+        weights, products = K.scored_terms(rows)
+        rounded = lambda df: sorted((*r[:2], *(round(x, 9) for x in r[2:])) for r in df.collect())
+        columns = ["topic_id", "term", "tf", "words", "f", "idf", "weight"]
+        assert rounded(weights.select(columns)) == rounded(plain.select(columns))
+        assert rounded(K.review_scores(products, weights)) == rounded(K.review_scores(rows, plain))
+        # No join on terms: the products are read as they were written.
+        assert "Join" not in products._jdf.queryExecution().optimizedPlan().toString()
+    empty = K.scored_terms(rows.limit(0))
+    assert empty[0].isEmpty() and K.representatives(empty[1], empty[0]).isEmpty()
+
+
+def test_postings_of_wanted_terms_alone(spark):
+    rows = spark.createDataFrame(REPEATED, "topic_id int, source_row bigint, text string").coalesce(1)
+    wanted = ["abre", "no abre", "app_2 ñandú", "ñandú app_2", "bien no", "nunca", "nunca abre"]
+    flat = lambda df: sorted((r["topic_id"], r["term"], sorted(map(str, r["hits"]))) for r in df.collect())
+    chosen = postings(rows, only=wanted)
+    assert flat(chosen) == flat(postings(rows).where(F.col("term").isin(wanted))) and chosen.count() == 6
+    assert postings(rows, only=[]).isEmpty()
+
+
 def test_few_terms_are_sorted_for_a_topics_first_ones(spark):
     table = spark.range(3000).selectExpr("cast(id % 2 as int) topic_id", "concat('w', id) term", "cast(id div 40 as double) weight", "id div 100 tf")
     table = table.unionByName(spark.createDataFrame([(7, "a", 1.0, 2), (7, "b", 1.0, 2)], "topic_id int, term string, weight double, tf bigint"))
