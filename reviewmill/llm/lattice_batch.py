@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-WORDS_AT_ONCE = 1 << 13
+WORDS_AT_ONCE = 1 << 12
 _SHIFT = np.uint64(21)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 

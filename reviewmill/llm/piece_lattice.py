@@ -23,7 +23,7 @@ import heapq
 import math
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lattice_batch import BatchSearch, WordPaths, ragged
-from .word_ids import slices, strings, tidied
+from .word_ids import give_back, slices, strings, tidied
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 N_BEST = 2
@@ -75,16 +75,20 @@ class Lattice:
         self.byte_score = ordinary - 10.0
         # The model marks runs of spaces as never merged; here they are merely the least likely pieces.
         self.ids = {name: (piece, max(score, ordinary - 5.0)) for name, (piece, score) in self.ids.items()}
-        #: Every beginning of a piece, with the piece's ids and score where it is a whole one.
-        self.trie: dict[str, tuple[tuple[int, ...], float] | None] = {
-            name[:end]: None for name in self.ids for end in range(1, len(name))}
-        self.trie.update({name: ((piece,), score) for name, (piece, score) in self.ids.items()})
         self.longest = max(map(len, self.ids))
         self.batch = BatchSearch(self.ids, self.bytes, self.byte_score, n_best)
         self.surface_bytes = np.frombuffer(b"".join(self.surface), np.uint8)
         self.surface_sizes = np.array([len(raw) for raw in self.surface])
         self.surface_starts = np.cumsum(self.surface_sizes) - self.surface_sizes
 
+    @cached_property
+    def trie(self) -> dict[str, tuple[tuple[int, ...], float] | None]:
+        """Every beginning of a piece, with the piece's ids and score where it is a whole one; only long words need it."""
+        beginnings: dict[str, tuple[tuple[int, ...], float] | None] = {
+            name[:end]: None for name in self.ids for end in range(1, len(name))}
+        beginnings.update({name: ((piece,), score) for name, (piece, score) in self.ids.items()})
+        return beginnings
+
     def edges(self, word: str) -> tuple[list[list[tuple[int, tuple[tuple[int, ...], float]]]], list[float]]:
         """For every end position the edges that lead to it (start, ids and score), and the best score up to it (Viterbi)."""
         find, longest, size = self.trie.get, self.longest, len(word)
@@ -295,7 +299,10 @@ class Lattice:
 @lru_cache(maxsize=4)
 def lattice(model: str = PIECES, n_best: int = N_BEST) -> Lattice:
     """One lattice per worker process, so that its tables are built once."""
-    return Lattice(model, n_best)
+    built = Lattice(model, n_best)
+    # What the building took and what earlier stages left.
+    give_back()
+    return built
 
 
 def encode_pieces(docs: DataFrame, model: str = PIECES, n_best: int = N_BEST, with_ids: bool = False, with_path_ids: bool = False) -> DataFrame:

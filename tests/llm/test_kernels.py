@@ -131,6 +131,12 @@ def test_n_best_equals_enumeration(text):
         assert lattice.decode(np.array(ids, "<u4").tobytes()) == text
 
 
+def test_beginnings_of_pieces_are_kept_for_long_words_alone():
+    own = Lattice()
+    assert own.decode(own.best("some short words")[0]) == "some short words" and "trie" not in vars(own)
+    assert own.decode(own.best("x" * 3000)[0]) == "x" * 3000 and "trie" in vars(own)
+
+
 @quick
 @given(st.text(max_size=40))
 def test_pieces_decode_to_the_text(lattice, text):
