@@ -26,7 +26,11 @@ from ..functions import text as X
 #: Words counted together; a longer review is counted alone.
 WORDS_AT_ONCE = 1 << 20
 #: Summed reviews that a task holds before it passes them on.
-REVIEWS_HELD = 1 << 20
+REVIEWS_HELD = 1 << 22
+#: Reviews whose sums from all tasks meet in one group.
+REVIEWS_A_PART = 1 << 13
+#: Parts that a task passes on in one batch.
+PARTS_AT_ONCE = 1 << 6
 #: Kept words of the whole table for each bucket of terms.
 WORDS_A_BUCKET = 1 << 20
 
@@ -105,6 +109,15 @@ def term_counts(rows: DataFrame, most: int = WORDS_AT_ONCE) -> DataFrame:
 
 def _hits(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
     """Occurrences by topic and term, then by review: the different keys, where each one's hits begin, and every hit's row and times."""
+    size = int(row.max()) + 1
+    if int(key.max()) < (1 << 63) // size - 1:
+        # One number for term and review sorts much faster than an order of them.
+        both = np.sort(key * size + row)
+        hit = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+        times, both = np.diff(np.append(hit, len(both))), both[hit]
+        key, row = both // size, both % size
+        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        return key[heads], heads, row, times
     # Words and pairs come in row order, so a stable sort keeps every term's reviews together.
     order = np.argsort(key, kind="stable")
     key, row = key[order], row[order]
@@ -246,9 +259,10 @@ def summed_counts(counts: DataFrame) -> DataFrame:
 # -- scores out of the same buckets ------------------------------------------
 
 def bucket_postings(rows: DataFrame, buckets: int, most: int = WORDS_AT_ONCE) -> DataFrame:
-    """``bucket_counts`` with the hits: every term has ``sizes`` of the bucket's ``reviews`` and ``times``.
+    """``bucket, terms, topics`` with the hits: every term has ``sizes`` of the bucket's ``reviews`` and ``times``.
 
-    ``rows`` carry their topic's number of terms, ``total``, which goes with every term.
+    ``rows`` carry their topic's number of terms, ``total``; a bucket gets ``totals`` of its ``owners``, the different topics.
+    A term's count is that of its hits; a term without hits counts once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,98 +274,149 @@ def bucket_postings(rows: DataFrame, buckets: int, most: int = WORDS_AT_ONCE) ->
                 topics, topic = _topics(part)
                 width = len(words) * (len(words) + 1)
                 found, heads, row, times = _hits(topic[row] * width + terms, row)
-                sizes, tf = np.diff(np.append(heads, len(row))), np.add.reduceat(times, heads)
+                sizes = np.diff(np.append(heads, len(row)))
                 bucket = _buckets(words, found % width, buckets)
                 order = np.argsort(bucket, kind="stable")
                 bucket, found, sizes = bucket[order], found[order], sizes[order]
                 hit = np.repeat(heads[order] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(row))
+                owner = found // width
                 names, lists = _lists(bucket, {
-                    "terms": _spelled(words, found % width), "topics": topics.take(pa.array(found // width)),
-                    "tfs": pa.array(tf[order].astype(np.int64)), "totals": part.column("total").take(pa.array(row[heads[order]])),
-                    "sizes": pa.array(sizes, pa.int32())})
+                    "terms": _spelled(words, found % width), "topics": topics.take(pa.array(owner)), "sizes": pa.array(sizes, pa.int32())})
+                total = np.zeros(len(topics), np.int64)
+                total[topic] = np.asarray(part.column("total"), np.int64)
+                # In order of the buckets, as they are first met.
+                owners = np.asarray(_codes(pa.array(bucket * len(topics) + owner))[0], np.int64)
+                _, owned = _lists(owners // len(topics), {
+                    "owners": topics.take(pa.array(owners % len(topics))), "totals": pa.array(total[owners % len(topics)])})
                 _, hits = _lists(np.repeat(bucket, sizes), {
                     "reviews": part.column("source_row").take(pa.array(row[hit])), "times": pa.array(times[hit], pa.int32())})
-                yield pa.RecordBatch.from_pydict({"bucket": names, **lists, **hits})
+                yield pa.RecordBatch.from_pydict({"bucket": names, **lists, **owned, **hits})
 
     kinds = dict(rows.dtypes)
     return rows.select("topic_id", "source_row", "words", "total").mapInArrow(run, f"""bucket int, terms array<string>, topics array<{kinds['topic_id']}>,
-        tfs array<bigint>, totals array<bigint>, sizes array<int>, reviews array<{kinds['source_row']}>, times array<int>""")
+        sizes array<int>, owners array<{kinds['topic_id']}>, totals array<bigint>, reviews array<{kinds['source_row']}>, times array<int>""")
 
 
-def _products(table: pa.Table, average: float) -> tuple[dict[str, pa.Array], dict[str, pa.Array]]:
-    """Of all postings of a bucket: the summed counts, and every review's products of its own and its topic's weights."""
+def _products(table: pa.Table, average: float) -> tuple[dict[str, pa.Array], dict[str, pa.Array], dict[str, pa.Array]]:
+    """Of all postings of a bucket: the summed counts, every topic's squared weights, and every review's products of its own
+    and its topic's weights."""
     names, term = _codes(_flat(table, "terms"))
     topics, topic = _codes(_flat(table, "topics"))
-    tfs, totals, sizes = (np.asarray(_flat(table, name), np.int64) for name in ("tfs", "totals", "sizes"))
-    found, entry = np.unique(term * len(topics) + topic, return_inverse=True)
-    tf, total = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
-    np.add.at(tf, entry, tfs)
-    total[entry] = totals
-    f = np.zeros(len(names), np.int64)
-    np.add.at(f, found // len(topics), tf)
-    f = f[found // len(topics)]
+    sizes, totals, times = (np.asarray(_flat(table, name), np.int64) for name in ("sizes", "totals", "times"))
+    found, entry = _codes(pa.array(term * len(topics) + topic))
+    found = np.asarray(found, np.int64)
+    of = np.repeat(entry, sizes)
+    # Whole numbers, exact in doubles.
+    tf = (np.bincount(of, times, len(found)) + np.bincount(entry[sizes == 0], minlength=len(found))).astype(np.int64)
+    total = np.zeros(len(topics), np.int64)
+    total[np.asarray(pc.index_in(_flat(table, "owners"), topics), np.int64)] = totals
+    total = total[found % len(topics)]
+    f = np.bincount(found // len(topics), tf, len(names)).astype(np.int64)[found // len(topics)]
     counts = {"topic_id": topics.take(pa.array(found % len(topics))), "term": names.take(pa.array(found // len(topics))), "tf": pa.array(tf), "f": pa.array(f)}
     idf = np.log(1.0 + average / f)
     weight = np.sqrt(tf / total) * idf
 
     reviews, review = _codes(_flat(table, "reviews"))
-    times = np.asarray(_flat(table, "times"), np.int64)
-    of = np.repeat(entry, sizes)
+    lengths = {"topic_id": topics, "source_row": pa.nulls(len(topics), reviews.type), "product": pa.array(np.zeros(len(topics))),
+               "square": pa.array(np.bincount(found % len(topics), weight * weight, len(topics)))}
     rows, row = _codes(pa.array(found[of] % len(topics) * max(len(reviews), 1) + review))
     rows = np.asarray(rows, np.int64)
     # Rows that share a topic and a number are one review, so their terms are counted together.
     key = of * max(len(rows), 1) + row
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else key
-    times = np.add.reduceat(times[order], heads) if len(heads) else times
-    of, row = of[order][heads], row[order][heads]
+    apart = np.sort(key)
+    if (apart[1:] == apart[:-1]).any():
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        times, of, row = np.add.reduceat(times[order], heads), of[order][heads], row[order][heads]
     value = np.sqrt(times) * idf[of]
-    return counts, {
+    return counts, lengths, {
         "topic_id": topics.take(pa.array(rows // max(len(reviews), 1))), "source_row": reviews.take(pa.array(rows % max(len(reviews), 1))),
         "product": pa.array(np.bincount(row, value * weight[of], len(rows))), "square": pa.array(np.bincount(row, value * value, len(rows)))}
 
 
-def summed_products(sent: DataFrame, average: float) -> DataFrame:
-    """``topic_id, term, tf, f`` as ``summed_counts``, and without a term ``topic_id, source_row, product, square``: parts of
-    the sums over a review's terms, to be added up.
+def _added(held: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(held).group_by(["topic_id", "source_row"], use_threads=False).aggregate(
+        [("product", "sum"), ("square", "sum")]).rename_columns({"product_sum": "product", "square_sum": "square"})
+
+
+def _parts(reviews: pa.Array, parts: int) -> np.ndarray:
+    """The part of each review, from its number."""
+    number = np.asarray(pc.fill_null(reviews.cast(pa.int64(), safe=False), 0), np.int64).view(np.uint64)
+    return ((number * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % parts
+
 
-    A task works bucket by bucket and adds up what its buckets have for a review.
+def summed_products(sent: DataFrame, average: float, parts: int, listed: bool = True) -> DataFrame:
+    """``topic_id, term, tf, f`` as ``summed_counts``, and without a term ``part, topics, reviews, products, squares`` for ``review_sums``.
+
+    A task works bucket by bucket and adds up what its buckets have for a review.  It passes that on in one row for each part
+    of the reviews: almost every bucket has something for every review, so rows of reviews would grow with tasks times reviews.
+    Without ``listed`` the terms stay inside, and part -1 has the sums of every topic's squared weights.
     """
     kinds = dict(sent.dtypes)
-    schema = f"topic_id {kinds['topics'][6:-1]}, term string, tf bigint, f bigint, source_row {kinds['reviews'][6:-1]}, product double, square double"
+    schema = f"""topic_id {kinds['topics'][6:-1]}, term string, tf bigint, f bigint,
+        part int, topics {kinds['topics']}, reviews {kinds['reviews']}, products array<double>, squares array<double>"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        reviews: list[pa.Table] = []
+        lengths: list[pa.Table] = []
+
+        def whole(columns: dict[str, pa.Array], like: pa.Table, at_once: int) -> Iterator[pa.RecordBatch]:
+            topic, review = (like.schema.field(name).type for name in ("topics", "reviews"))
+            kind = {"topic_id": topic.value_type, "term": pa.string(), "tf": pa.int64(), "f": pa.int64(), "part": pa.int32(), "topics": topic,
+                    "reviews": review, "products": pa.list_(pa.float64()), "squares": pa.list_(pa.float64())}
+            rows = len(next(iter(columns.values())))
+            full = pa.table({name: columns[name].cast(type_) if name in columns else pa.nulls(rows, type_) for name, type_ in kind.items()})
+            yield from full.to_batches(max_chunksize=at_once)
+
+        def passed(held: list[pa.Table], like: pa.Table) -> Iterator[pa.RecordBatch]:
+            done = _added(held).combine_chunks()
+            columns = {name: _one(done.column(name)) for name in done.column_names}
+            part = np.full(len(done), -1) if held is lengths else _parts(columns["source_row"], parts)
+            order = np.argsort(part, kind="stable")
+            at = pa.array(order)
+            names, lists = _lists(part[order], {
+                "topics": columns["topic_id"].take(at), "reviews": columns["source_row"].take(at),
+                "products": columns["product"].take(at), "squares": columns["square"].take(at)})
+            yield from whole({"part": names, **lists}, like, PARTS_AT_ONCE)
 
-        def whole(columns: dict[str, pa.Array], like: pa.Table) -> Iterator[pa.RecordBatch]:
-            kind = {"topic_id": like.schema.field("topics").type.value_type, "term": pa.string(), "tf": pa.int64(), "f": pa.int64(),
-                    "source_row": like.schema.field("reviews").type.value_type, "product": pa.float64(), "square": pa.float64()}
-            rows = len(columns["topic_id"])
-            full = pa.table({name: columns[name] if name in columns else pa.nulls(rows, type_) for name, type_ in kind.items()})
-            yield from full.combine_chunks().to_batches(max_chunksize=1 << 16)
+        for table in _by_bucket(batches):
+            counts, squares, products = _products(table, average)
+            reviews.append(pa.table(products))
+            if listed:
+                yield from whole(counts, table, 1 << 16)
+            else:
+                lengths.append(pa.table(squares))
+            for held in (reviews, lengths):
+                if sum(some.num_rows for some in held) > 2 * REVIEWS_HELD:
+                    held[:] = [_added(held)]
+                    if held[0].num_rows > REVIEWS_HELD:
+                        yield from passed(held, table)
+                        held.clear()
+        for held in (reviews, lengths):
+            if sum(some.num_rows for some in held):
+                yield from passed(held, table)
 
-        def added() -> pa.Table:
-            return pa.concat_tables(held).group_by(["topic_id", "source_row"], use_threads=False).aggregate(
-                [("product", "sum"), ("square", "sum")]).rename_columns({"product_sum": "product", "square_sum": "square"})
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
-        def passed(like: pa.Table) -> Iterator[pa.RecordBatch]:
-            done = added()
-            yield from whole({name: done.column(name) for name in done.column_names}, like)
 
-        for table in _by_bucket(batches):
-            counts, products = _products(table, average)
-            yield from whole(counts, table)
-            held.append(pa.table(products))
-            if sum(part.num_rows for part in held) > 2 * REVIEWS_HELD:
-                held = [added()]
-                if held[0].num_rows > REVIEWS_HELD:
-                    yield from passed(table)
-                    held = []
-        if held:
-            yield from passed(table)
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+def review_sums(found: DataFrame) -> DataFrame:
+    """``part, topic_id, source_row, product, square`` of the parts of ``summed_products``: a review's sums over all its terms."""
+    kinds = dict(found.dtypes)
+
+    def add_up(table: pa.Table) -> pa.Table:
+        sums = _added([pa.table({name: _flat(table, of) for name, of in (
+            ("topic_id", "topics"), ("source_row", "reviews"), ("product", "products"), ("square", "squares"))})])
+        part = pa.array(np.full(len(sums), table.column("part")[0].as_py(), np.int32))
+        return pa.table({"part": part, **{name: sums.column(name) for name in ("topic_id", "source_row", "product", "square")}})
+
+    rows = found.where("part IS NOT NULL").select("part", "topics", "reviews", "products", "squares")
+    return rows.groupBy("part").applyInArrow(
+        add_up, f"part int, topic_id {kinds['topics'][6:-1]}, source_row {kinds['reviews'][6:-1]}, product double, square double")
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:

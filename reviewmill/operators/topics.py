@@ -15,7 +15,8 @@ from ..functions import vectors as V
 from ..functions.numbers import n
 from ..session import lookup, small_inputs, stored
 from .ordered import BLOCK_WIDTH, after, top_per_group, with_blocks
-from .postings import WORDS_A_BUCKET, bucket_counts, bucket_postings, postings, summed_counts, summed_products, term_bucket
+from .postings import (REVIEWS_A_PART, WORDS_A_BUCKET, bucket_counts, bucket_postings, postings, review_sums, summed_counts, summed_products,
+                       term_bucket)
 
 UNASSIGNED = -1
 TOP_KEYWORDS = 10
@@ -120,11 +121,12 @@ def _weights(counts: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
-def scored_terms(rows: DataFrame, width: int = BLOCK_WIDTH) -> tuple[DataFrame, DataFrame]:
+def scored_terms(rows: DataFrame, width: int = BLOCK_WIDTH, listed: bool = True) -> tuple[DataFrame, DataFrame]:
     """The weights of ``weighted_terms(class_terms(rows))`` and ``topic_id, source_row, product, square`` for ``review_scores``.
 
     Counts and postings go to the buckets of terms together, and a bucket knows its terms' weights as soon as it has summed
-    their counts, so no term is joined with its weight afterwards.  Topics must not be null.
+    their counts, so no term is joined with its weight afterwards.  Topics must not be null.  Without ``listed`` the weights
+    are not written term by term, and the first table has their ``length`` for each topic.
     """
     small_inputs(rows.sparkSession)
     worded = with_terms(rows)
@@ -140,11 +142,16 @@ def scored_terms(rows: DataFrame, width: int = BLOCK_WIDTH) -> tuple[DataFrame,
     kinds = dict(sent.dtypes)
     across = borders.join(totals, "topic_id").select(
         term_bucket(F.col("term"), buckets).alias("bucket"), F.array("term").alias("terms"), F.array("topic_id").alias("topics"),
-        F.array(F.lit(1).cast("bigint")).alias("tfs"), F.array("total").alias("totals"), F.array(F.lit(0)).alias("sizes"),
+        F.array(F.lit(0)).alias("sizes"), F.array("topic_id").alias("owners"), F.array("total").alias("totals"),
         F.array().cast(kinds["reviews"]).alias("reviews"), F.array().cast(kinds["times"]).alias("times"))
-    found = stored(summed_products(sent.unionByName(across), float(average or 0)), "products")
+    found = summed_products(sent.unionByName(across), float(average or 0), 1 + worded.count() // REVIEWS_A_PART, listed)
+    if not listed:
+        sums = stored(review_sums(found), "products")
+        return (sums.where("part < 0").select("topic_id", F.sqrt("square").alias("length")),
+                sums.where("part >= 0").select("topic_id", "source_row", "product", "square"))
+    found = stored(found, "products")
     counts = found.where(F.col("term").isNotNull()).select("topic_id", "term", "tf", "f")
-    return _weights(counts, words), found.where(F.col("term").isNull()).select("topic_id", "source_row", "product", "square")
+    return _weights(counts, words), review_sums(found).select("topic_id", "source_row", "product", "square")
 
 
 def contenders(weights: DataFrame, by: str, k: int) -> DataFrame:
@@ -236,9 +243,11 @@ def review_scores(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """Cosine of every review's own weighted terms with its topic's.
 
     ``rows`` may be the products of ``scored_terms``, whose terms have met their weights.  Other terms meet their weights
-    once for many reviews.  Rows that share a number are one review, so their terms are counted together first.
+    once for many reviews.  Rows that share a number are one review, so their terms are counted together first.  ``weights``
+    may be the topics' lengths alone.
     """
-    lengths = lookup(weights.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length")))
+    lengths = lookup(weights if "length" in weights.columns else weights.groupBy("topic_id").agg(
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length")))
     products = rows if "product" in rows.columns else _review_products(rows, weights)
     # The review's word count scales its vector and cancels in the cosine.
     scored = products.groupBy("topic_id", "source_row").agg(F.sum("product").alias("product"), F.sqrt(F.sum("square")).alias("own_length"))

@@ -121,8 +121,8 @@ def tfidf_contrast(spark, sf):
 
 def reps(spark, sf):
     rows = topic_rows(spark, sf)
-    weights, products = K.scored_terms(rows)
-    return rows, K.representatives(products, weights)
+    lengths, products = K.scored_terms(rows, listed=False)
+    return rows, K.representatives(products, lengths)
 
 
 @query("representative_reviews", over(REPS, "SELECT topic_id, rank, source_row, round(score, 6) AS score FROM reps"))

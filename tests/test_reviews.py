@@ -22,7 +22,7 @@ from reviewmill.operators import models as L
 from reviewmill.operators import prepare as P
 from reviewmill.operators import sentiment as Se
 from reviewmill.operators import topics as K
-from reviewmill.operators.postings import bucket_counts, postings, summed_counts, term_bucket, term_counts
+from reviewmill.operators.postings import _hits, bucket_counts, bucket_postings, postings, review_sums, summed_counts, summed_products, term_bucket, term_counts
 from reviewmill.sources import pages, release, scalars
 
 STAMP = "2026-09-10T12:00:00+00:00"
@@ -302,6 +302,36 @@ def test_weights_and_scores_out_of_the_same_buckets(spark, monkeypatch, words):
     assert empty[0].isEmpty() and K.representatives(empty[1], empty[0]).isEmpty()
 
 
+@pytest.mark.parametrize("held", [2, 1 << 22])
+def test_a_task_passes_the_sums_of_many_reviews_on_in_one_row(spark, monkeypatch, held):
+    monkeypatch.setattr("reviewmill.operators.postings.REVIEWS_HELD", held)
+    rows = spark.range(600).selectExpr("cast(id % 3 as int) topic_id", "id * 50 source_row", "concat('app falla w', id % 7, ' w', id) text", "5L total").repartition(3)
+    found = summed_products(bucket_postings(K.with_terms(rows).crossJoin(rows.select("total").limit(1)), 40), 100.0, 4, listed=False).cache()
+    tasks = found.rdd.getNumPartitions()
+    assert held == 2 or found.count() <= 5 * tasks
+    assert found.where("term IS NOT NULL").isEmpty()
+    sums = review_sums(found).collect()
+    assert len([r for r in sums if r["part"] == -1]) == 3 and len({(r["topic_id"], r["source_row"]) for r in sums if r["part"] >= 0}) == 600
+    assert len(sums) == 603 and len({r["part"] for r in sums}) == 5
+
+
+def test_lengths_alone_give_the_same_scores(spark):
+    for rows in (K.with_topics(topic_table(spark, TEXTS + [(0, None), (0, "no abre app")])),
+                 spark.createDataFrame(REPEATED, "topic_id int, source_row bigint, text string").where("source_row IS NOT NULL")):
+        scores = lambda one, two: sorted((*r[:2], round(r["score"], 9)) for r in K.review_scores(two, one).collect())
+        lengths, products = K.scored_terms(rows, listed=False)
+        assert lengths.columns == ["topic_id", "length"] and scores(lengths, products) == scores(*K.scored_terms(rows))
+        assert scores(*K.scored_terms(rows.limit(0), listed=False)) == []
+
+
+def test_hits_of_numbers_too_large_to_be_put_together():
+    key, row = np.array([5, 3, 5, 3, 9, 5]), np.array([0, 0, 1, 0, 2, 1])
+    plain = [x.tolist() for x in _hits(key, row)]
+    assert plain == [[3, 5, 9], [0, 1, 3], [0, 0, 1, 2], [2, 1, 2, 1]]
+    large = [x.tolist() for x in _hits(key + (1 << 62), row)]
+    assert large == [[x + (1 << 62) for x in plain[0]], *plain[1:]]
+
+
 def test_postings_of_wanted_terms_alone(spark):
     rows = spark.createDataFrame(REPEATED, "topic_id int, source_row bigint, text string").coalesce(1)
     wanted = ["abre", "no abre", "app_2 ñandú", "ñandú app_2", "bien no", "nunca", "nunca abre"]
