@@ -48,6 +48,8 @@ CELL_ROWS = 256
 MOST_CODES = 512
 ROUNDS = 8
 TILE = 1024
+#: Vectors whose visits are listed at once; one may visit hundreds of cells.
+VISITORS_AT_ONCE = 256
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -169,22 +171,12 @@ def tile_links(home: pd.DataFrame, guest: pd.DataFrame | None, cosine: float, ce
     return pd.concat(rows)
 
 
-def linked(vectors: DataFrame, cosine: float = COSINE, reach: float = REACH, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for ``vectors(vec_id, embedding, label)``; links need equal labels."""
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"),
-                          F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("string").alias("label"))
-    good = rows.where(usable(F.col("vector")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()) \
-        .withColumn("key", F.sha2(F.concat_ws("/", "label", F.col("vector").cast("string")), 256))
-    classes = good.groupBy("key").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector"),
-        F.first("label").alias("label"), F.first(F.size("vector")).alias("size"))
-    # Equal ids can have different vectors: the class number keeps them apart, the id carries the component.
-    classes = stored(classes.withColumn("name", F.monotonically_increasing_id()), "vector-classes")
-    index = fit_index(classes, cosine, reach, cell_rows=cell_rows)
-
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for size, part in batch.groupby("size"):
+def visits(batches: Iterator[pd.DataFrame], index: dict[int, MultiIndex]) -> Iterator[pd.DataFrame]:
+    """Every vector once for its own cell and for each that it visits, a bounded number of vectors at a time."""
+    for batch in batches:
+        for size, rows in batch.groupby("size"):
+            for low in range(0, len(rows), VISITORS_AT_ONCE):
+                part = rows.iloc[low:low + VISITORS_AT_ONCE]
                 points = _spread(unit(np.stack(list(part["vector"]))))
                 at, cells, homes, origins, higher = [], [], [], [], []
                 for row, (home, others) in enumerate(index[size].cells(points)):
@@ -199,8 +191,22 @@ def linked(vectors: DataFrame, cosine: float = COSINE, reach: float = REACH, cel
                 out["higher"] = higher
                 yield out[["name", "weight", "vector", "label", "size", "cell", "home", "origin", "higher"]]
 
+
+def linked(vectors: DataFrame, cosine: float = COSINE, reach: float = REACH, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` for ``vectors(vec_id, embedding, label)``; links need equal labels."""
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"),
+                          F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("string").alias("label"))
+    good = rows.where(usable(F.col("vector")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()) \
+        .withColumn("key", F.sha2(F.concat_ws("/", "label", F.col("vector").cast("string")), 256))
+    classes = good.groupBy("key").agg(
+        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector"),
+        F.first("label").alias("label"), F.first(F.size("vector")).alias("size"))
+    # Equal ids can have different vectors: the class number keeps them apart, the id carries the component.
+    classes = stored(classes.withColumn("name", F.monotonically_increasing_id()), "vector-classes")
+    index = fit_index(classes, cosine, reach, cell_rows=cell_rows)
+
     placed = stored(classes.select("name", "weight", "vector", "label", "size").mapInPandas(
-        visits, "name bigint, weight bigint, vector array<double>, label string, size int, cell bigint, home boolean, "
+        lambda batches: visits(batches, index), "name bigint, weight bigint, vector array<double>, label string, size int, cell bigint, home boolean, "
         "origin bigint, higher array<bigint>"), "cells")
     where = ["label", "size", "cell"]
     loads = placed.groupBy(*where).agg(
