@@ -315,6 +315,7 @@ def _products(table: pa.Table, average: float) -> tuple[dict[str, pa.Array], dic
     counts = {"topic_id": topics.take(pa.array(found % len(topics))), "term": names.take(pa.array(found // len(topics))), "tf": pa.array(tf), "f": pa.array(f)}
     idf = np.log(1.0 + average / f)
     weight = np.sqrt(tf / total) * idf
+    counts["weight"] = pa.array(weight)
 
     reviews, review = _codes(_flat(table, "reviews"))
     lengths = {"topic_id": topics, "source_row": pa.nulls(len(topics), reviews.type), "product": pa.array(np.zeros(len(topics))),
@@ -330,9 +331,33 @@ def _products(table: pa.Table, average: float) -> tuple[dict[str, pa.Array], dic
         heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         times, of, row = np.add.reduceat(times[order], heads), of[order][heads], row[order][heads]
     value = np.sqrt(times) * idf[of]
+    # A bucket may have pairs across borders alone; of no rows, the sums would be whole numbers.
+    product, square = (np.bincount(row, values, len(rows)).astype(np.float64) for values in (value * weight[of], value * value))
     return counts, lengths, {
         "topic_id": topics.take(pa.array(rows // max(len(reviews), 1))), "source_row": reviews.take(pa.array(rows % max(len(reviews), 1))),
-        "product": pa.array(np.bincount(row, value * weight[of], len(rows))), "square": pa.array(np.bincount(row, value * value, len(rows)))}
+        "product": pa.array(product), "square": pa.array(square)}
+
+
+def _contenders(counts: dict[str, pa.Array], k: int) -> dict[str, pa.Array]:
+    """The counts of a bucket that can be among a topic's first ``k`` by weight, ties in order of the terms.
+
+    Weights within rounding of the ``k``-th are kept; of terms with the same counts, so the same weight, the first ``k``.
+    """
+    _, topic = _codes(counts["topic_id"])
+    weight, tf, f = (np.asarray(counts[name]) for name in ("weight", "tf", "f"))
+    order = np.lexsort((-weight, topic))
+    heads = np.flatnonzero(np.concatenate(([True], np.diff(topic[order]) != 0))) if len(order) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(heads, len(order)))
+    bound = weight[order[heads + np.minimum(sizes, k) - 1]] if len(order) else np.zeros(0)
+    kept = order[weight[order] >= np.repeat(bound, sizes) * (1 - 1e-9)]
+    place = np.empty(len(kept), np.int64)
+    place[np.asarray(pc.sort_indices(counts["term"].take(pa.array(kept))), np.int64)] = np.arange(len(kept))
+    again = np.lexsort((place, f[kept], tf[kept], topic[kept]))
+    alike = np.stack([values[kept][again] for values in (topic, tf, f)])
+    heads = np.flatnonzero(np.concatenate(([True], (alike[:, 1:] != alike[:, :-1]).any(axis=0)))) if len(kept) else np.zeros(0, np.int64)
+    first = np.arange(len(kept)) - np.repeat(heads, np.diff(np.append(heads, len(kept)))) < k
+    at = pa.array(kept[again][first])
+    return {name: values.take(at) for name, values in counts.items()}
 
 
 def _added(held: list[pa.Table]) -> pa.Table:
@@ -346,12 +371,13 @@ def _parts(reviews: pa.Array, parts: int) -> np.ndarray:
     return ((number * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % parts
 
 
-def summed_products(sent: DataFrame, average: float, parts: int, listed: bool = True) -> DataFrame:
+def summed_products(sent: DataFrame, average: float, parts: int, listed: bool = True, leading: int = 0) -> DataFrame:
     """``topic_id, term, tf, f`` as ``summed_counts``, and without a term ``part, topics, reviews, products, squares`` for ``review_sums``.
 
     A task works bucket by bucket and adds up what its buckets have for a review.  It passes that on in one row for each part
     of the reviews: almost every bucket has something for every review, so rows of reviews would grow with tasks times reviews.
-    Without ``listed`` the terms stay inside, and part -1 has the sums of every topic's squared weights.
+    Without ``listed`` the terms stay inside but for those that can be among a topic's first ``leading`` by weight, and part -1
+    has the sums of every topic's squared weights.
     """
     kinds = dict(sent.dtypes)
     schema = f"""topic_id {kinds['topics'][6:-1]}, term string, tf bigint, f bigint,
@@ -387,6 +413,8 @@ def summed_products(sent: DataFrame, average: float, parts: int, listed: bool =
                 yield from whole(counts, table, 1 << 16)
             else:
                 lengths.append(pa.table(squares))
+                if leading:
+                    yield from whole(_contenders(counts, leading), table, 1 << 16)
             for held in (reviews, lengths):
                 if sum(some.num_rows for some in held) > 2 * REVIEWS_HELD:
                     held[:] = [_added(held)]

@@ -13,13 +13,14 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions import vectors as V
 from ..functions.numbers import n
-from ..session import lookup, small_inputs, stored
+from ..session import discard, lookup, small_inputs, stored
 from .ordered import BLOCK_WIDTH, after, top_per_group, with_blocks
 from .postings import (REVIEWS_A_PART, WORDS_A_BUCKET, bucket_counts, bucket_postings, postings, review_sums, summed_counts, summed_products,
                        term_bucket)
 
 UNASSIGNED = -1
 TOP_KEYWORDS = 10
+CANDIDATES = 30
 
 
 def topic_numbers(rows: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def with_terms(rows: DataFrame) -> DataFrame:
         return rows
     kept = rows.select("topic_id", "source_row", X.kept_terms(F.col("text")).alias("words"))
     return stored(kept.select("*", F.size("words").alias("n"), F.get("words", F.lit(0)).alias("first"),
-                              F.get("words", F.size("words") - 1).alias("last")), "words")
+                              F.get("words", F.size("words") - 1).alias("last")), "words", "zstd")
 
 
 def _buckets(worded: DataFrame) -> int:
@@ -121,13 +122,8 @@ def _weights(counts: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
-def scored_terms(rows: DataFrame, width: int = BLOCK_WIDTH, listed: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The weights of ``weighted_terms(class_terms(rows))`` and ``topic_id, source_row, product, square`` for ``review_scores``.
-
-    Counts and postings go to the buckets of terms together, and a bucket knows its terms' weights as soon as it has summed
-    their counts, so no term is joined with its weight afterwards.  Topics must not be null.  Without ``listed`` the weights
-    are not written term by term, and the first table has their ``length`` for each topic.
-    """
+def _summed(rows: DataFrame, width: int, listed: bool, leading: int = 0) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The sums of ``summed_products`` over all terms, every topic's number of words, and written steps that the sums read."""
     small_inputs(rows.sparkSession)
     worded = with_terms(rows)
     buckets = _buckets(worded)
@@ -144,14 +140,49 @@ def scored_terms(rows: DataFrame, width: int = BLOCK_WIDTH, listed: bool = True)
         term_bucket(F.col("term"), buckets).alias("bucket"), F.array("term").alias("terms"), F.array("topic_id").alias("topics"),
         F.array(F.lit(0)).alias("sizes"), F.array("topic_id").alias("owners"), F.array("total").alias("totals"),
         F.array().cast(kinds["reviews"]).alias("reviews"), F.array().cast(kinds["times"]).alias("times"))
-    found = summed_products(sent.unionByName(across), float(average or 0), 1 + worded.count() // REVIEWS_A_PART, listed)
+    found = summed_products(sent.unionByName(across), float(average or 0), 1 + worded.count() // REVIEWS_A_PART, listed, leading)
+    return found, words, [borders, *([] if worded is rows else [worded])]
+
+
+def scored_terms(rows: DataFrame, width: int = BLOCK_WIDTH, listed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The weights of ``weighted_terms(class_terms(rows))`` and ``topic_id, source_row, product, square`` for ``review_scores``.
+
+    Counts and postings go to the buckets of terms together, and a bucket knows its terms' weights as soon as it has summed
+    their counts, so no term is joined with its weight afterwards.  Topics must not be null.  Without ``listed`` the weights
+    are not written term by term, and the first table has their ``length`` for each topic.
+    """
+    found, words, read = _summed(rows, width, listed)
     if not listed:
         sums = stored(review_sums(found), "products")
-        return (sums.where("part < 0").select("topic_id", F.sqrt("square").alias("length")),
-                sums.where("part >= 0").select("topic_id", "source_row", "product", "square"))
+        discard(*read)
+        return _lengths(sums), _of_reviews(sums)
+    found = stored(found, "products")
+    discard(*read)
+    return _weights(_counts(found), words), review_sums(found).select("topic_id", "source_row", "product", "square")
+
+
+def leading_scores(rows: DataFrame, k: int, width: int = BLOCK_WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Weights, every topic's ``length`` and products as ``scored_terms`` has them, the weights without terms that are surely
+    not among a topic's first ``k``: a term is in one bucket, so the first of all are among the first of the buckets.
+    """
+    found, words, read = _summed(rows, width, listed=False, leading=k)
     found = stored(found, "products")
-    counts = found.where(F.col("term").isNotNull()).select("topic_id", "term", "tf", "f")
-    return _weights(counts, words), review_sums(found).select("topic_id", "source_row", "product", "square")
+    discard(*read)
+    weights, sums = stored(_weights(_counts(found), words), "leading"), stored(review_sums(found), "sums")
+    discard(found)
+    return weights, _lengths(sums), _of_reviews(sums)
+
+
+def _counts(found: DataFrame) -> DataFrame:
+    return found.where(F.col("term").isNotNull()).select("topic_id", "term", "tf", "f")
+
+
+def _lengths(sums: DataFrame) -> DataFrame:
+    return sums.where("part < 0").select("topic_id", F.sqrt("square").alias("length"))
+
+
+def _of_reviews(sums: DataFrame) -> DataFrame:
+    return sums.where("part >= 0").select("topic_id", "source_row", "product", "square")
 
 
 def contenders(weights: DataFrame, by: str, k: int) -> DataFrame:
@@ -282,7 +313,7 @@ def mean_vector(rows: DataFrame, keys: list[str], vector: str, name: str) -> Dat
 
 
 def semantic_candidates(
-    rows: DataFrame, vectors: DataFrame, weights: DataFrame, representative: DataFrame, candidates: int = 30
+    rows: DataFrame, vectors: DataFrame, weights: DataFrame, representative: DataFrame, candidates: int = CANDIDATES
 ) -> DataFrame:
     """Leading terms of each topic with the cosine of term and topic.
 

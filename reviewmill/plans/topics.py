@@ -10,7 +10,7 @@ from ..operators import clusters as C
 from ..operators import evidence as Ev
 from ..operators import topics as K
 from ..operators.ordered import page
-from ..session import checkpointed
+from ..session import checkpointed, discard
 from ..sources.tables import reviews, scored, table, vectors
 from .registry import query
 from .views import REVIEWS, over
@@ -131,12 +131,13 @@ def representative_reviews(spark, sf):
 
 
 def candidates(spark, sf):
-    """Rows, their weights, and each topic's candidates (a fixed number, pinned)."""
+    """Rows, the weights of their leading terms, and each topic's candidates (a fixed number, pinned)."""
     rows = topic_rows(spark, sf)
     worded = K.with_terms(rows)
-    weights, products = K.scored_terms(worded)
-    found = K.semantic_candidates(worded, review_vectors(spark, sf), weights, K.representatives(products, weights))
-    return rows, weights, checkpointed(found)
+    weights, lengths, products = K.leading_scores(worded, K.CANDIDATES)
+    found = checkpointed(K.semantic_candidates(worded, review_vectors(spark, sf), weights, K.representatives(products, lengths)))
+    discard(worded)
+    return rows, weights, found
 
 
 @query("keywords_semantic")
@@ -171,8 +172,8 @@ SELECT b.topic_id, cluster_id, reviews AS review_count, (SELECT string_agg(term
   (SELECT string_agg(source_row, ',' ORDER BY rank) FROM reps WHERE reps.topic_id = b.topic_id) AS representatives FROM numbers b WHERE b.topic_id >= 0"""))
 def topic_objects(spark, sf):
     rows = topic_rows(spark, sf)
-    weights, products = K.scored_terms(rows)
-    objects = K.topic_objects(rows, K.keywords(weights), K.representatives(products, weights))
+    weights, lengths, products = K.leading_scores(rows, K.TOP_KEYWORDS)
+    objects = K.topic_objects(rows, K.keywords(weights), K.representatives(products, lengths))
     shown = F.transform("keywords", lambda k: F.format_string("%s=%.4f", k["term"], k["c_tf_idf_weight"]))
     return objects.select("topic_id", "cluster_id", "review_count", F.array_join(shown, ",").alias("keywords"),
                           F.array_join(F.col("representative_rows").cast("array<string>"), ",").alias("representatives"))
@@ -184,8 +185,8 @@ UNION ALL SELECT topic_id, 'several_groups' FROM numbers WHERE topic_id >= 0 AND
 def topic_object_problems(spark, sf):
     """Topic records against members of which a third was dropped, every second topic said to join two groups."""
     rows = topic_rows(spark, sf)
-    weights, products = K.scored_terms(rows)
-    objects = K.topic_objects(rows, K.keywords(weights), K.representatives(products, weights))
+    weights, lengths, products = K.leading_scores(rows, K.TOP_KEYWORDS)
+    objects = K.topic_objects(rows, K.keywords(weights), K.representatives(products, lengths))
     objects = objects.withColumn("clusters", F.col("clusters") + F.col("topic_id") % 2)
     return K.topic_object_problems(objects, rows.where(F.col("source_row") % 3 != 0))
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewmill.llm import id_marks, jaccard_join
+from reviewmill.operators import topics as K
 from reviewmill.session import discard, shared_folder, stored
 
 
@@ -61,3 +62,26 @@ def test_the_join_keeps_no_texts_and_prefixes(spark):
     assert found == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 9: 9}
     left = {name.split("/")[0] for name in written(spark) - before}
     assert not left & {"pair-texts", "crowd-texts", "shared-prefixes", "shared-classes", "open-shingles"}
+
+
+@pytest.mark.parametrize("words", [100])
+def test_leading_terms_are_kept_in_the_buckets(spark, monkeypatch, words):
+    monkeypatch.setattr(K, "WORDS_A_BUCKET", words)
+    # Many terms with equal counts, so that ties are cut in order of the terms.
+    texts = [(i % 3, i, f"app falla tarda w{i % 5} x{i} x{i} z{i % 2} ünder w{i % 7}") for i in range(30)] + [(0, 70, None), (2, 71, "")]
+    rows = spark.createDataFrame(texts, "topic_id int, source_row bigint, text string")
+    plain, products = K.scored_terms(rows)
+    plain = stored(plain)
+    before = written(spark)
+    weights, lengths, sums = K.leading_scores(rows, 4)
+    listed = lambda df: sorted((*r[:2], *(round(x, 9) for x in r[2:])) for r in df.collect())
+    columns = ["topic_id", "rank", "tf", "words", "f", "idf", "weight"]
+    for k in (1, 4):
+        assert listed(K.keywords(weights, k).select(*columns)) == listed(K.keywords(plain, k).select(*columns))
+        assert sorted((r["topic_id"], r["rank"], r["term"]) for r in K.keywords(weights, k).collect()) == sorted(
+            (r["topic_id"], r["rank"], r["term"]) for r in K.keywords(plain, k).collect())
+    assert listed(K.review_scores(sums, lengths)) == listed(K.review_scores(products, plain))
+    assert weights.count() < plain.count()
+    left = {name.split("/")[0] for name in written(spark) - before}
+    assert not left & {"words", "borders", "products"}
+    assert [t.isEmpty() for t in K.leading_scores(rows.limit(0), 4)] == [True] * 3
