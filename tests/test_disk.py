@@ -2,10 +2,12 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from reviewmill.llm import id_marks, jaccard_join
+from reviewmill.operators import blocks as B
 from reviewmill.operators import topics as K
 from reviewmill.session import discard, shared_folder, stored
 
@@ -85,3 +87,22 @@ def test_leading_terms_are_kept_in_the_buckets(spark, monkeypatch, words):
     left = {name.split("/")[0] for name in written(spark) - before}
     assert not left & {"words", "borders", "products"}
     assert [t.isEmpty() for t in K.leading_scores(rows.limit(0), 4)] == [True] * 3
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_nearest_rows_meet_in_few_large_blocks(spark, monkeypatch, metric):
+    monkeypatch.setattr(B, "ROWS_PER_PIVOT", 8)
+    monkeypatch.setattr(B, "NEAREST_ROWS", 64)
+    monkeypatch.setattr(B, "BLOCK_ROWS", 16)
+    cells = []
+    monkeypatch.setattr(B, "meet", lambda left, *rest, run=B.meet: cells.append(len(left.cells)) or run(left, *rest))
+    points = np.random.default_rng(5).normal(size=(400, 6))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    got = {(r["id"], r["rank"]): r["neighbour"] for r in B.nearest(
+        spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vector array<double>"), "id", "vector", 3, metric).collect()}
+    score = points @ points.T
+    np.fill_diagonal(score, -2)
+    order = np.argsort(-score, axis=1)
+    # Of unit vectors, the nearest by distance are those by product.
+    assert got == {(i, rank + 1): int(order[i, rank]) for i in range(400) for rank in range(3)}
+    assert cells and cells[0] <= 8
